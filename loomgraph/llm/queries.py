@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .lines import drop_common_lines
 from .mixing import mix
 from .pieces import encode
+from .token_files import token_file_rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,11 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_file_rows(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
