@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from .lines import drop_common_lines
 from .mixing import mix
 from .pieces import encode
+from .shingles import link_near_duplicates
 from .token_files import token_file_rows
+from .vectors import link_vectors, top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +24,44 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+OP2 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+c AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT l.y, c.root FROM c JOIN l ON c.node = l.x),
+k AS (SELECT node, min(root) AS root FROM c GROUP BY node),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, k.root AS component_id, e.vec_id = k.root AS kept
+FROM embeddings e JOIN k ON e.vec_id = k.node LEFT JOIN n ON e.vec_id = n.x
+"""
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_file_rows(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+OP4 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -66,6 +101,32 @@ FROM r
 """
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return link_near_duplicates(docs, n=5, percent=80)
+
+
+OP9 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (
+  SELECT doc_id, CASE WHEN words IS NULL OR len(words) = 0 THEN []
+                      ELSE list_distinct(list_transform(range(1, greatest(2, len(words) - 3)),
+                                                        lambda i: array_to_string(list_slice(words, i, i + 4), ' '))) END AS grams FROM w),
+s AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM g),
+d AS (SELECT gram FROM s GROUP BY gram HAVING count(*) > 1),
+r AS (SELECT s.* FROM s JOIN d ON s.gram = d.gram),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS o
+      FROM r a JOIN r b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM o WHERE 100 * o >= 80 * (n + m - o)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+c AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.y, c.root FROM c JOIN e ON c.node = e.x),
+k AS (SELECT node, min(root) AS root FROM c GROUP BY node)
+SELECT g.doc_id, CAST(len(g.grams) AS BIGINT) AS n_shingles, k.root AS component_id FROM g JOIN k ON g.doc_id = k.node
+"""
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = drop_common_lines(docs, min_docs=10)
@@ -91,4 +152,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_mixing": OP5, "op10_lines": OP10}
+    return {"op2_vector_links": OP2, "op4_top_k": OP4, "op5_mixing": OP5, "op9_jaccard": OP9, "op10_lines": OP10}
