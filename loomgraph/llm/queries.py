@@ -6,9 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .extraction import extract
+from .language import fit, identify
 from .lines import drop_common_lines
 from .mixing import mix
 from .pieces import encode
+from .scoring import score, train
 from .shingles import link_near_duplicates
 from .token_files import token_file_rows
 from .vectors import link_vectors, top_k
@@ -101,6 +104,21 @@ FROM r
 """
 
 
+def op6_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, train(docs)).drop("text")
+
+
+def op7_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fit(table(spark, sf_dir, "documents"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return identify(pages, model, "html", url="url", markup=True).drop("html")
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return link_near_duplicates(docs, n=5, percent=80)
