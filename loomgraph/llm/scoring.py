@@ -84,7 +84,7 @@ class WindowNetwork:
     def logs(self, contexts: np.ndarray) -> np.ndarray:
         return self._forward(contexts)[3]
 
-    def fit(self, codes: np.ndarray, counts: np.ndarray, rounds: int = 12, batch: int = 4096, rate: float = 0.01, seed: int = 4) -> WindowNetwork:
+    def fit(self, codes: np.ndarray, counts: np.ndarray, rounds: int = 8, batch: int = 4096, rate: float = 0.01, seed: int = 4) -> WindowNetwork:
         """Adam on the mean log-probability over all counted windows. A batch is a set of
         contexts with the counts of all tokens seen in each; every context of the corpus
         takes part in every round, weighted by its counts."""
