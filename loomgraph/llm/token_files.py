@@ -1,27 +1,26 @@
 """Token-id files: frequency-ranked ids in byte-aligned variable length.
 
 A shard holds documents in ascending order of their ids. Its ids are replaced by
-their ranks in the order of frequency, so frequent ids take one byte and the next
-65,280 two. The bytes lie apart from their lengths:
+their ranks in the order of frequency in the shard, so frequent ids take one byte and
+the next 65,280 two. The bytes lie apart from their lengths:
 
-    magic b"LGT1"
+    magic b"LGT1", uint32 distinct ids, uint32 ids by rank
     blocks: uint32 documents, uint32 ids, uint32 data bytes,
             int64 document ids (null: the least long), uint32 ids of each document,
             control bytes (two bits an id, its length less 1; low bits first),
             data bytes (little endian)
 
-All integers are little endian. The rank table (uint32 ids by rank) and the list of
-shards, with the number of ids before each, are files beside the shards.
+All integers are little endian. The list of shards, with the number of ids before
+each, is a file beside the shards.
 """
 
 from __future__ import annotations
 
-import itertools
 import json
 import re
 import uuid
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +33,10 @@ from .common import fresh_dir, prepare, quoted
 
 MAGIC = b"LGT1"
 NO_ID = -(1 << 63)
-#: A block ends with the document that takes it to so many ids.
-BLOCK_IDS = 1 << 16
-MEMORY, WORD_MOST = 500_000, 40
+#: A block ends with the document that takes it to so many ids, and so does a shard.
+BLOCK_IDS, SHARD_IDS = 1 << 16, 1 << 24
+#: Words and parts of words that are remembered, up to this length.
+WORDS, PARTS, WORD_MOST = 1_000_000, 600_000, 40
 
 _SHIFTS = np.arange(0, 8, 2, dtype=np.uint8)
 #: For each control byte, the lengths of its four ids.
@@ -70,16 +70,39 @@ def pack_block(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
     return head + ids + np.array([len(r) for _, r in docs], dtype="<u4").tobytes() + control + data
 
 
+def pack_shard(docs: list[tuple[int | None, np.ndarray]]) -> Iterator[bytes]:
+    """A shard's file, part by part, of documents and their ids."""
+    counts = np.zeros(1 + max(int(ids.max()) for _, ids in docs), dtype=np.int64)
+    for _, ids in docs:
+        counts += np.bincount(ids, minlength=len(counts))
+    used = int((counts > 0).sum())
+    order = np.argsort(-counts, kind="stable")[:used].astype("<u4")
+    rank = np.zeros(len(counts), dtype="<u4")
+    rank[order] = np.arange(used, dtype="<u4")
+    yield MAGIC + np.array([used], dtype="<u4").tobytes() + order.tobytes()
+    waiting, n = [], 0
+    for doc, ids in docs:
+        waiting.append((doc, rank[ids]))
+        n += len(ids)
+        if n >= BLOCK_IDS:
+            yield pack_block(waiting)
+            waiting, n = [], 0
+    if waiting:
+        yield pack_block(waiting)
+
+
 def read_blocks(stream) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Document ids, ids of each document, ranks; block by block."""
+    """Document ids, number of ids of each, and the ids of all; block by block."""
     if stream.read(4) != MAGIC:
         raise ValueError("not a token file")
+    (used,) = np.frombuffer(stream.read(4), dtype="<u4").tolist()
+    order = np.frombuffer(stream.read(4 * used), dtype="<u4")
     while head := stream.read(12):
         n_docs, n_ids, n_data = np.frombuffer(head, dtype="<u4").tolist()
-        ids = np.frombuffer(stream.read(8 * n_docs), dtype="<i8")
+        docs = np.frombuffer(stream.read(8 * n_docs), dtype="<i8")
         counts = np.frombuffer(stream.read(4 * n_docs), dtype="<u4")
         control = stream.read(-(-n_ids // 4))
-        yield ids, counts, unpack(control, stream.read(n_data), n_ids)
+        yield docs, counts, order[unpack(control, stream.read(n_data), n_ids)]
 
 
 def place(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -102,17 +125,30 @@ _LETTERS = "a-z\xdf-\xf6\xf8-\xff"
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """For each plain character beyond ASCII, its bytes in the byte-level alphabet:
+    bytes that print stand for themselves, the others for 256 and on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    letter = {b: chr(b) if b in shown else chr(next(hidden)) for b in range(256)}
+    return {ord(c): "".join(letter[b] for b in c.encode()) for c in _PLAIN if not c.isascii()}
+
+
+_BYTES = _byte_letters()
+
+
 class _Tokens(dict):
-    """Ids of the tokenizer's parts of words, as bytes."""
+    """Ids, as bytes, of lower-case parts that the tokenizer's pattern doesn't cut;
+    they need its merges only."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.merges = tokenizer.model.tokenize
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = array("I", [t.id for t in self.merges(part if part.isascii() else part.translate(_BYTES))]).tobytes()
         if len(part) <= WORD_MOST:
-            if len(self) >= MEMORY:
+            if len(self) >= PARTS:
                 self.clear()
             self[part] = ids
         return ids
@@ -125,12 +161,12 @@ class _Words(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokens = _Tokens(tokenizer)
+        self.tokenizer, self.tokens = tokenizer, _Tokens(tokenizer)
 
     def __missing__(self, word: str) -> bytes:
         tokens = self.tokens
         if not _PLAIN.issuperset(word) or "<|" in word:
-            return tokens[word]
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         low = word.lower()
         if low.isalpha():
             ids = tokens[low]
@@ -139,7 +175,7 @@ class _Words(dict):
         else:
             ids = b"".join(map(tokens.__getitem__, _PARTS.findall(low)))
         if len(word) <= WORD_MOST:
-            if len(self) >= MEMORY:
+            if len(self) >= WORDS:
                 self.clear()
             self[word] = ids
         return ids
@@ -197,102 +233,56 @@ def coder(path: str) -> WordCoder:
     return _loaded[path]
 
 
-def frequencies(docs: DataFrame, tokenizer: str, text: str = "text") -> dict[int, int]:
-    """How often each id occurs in all texts, and at -1 the number of texts; at most
-    one entry more than the vocabulary has. Words are counted before they are encoded."""
-    prepare(docs.sparkSession)
-
-    def run(batches):
-        words = coder(tokenizer)
-        total: Counter[int] = Counter()
-        waiting: Counter[str] = Counter()
-
-        def flush():
-            for word, n in waiting.items():
-                for i in np.frombuffer(words.words[word], dtype="<u4").tolist():
-                    total[i] += n
-            waiting.clear()
-
-        for batch in batches:
-            total[-1] += batch.num_rows
-            for t in batch.column(0):
-                t = t.as_py() or ""
-                if words.splits:
-                    waiting.update(words.cut(t))
-                else:
-                    total.update(np.frombuffer(words.encode(t), dtype="<u4").tolist())
-            if len(waiting) > MEMORY:
-                flush()
-        flush()
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["id", "n"])
-
-    counts = docs.select(quoted(text)).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    return {r["id"]: r["n"] for r in counts.collect()}
-
-
 def write_token_files(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text: str = "text", shards: int | None = None
+    docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text: str = "text", tasks: int | None = None
 ) -> list[dict]:
     """Encode every whole text (null: empty), append end_id, write shards under path.
 
     Documents lie in ascending order of id (null first; equal ids by text hash), each
     row its own document. An empty table gives a table of contents without shards.
-    First pass: frequencies of ids, at most one row for each id of the vocabulary.
-    Second pass: texts are dealt out by range of id, each task encodes its range and
-    writes it block by block. A shard is written under a name of its own and renamed;
-    the table of contents names the shards of the tasks that count, so a task that
-    runs twice does no harm. Returns that table, one row for each file."""
+    Texts are dealt out by range of id; a task encodes its range and writes a shard
+    whenever SHARD_IDS ids have come together, so its memory is bounded by that and one
+    document. A shard is written under a name of its own and renamed; the table of
+    contents names the shards of the tasks that count, so a task that runs twice does
+    no harm. Returns that table, one row for each file."""
     spark = docs.sparkSession
     prepare(spark)
     files, folder = place(path)
     files.create_dir(folder, recursive=True)
-    counts = frequencies(docs, tokenizer, text)
-    counts[end_id] = counts.get(end_id, 0) + counts.pop(-1, 0)
-    size = max([coder(tokenizer).size, end_id + 1, *(i + 1 for i in counts)])
-    order = np.array(sorted(range(size), key=lambda i: (-counts.get(i, 0), i)), dtype="<u4")
-    put(path, "ranks.bin", [order.tobytes()])
-    rank = np.empty(size, dtype="<u4")
-    rank[order] = np.arange(size, dtype="<u4")
-    shared = spark.sparkContext.broadcast(rank)  # at most the vocabulary's size
-    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(counts.values()) // (1 << 26)))
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = (
         docs.select(quoted(id_col).cast("long").alias("id"), quoted(text).alias("text"))
-        .repartitionByRange(shards, F.col("id").asc_nulls_first())
+        .repartitionByRange(tasks, F.col("id").asc_nulls_first())
         .sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
     )
 
     def write(batches):
-        words, ranks, end = coder(tokenizer), shared.value, np.uint32(end_id)
-        made = {"name": f"shard-{uuid.uuid4().hex}.lgt", "first": None, "docs": 0, "ids": 0}
+        words, end = coder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        waiting, n, place_in_task = [], 0, 0
+
+        def shard():
+            nonlocal waiting, n, place_in_task
+            name = f"shard-{uuid.uuid4().hex}.lgt"
+            put(path, name, pack_shard(waiting))
+            first = NO_ID if waiting[0][0] is None else waiting[0][0]
+            made = {"name": name, "first": first, "place": place_in_task, "docs": len(waiting), "ids": n}
+            waiting, n, place_in_task = [], 0, place_in_task + 1
+            return pa.RecordBatch.from_pylist([made])
 
-        def blocks():
-            yield MAGIC
-            waiting, n = [], 0
-            for batch in batches:
-                for doc, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    if not made["docs"]:
-                        made["first"] = NO_ID if doc is None else doc
-                    ids = ranks[np.append(np.frombuffer(words.encode(t.as_py()), dtype="<u4"), end)]
-                    made["docs"] += 1
-                    made["ids"] += len(ids)
-                    waiting.append((doc, ids))
-                    n += len(ids)
-                    if n >= BLOCK_IDS:
-                        yield pack_block(waiting)
-                        waiting, n = [], 0
-            if waiting:
-                yield pack_block(waiting)
-
-        # Partitions without rows make no file.
-        body = blocks()
-        start = [next(body), next(body, b"")]
-        if start[1]:
-            put(path, made["name"], itertools.chain(start, body))
-            yield pa.RecordBatch.from_pylist([made])
-
-    made = rows.mapInArrow(write, "name string, first long, docs long, ids long").collect()
+        for batch in batches:
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = np.frombuffer(words.encode(t.as_py()) + end, dtype="<u4")
+                waiting.append((doc, ids))
+                n += len(ids)
+                if n >= SHARD_IDS:
+                    yield shard()
+        if waiting:
+            yield shard()
+
+    made = rows.mapInArrow(write, "name string, first long, place long, docs long, ids long").collect()
     contents, start = [], 0
-    for r in sorted(made, key=lambda r: r["first"]):
+    # Equal ids lie in one task, so its own order decides among them.
+    for r in sorted(made, key=lambda r: (r["first"], r["place"])):
         contents.append({"name": r["name"], "start": start, "docs": r["docs"], "ids": r["ids"]})
         start += r["ids"]
     put(path, "contents.json", [json.dumps(contents).encode()])
@@ -310,14 +300,12 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
 
     def run(batches):
         files, folder = place(path)
-        with files.open_input_stream(f"{folder}/ranks.bin") as f:
-            order = np.frombuffer(f.read(), dtype="<u4")
         for batch in batches:
             for shard in batch.to_pylist():
                 start = shard["start"]
                 with files.open_input_stream(f"{folder}/{shard['name']}", buffer_size=1 << 20) as f:
-                    for docs, counts, ranks in read_blocks(f):
-                        ids, ends = order[ranks], np.cumsum(counts, dtype=np.int64)
+                    for docs, counts, ids in read_blocks(f):
+                        ends = np.cumsum(counts, dtype=np.int64)
                         starts = ends - counts
                         parts = [ids[a:b] for a, b in zip(starts, ends)]
                         last = pa.array([zlib.crc32(p) for p in parts], pa.int64()) if digest else pa.array([p.astype(np.int64) for p in parts], pa.list_(pa.int64()))
