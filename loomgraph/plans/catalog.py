@@ -2,10 +2,834 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import vector as V
+from ..operators import ann, knn, mutate, versions
+from ..operators import traversal as T
+from ..operators.graph import EDGE_KEY, Graph
+from ..operators.paths import PathFinder, bfs_depths, impact
+from ..operators.schema import NodeDef, PropDef, edge_violations, node_violations
+from ..operators.traversal import Traversal
+from ..sources import store
+from ..sources import testdata as D
+from ..streaming import changelog
+
+_found: dict = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _found[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = _complete(sql)
+        return f
+
+    return add
+
+
+# -- SQL views of the graph, put in front of a query that names them ----------------
+
+VIEWS = {
+    "n": """SELECT 1000000000000 + r_regionkey AS id, 'region:' || r_regionkey AS key, 'Region' AS type, r_name AS name, NULL::DOUBLE AS acctbal, NULL::BIGINT AS size, NULL::DOUBLE AS totalprice FROM region
+ UNION ALL SELECT 2000000000000 + n_nationkey, 'nation:' || n_nationkey, 'Nation', n_name, NULL, NULL, NULL FROM nation
+ UNION ALL SELECT 3000000000000 + c_custkey, 'customer:' || c_custkey, 'Customer', c_name, c_acctbal, NULL, NULL FROM customer
+ UNION ALL SELECT 4000000000000 + s_suppkey, 'supplier:' || s_suppkey, 'Supplier', s_name, s_acctbal, NULL, NULL FROM supplier
+ UNION ALL SELECT 5000000000000 + p_partkey, 'part:' || p_partkey, 'Part', p_name, NULL, p_size, NULL FROM part
+ UNION ALL SELECT 6000000000000 + o_orderkey, 'order:' || o_orderkey, 'Order', NULL, NULL, NULL, o_totalprice FROM orders""",
+    "route": """SELECT DISTINCT 5000000000000 + p_partkey AS src, 'ROUTE' AS etype, 5000000000000 + unnest([(2 * p_partkey + 1) % (SELECT count(*) FROM part), (p_partkey + 7) % (SELECT count(*) FROM part)]) AS dst,
+ CAST(p_size AS DOUBLE) AS w FROM part""",
+    "e": """SELECT 2000000000000 + n_nationkey AS src, 'IN_REGION' AS etype, 1000000000000 + n_regionkey AS dst, NULL::DOUBLE AS quantity, NULL::DOUBLE AS totalprice, NULL::BIGINT AS n_lines FROM nation
+ UNION ALL SELECT 3000000000000 + c_custkey, 'IN_NATION', 2000000000000 + c_nationkey, NULL, NULL, NULL FROM customer
+ UNION ALL SELECT 4000000000000 + s_suppkey, 'BASED_IN', 2000000000000 + s_nationkey, NULL, NULL, NULL FROM supplier
+ UNION ALL SELECT 3000000000000 + o_custkey, 'PLACED', 6000000000000 + o_orderkey, NULL, o_totalprice, NULL FROM orders
+ UNION ALL SELECT 6000000000000 + l_orderkey, 'CONTAINS', 5000000000000 + l_partkey, sum(l_quantity), NULL, count(*) FROM lineitem GROUP BY l_orderkey, l_partkey
+ UNION ALL SELECT 4000000000000 + l_suppkey, 'SUPPLIES', 5000000000000 + l_partkey, NULL, NULL, count(*) FROM lineitem GROUP BY l_suppkey, l_partkey
+ UNION ALL SELECT src, etype, dst, NULL, NULL, NULL FROM route""",
+    "v": "SELECT vec_id AS node_id, CAST(embedding AS DOUBLE[]) AS raw, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS len FROM embeddings",
+    "u": "SELECT node_id, list_transform(raw, lambda x: x / len) AS vec FROM v",
+    "ops": """SELECT event_id AS seq, user_id + 3000000000000 AS node_id, CASE event_type WHEN 'signup' THEN 'create_node' WHEN 'error' THEN 'delete_node' ELSE 'set_node_prop' END AS op,
+ CASE WHEN event_type NOT IN ('signup', 'error') THEN event_type END AS prop, CASE WHEN event_type NOT IN ('signup', 'error') THEN CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR) END AS value FROM events""",
+}
+NEEDS = {"e": ["route"], "u": ["v"]}
+
+
+def _complete(sql: str) -> str:
+    """sql with the views that it names (as {n}, {e}, ...) defined in front."""
+    import re
+
+    used: list[str] = []
+
+    def use(name):
+        for d in NEEDS.get(name, []):
+            use(d)
+        if name not in used:
+            used.append(name)
+
+    for name in re.findall(r"\{(\w+)\}", sql):
+        use(name)
+    body = re.sub(r"\{(\w+)\}", lambda m: f"g_{m[1]}", sql).strip()
+    views = ", ".join(f"g_{name} AS ({re.sub(r'(FROM|JOIN) (route|v)\b', lambda m: f'{m[1]} g_{m[2]}', VIEWS[name])})" for name in used)
+    if not views:
+        return body
+    if body.startswith("WITH RECURSIVE"):
+        return f"WITH RECURSIVE {views}, {body[len('WITH RECURSIVE'):]}"
+    return f"WITH {views}, {body[4:]}" if body.startswith("WITH ") else f"WITH {views} {body}"
+
+
+def _ints(ids):
+    return ", ".join(str(i) for i in ids)
+
+
+# -- scans and lookups ---------------------------------------------------------------
+
+
+@query("SELECT id FROM {n}")
+def node_scan(spark, d):
+    return D.graph(spark, d).node_ids()
+
+
+@query("SELECT src, etype, dst FROM {e} WHERE etype = 'IN_NATION'")
+def edge_scan_by_type(spark, d):
+    return D.graph(spark, d).all_edges("IN_NATION").select(*EDGE_KEY)
+
+
+@query("SELECT id, key, acctbal FROM {n} WHERE type = 'Customer'")
+def typed_node_scan(spark, d):
+    return D.graph(spark, d).all("Customer").select("id", "key", "acctbal")
+
+
+@query("SELECT id, key FROM {n} WHERE key LIKE 'order:1%'")
+def prefix_scan(spark, d):
+    return D.graph(spark, d).with_prefix("order:1").select("id", "key")
+
+
+@query("SELECT id, key, name FROM {n} WHERE key = 'customer:42'")
+def key_lookup(spark, d):
+    return D.graph(spark, d).by_key("customer:42").select("id", "key", "name")
+
+
+@query("SELECT id, key FROM {n} WHERE key IN (SELECT 'customer:' || (o_custkey + 1) FROM orders)")
+def key_lookup_bulk(spark, d):
+    wanted = D.table(spark, d, "orders").select(F.concat(F.lit("customer:"), (F.col("o_custkey") + 1).cast("string")).alias("key"))
+    return D.graph(spark, d).by_keys(wanted).select("id", "key")
+
+
+@query("SELECT id, key, totalprice FROM {n} WHERE key = 'order:7'")
+def typed_get(spark, d):
+    return D.graph(spark, d).get("Order", 7).select("id", "key", "totalprice")
+
+
+@query("SELECT id, key FROM {n} WHERE key = 'part:3'")
+def node_reference(spark, d):
+    return D.graph(spark, d).node_ref("Part", 3)
+
+
+@query("SELECT id, key, type FROM {n} WHERE id = 4000000000005")
+def node_by_id(spark, d):
+    return D.graph(spark, d).by_id(D.SUPPLIER + 5).select("id", "key", "type")
+
+
+@query("SELECT o_orderkey AS k, n.key FROM orders JOIN {n} n ON n.id = o_custkey + 3000000000000")
+def key_of_node(spark, d):
+    ids = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") + D.CUSTOMER).alias("id"))
+    return D.graph(spark, d).key_of(ids).select("k", "key")
+
+
+@query("SELECT p.pos AS position, n.id, n.key, n.size FROM (VALUES (0, 5000000000009), (1, 5000000000002), (3, 5000000000005)) p(pos, id) JOIN {n} n USING (id)")
+def multi_get(spark, d):
+    return D.graph(spark, d).by_ids([D.PART + 9, D.PART + 2, 77, D.PART + 5], ["size"])
+
+
+@query("SELECT id, key FROM {n} WHERE id > 3000000000100 ORDER BY id LIMIT 50")
+def node_page(spark, d):
+    page, _ = store.node_page(D.graph(spark, d), 50, f"n:{D.CUSTOMER + 100}")
+    return page.select("id", "key")
+
+
+@query("SELECT src, etype, dst FROM {e} WHERE src > 6000000000010 OR (src = 6000000000010 AND etype > 'CONTAINS') OR (src = 6000000000010 AND etype = 'CONTAINS' AND dst > 5000000000000) ORDER BY src, etype, dst LIMIT 40")
+def edge_page(spark, d):
+    page, _ = store.edge_page(D.graph(spark, d), 40, f"e:{D.ORDER + 10}:CONTAINS:{D.PART}")
+    return page.select(*EDGE_KEY)
+
+
+@query("SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 1000) AS BIGINT) AS batch FROM {n}")
+def stream_batches(spark, d):
+    return store.numbered_batches(D.graph(spark, d).node_ids(), 1000)
+
+
+# -- properties and predicates -----------------------------------------------------------
+
+
+@query("SELECT id, acctbal FROM {n}")
+def node_property(spark, d):
+    return D.graph(spark, d).node_prop("acctbal")
+
+
+@query("SELECT id, TRY_CAST(name AS BIGINT) AS name FROM {n} WHERE type = 'Region'")
+def typed_property(spark, d):
+    g = D.graph(spark, d)
+    return g.with_nodes(g.all("Region")).node_prop("name", "bigint")
+
+
+@query("SELECT id, name AS name_in_map, CAST((name IS NOT NULL)::INT AS INTEGER) + 1 AS n FROM {n} WHERE type = 'Nation'")
+def properties_map(spark, d):
+    g = D.graph(spark, d)
+    g = g.with_nodes(g.all("Nation").withColumn("size", F.lit(1).cast("long")))
+    return g.props_map().select("id", F.col("props")["name"].alias("name_in_map"), F.size("props").alias("n"))
+
+
+@query("SELECT src, etype, dst, round(quantity, 2) AS quantity FROM {e} WHERE etype = 'CONTAINS'")
+def edge_property(spark, d):
+    rows = D.graph(spark, d).edge_prop("quantity").where("etype = 'CONTAINS'")
+    return rows.withColumn("quantity", F.round("quantity", 2))
+
+
+@query("SELECT id, id IN (SELECT id FROM {n}) AS found FROM (SELECT 5000000000000 + 2 * p_partkey AS id FROM part)")
+def node_exists(spark, d):
+    ids = D.table(spark, d, "part").select((F.col("p_partkey") * 2 + D.PART).alias("id"))
+    return D.graph(spark, d).exists(ids)
+
+
+@query("SELECT a.src, a.etype, a.dst, b.src IS NOT NULL AS found FROM (SELECT 3000000000000 + c_custkey AS src, 'IN_NATION' AS etype, 2000000000000 + c_custkey % 25 AS dst FROM customer) a LEFT JOIN {e} b USING (src, etype, dst)")
+def has_edge(spark, d):
+    wanted = D.table(spark, d, "customer").select((F.col("c_custkey") + D.CUSTOMER).alias("src"), F.lit("IN_NATION").alias("etype"), (F.col("c_custkey") % 25 + D.NATION).alias("dst"))
+    return D.graph(spark, d).edge_exists(wanted)
+
+
+@query("SELECT id FROM {n} WHERE id IN (SELECT src FROM {e} WHERE etype = 'PLACED')")
+def nodes_with_relation(spark, d):
+    return D.graph(spark, d).with_relation("PLACED").select("id")
+
+
+@query("SELECT id FROM {n} WHERE id IN (SELECT dst FROM {e} WHERE etype = 'CONTAINS')")
+def nodes_with_incoming(spark, d):
+    return D.graph(spark, d).with_relation("CONTAINS", "in").select("id")
+
+
+@query("SELECT id, key FROM {n} WHERE type = 'Supplier'")
+def label_filter(spark, d):
+    return D.graph(spark, d).with_label("Supplier").select("id", "key")
+
+
+@query("SELECT id, key, 'name' AS prop, 'required' AS problem FROM {n} WHERE type = 'Part' AND size % 10 = 0 UNION ALL SELECT id, key, 'acctbal', 'required' FROM {n} WHERE type = 'Part'")
+def schema_violations(spark, d):
+    g = D.graph(spark, d)
+    nodes = g.nodes.withColumn("name", F.when(F.col("size") % 10 == 0, None).otherwise(F.col("name")))
+    return node_violations(nodes, NodeDef("Part", "part:", (PropDef("name", required=True), PropDef("size", "int"), PropDef("acctbal", "float", required=True))))
+
+
+@query("SELECT src, etype, dst, 'n_lines' AS prop, 'required' AS problem FROM {e} WHERE etype = 'CONTAINS' AND n_lines > 1")
+def edge_schema_violations(spark, d):
+    from ..operators.schema import EdgeDef
+
+    edges = D.graph(spark, d).edges.withColumn("n_lines", F.when(F.col("n_lines") > 1, None).otherwise(F.col("n_lines")))
+    return edge_violations(edges, EdgeDef("CONTAINS", (PropDef("n_lines", "int", required=True),)))
+
+
+@query("SELECT id, type FROM {n}")
+def type_from_key(spark, d):
+    g = D.graph(spark, d)
+    return g.nodes.select("id", g.type_column().alias("type"))
+
+
+# -- hops ------------------------------------------------------------------------------------
+
+START = [D.CUSTOMER + k for k in range(0, 60, 3)]
+
+
+@query(f"SELECT dst AS node_id FROM {{e}} WHERE etype = 'PLACED' AND src IN ({_ints(START)}) GROUP BY dst")
+def hop_out(spark, d):
+    return Traversal.from_nodes(D.graph(spark, d), START).out("PLACED").ids()
+
+
+@query("SELECT src AS node_id FROM {e} WHERE etype = 'IN_NATION' AND dst IN (2000000000003, 2000000000004) GROUP BY src")
+def hop_in(spark, d):
+    return Traversal.from_nodes(D.graph(spark, d), [D.NATION + 3, D.NATION + 4]).in_("IN_NATION").ids()
+
+
+@query(f"SELECT dst AS node_id FROM {{e}} WHERE src IN ({_ints(START)}) UNION ALL SELECT src FROM {{e}} WHERE dst IN ({_ints(START)})")
+def hop_both(spark, d):
+    return Traversal.from_nodes(D.graph(spark, d), START).both().unique(False).ids()
+
+
+@query("SELECT node_id, count(*) AS n FROM (SELECT dst AS node_id FROM {route} WHERE src < 5000000000040 UNION ALL SELECT src FROM {route} WHERE dst < 5000000000040) GROUP BY node_id")
+def hop_both_bag(spark, d):
+    t = Traversal.from_nodes(D.route_graph(spark, d), [D.PART + k for k in range(40)]).both("ROUTE").unique(T.NONE)
+    return t.ids().groupBy("node_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT DISTINCT src FROM {e} WHERE etype = 'IN_NATION' AND dst IN (SELECT src FROM {e} WHERE etype = 'IN_REGION' AND dst = 1000000000001))
+SELECT DISTINCT e.dst AS node_id FROM c JOIN {e} e ON e.src = c.src AND e.etype = 'PLACED'""")
+def hop3_region_orders(spark, d):
+    """Orders of the customers of the nations of region 1."""
+    g = D.graph(spark, d)
+    region = g.by_key("region:1").select("id")
+    return Traversal.from_nodes(g, region).in_("IN_REGION").in_("IN_NATION").out("PLACED").ids()
+
+
+@query("""WITH s AS (SELECT 5000000000000 + unnest(range(30)) AS x), a AS (SELECT DISTINCT dst AS x FROM {route} JOIN s ON src = x WHERE dst NOT IN (SELECT x FROM s)),
+b AS (SELECT DISTINCT dst AS x FROM {route} JOIN a ON src = a.x WHERE dst NOT IN (SELECT x FROM s) AND dst NOT IN (SELECT x FROM a)) SELECT x AS node_id FROM b""")
+def two_hop_global(spark, d):
+    return Traversal.from_nodes(D.route_graph(spark, d), [D.PART + k for k in range(30)]).out("ROUTE").out("ROUTE").ids()
+
+
+@query("""WITH s AS (SELECT 5000000000000 + unnest(range(30)) AS x), a AS (SELECT DISTINCT dst AS x FROM {route} JOIN s ON src = x)
+SELECT DISTINCT dst AS node_id FROM {route} JOIN a ON src = a.x""")
+def two_hop_per_step(spark, d):
+    return Traversal.from_nodes(D.route_graph(spark, d), [D.PART + k for k in range(30)]).out("ROUTE").out("ROUTE").unique(T.PER_STEP).ids()
+
+
+@query("WITH s AS (SELECT 5000000000000 + unnest(range(30)) AS x) SELECT b.dst AS node_id FROM {route} a JOIN s ON a.src = s.x JOIN {route} b ON b.src = a.dst")
+def two_hop_bag(spark, d):
+    return Traversal.from_nodes(D.route_graph(spark, d), [D.PART + k for k in range(30)]).out("ROUTE").out("ROUTE").unique(T.NONE).ids()
+
+
+@query("WITH s AS (SELECT 5000000000000 + unnest(range(30)) AS x), a AS (SELECT DISTINCT dst AS x FROM {route} JOIN s ON src = x) SELECT count(DISTINCT dst) AS n FROM {route} JOIN a ON src = a.x")
+def fast_count(spark, d):
+    return Traversal.from_nodes(D.route_graph(spark, d), [D.PART + k for k in range(30)]).out("ROUTE").out("ROUTE").count_frontier()
+
+
+@query("""WITH s AS (SELECT 5000000000000 + unnest(range(30)) AS x), a AS (SELECT DISTINCT dst AS x FROM {route} JOIN s ON src = x WHERE dst NOT IN (SELECT x FROM s))
+SELECT count(DISTINCT dst) AS n FROM {route} JOIN a ON src = a.x WHERE dst NOT IN (SELECT x FROM s) AND dst NOT IN (SELECT x FROM a)""")
+def result_count(spark, d):
+    return Traversal.from_nodes(D.route_graph(spark, d), [D.PART + k for k in range(30)]).out("ROUTE").out("ROUTE").count_results()
+
+
+@query(f"SELECT src, dst FROM {{e}} WHERE etype = 'PLACED' AND src IN ({_ints(START)}) AND totalprice > 150000")
+def where_edge(spark, d):
+    t = Traversal.from_nodes(D.graph(spark, d), START).out("PLACED").where_edge(F.col("totalprice") > 150000)
+    return t.edges().select("src", "dst")
+
+
+@query("""WITH c AS (SELECT src FROM {e} WHERE etype = 'IN_NATION' AND dst = 2000000000003)
+SELECT id AS node_id, acctbal FROM {n} WHERE id IN (SELECT src FROM c) AND acctbal > 3000""")
+def where_node(spark, d):
+    t = Traversal.from_nodes(D.graph(spark, d), [D.NATION + 3]).in_("IN_NATION").where_node(F.col("acctbal") > 3000)
+    return t.select("acctbal").select("node_id", "acctbal")
+
+
+@query("""WITH c AS (SELECT id FROM {n} WHERE acctbal > 3000 AND id IN (SELECT src FROM {e} WHERE etype = 'IN_NATION' AND dst = 2000000000003))
+SELECT DISTINCT dst AS node_id FROM {e} WHERE etype = 'PLACED' AND src IN (SELECT id FROM c) AND totalprice < 100000""")
+def step_filter(spark, d):
+    t = Traversal.from_nodes(D.graph(spark, d), [D.NATION + 3]).in_("IN_NATION", where_node=F.col("acctbal") > 3000)
+    return t.out("PLACED", where_edge=F.col("totalprice") < 100000).ids()
+
+
+@query(f"SELECT n.id AS node_id, n.key, n.totalprice FROM {{n}} n WHERE n.id IN (SELECT dst FROM {{e}} WHERE etype = 'PLACED' AND src IN ({_ints(START)}))")
+def select_props(spark, d):
+    return Traversal.from_nodes(D.graph(spark, d), START).out("PLACED").select("totalprice")
+
+
+REACH = """WITH RECURSIVE r AS (SELECT 5000000000000 + 1 AS x, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN {{route}} e ON e.src = r.x WHERE r.depth < {most}{also}),
+m AS (SELECT x AS node_id, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY x) SELECT node_id, depth FROM m WHERE depth >= {least}"""
+
+
+@query(REACH.format(most=3, least=1, also=""))
+def traverse_1_3(spark, d):
+    return Traversal.from_nodes(D.route_graph(spark, d), [D.PART + 1]).traverse("ROUTE", max_depth=3).results().select("node_id", "depth")
+
+
+@query(REACH.format(most=4, least=3, also=""))
+def traverse_min_depth(spark, d):
+    return Traversal.from_nodes(D.route_graph(spark, d), [D.PART + 1]).traverse("ROUTE", max_depth=4, min_depth=3).results().select("node_id", "depth")
+
+
+@query(REACH.format(most=5, least=1, also=" AND e.w > 10 AND e.dst % 3 <> 0"))
+def traverse_filtered(spark, d):
+    t = Traversal.from_nodes(D.route_graph(spark, d), [D.PART + 1])
+    return t.traverse("ROUTE", max_depth=5, where_edge=F.col("weight") > 10, where_node=F.col("id") % 3 != 0).results().select("node_id", "depth")
+
+
+@query("""WITH RECURSIVE r AS (SELECT 5000000000000 + unnest(range(5)) AS o, 5000000000000 + unnest(range(5)) AS x, 0 AS depth UNION SELECT r.o, e.dst, r.depth + 1 FROM r JOIN {route} e ON e.src = r.x WHERE r.depth < 3)
+SELECT o AS origin, x AS node_id, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY o, x HAVING min(depth) > 0""")
+def traverse_per_origin(spark, d):
+    return T.traverse_per_origin(D.route_graph(spark, d), [D.PART + k for k in range(5)], 3, "ROUTE")
+
+
+@query(f"SELECT src, etype, dst, totalprice FROM {{e}} WHERE etype = 'PLACED' AND src IN ({_ints(START)})")
+def traversal_edges(spark, d):
+    return Traversal.from_nodes(D.graph(spark, d), START).out("PLACED").edges(props=True).select(*EDGE_KEY, "totalprice")
+
+
+@query("SELECT b.src, b.etype, b.dst FROM {route} a JOIN {route} b ON b.src = a.dst WHERE a.src = 5000000000002")
+def raw_edges(spark, d):
+    t = Traversal.from_nodes(D.route_graph(spark, d), [D.PART + 2]).out("ROUTE").out("ROUTE").unique(T.NONE)
+    return t.raw_edges()
+
+
+@query("SELECT dst AS node_id FROM {e} WHERE src = 6000000000004 AND etype = 'CONTAINS' ORDER BY dst LIMIT 2")
+def take_ordered(spark, d):
+    return Traversal.from_nodes(D.graph(spark, d), [D.ORDER + 4]).out("CONTAINS").take(2).ids()
+
+
+@query("SELECT min(dst) AS node_id FROM {e} WHERE src = 6000000000004 AND etype = 'CONTAINS'")
+def first_result(spark, d):
+    return Traversal.from_nodes(D.graph(spark, d), [D.ORDER + 4]).out("CONTAINS").first().select("node_id")
+
+
+@query(REACH.format(most=6, least=1, also="").replace("SELECT node_id, depth FROM m", "SELECT node_id FROM m"))
+def reachable(spark, d):
+    return T.reachable_from(D.route_graph(spark, d), D.PART + 1, 6, "ROUTE")
+
+
+@query("""WITH RECURSIVE r AS (SELECT 1000000000001 AS x UNION SELECT e.src FROM r JOIN {e} e ON e.dst = r.x)
+SELECT r.x AS node_id FROM r WHERE r.x <> 1000000000001""")
+def impact_of_region(spark, d):
+    return impact(D.graph(spark, d), D.REGION + 1).select("node_id")
+
+
+# -- counts -------------------------------------------------------------------------------------
+
+
+@query("SELECT type, count(*) AS n FROM {n} GROUP BY type")
+def count_nodes_by_type(spark, d):
+    return D.graph(spark, d).count_nodes_by_type()
+
+
+@query("SELECT count(*) AS n FROM {n}")
+def count_nodes(spark, d):
+    return D.graph(spark, d).count_nodes()
+
+
+@query("SELECT etype, count(*) AS n FROM {e} GROUP BY etype")
+def count_edges_by_type(spark, d):
+    return D.graph(spark, d).count_edges_by_type()
+
+
+@query("SELECT count(*) AS n FROM {e} WHERE etype = 'SUPPLIES'")
+def count_edges(spark, d):
+    return D.graph(spark, d).count_edges("SUPPLIES")
+
+
+@query("SELECT id, count(e.src) AS degree FROM {n} n LEFT JOIN {e} e ON e.src = n.id GROUP BY id")
+def out_degree(spark, d):
+    return D.graph(spark, d).degrees("out")
+
+
+@query("SELECT id, count(e.dst) AS degree FROM {n} n LEFT JOIN {e} e ON e.dst = n.id AND e.etype = 'CONTAINS' GROUP BY id")
+def in_degree(spark, d):
+    return D.graph(spark, d).degrees("in", "CONTAINS")
+
+
+@query("SELECT id, count(x) AS degree FROM {n} n LEFT JOIN (SELECT src AS x FROM {e} UNION ALL SELECT dst FROM {e}) ON x = n.id GROUP BY id")
+def total_degree(spark, d):
+    return D.graph(spark, d).degrees("both")
+
+
+@query("SELECT count(DISTINCT x) AS nodes, CAST(count(*) / 2 AS BIGINT) AS edges FROM (SELECT src AS x FROM {route} UNION ALL SELECT dst FROM {route})")
+def accessor_counts(spark, d):
+    return Graph.from_edges(D.route_edges(spark, d)).accessor_counts()
+
+
+@query("SELECT (SELECT count(*) FROM {n}) AS nodes, (SELECT max(id) FROM {n}) AS max_node_id, (SELECT count(*) FROM {e}) AS edges, (SELECT count(DISTINCT etype) FROM {e}) AS edge_types")
+def graph_stats(spark, d):
+    return D.graph(spark, d).stats()
+
+
+@query("SELECT 'loomgraph_nodes ' || (SELECT count(*) FROM {n}) AS line UNION ALL SELECT 'loomgraph_edges ' || (SELECT count(*) FROM {e}) UNION ALL SELECT 'loomgraph_edge_types 7' UNION ALL SELECT 'loomgraph_max_node_id ' || (SELECT max(id) FROM {n}) UNION ALL SELECT 'loomgraph_dangling_edges 0'")
+def metrics_text(spark, d):
+    return D.graph(spark, d).metrics_text()
+
+
+@query("SELECT 'dangling dst' AS problem, src || '/' || etype || '/' || dst AS item FROM {route} WHERE dst % 50 = 0 UNION ALL SELECT 'dangling src', src || '/' || etype || '/' || dst FROM {route} WHERE src % 50 = 0")
+def integrity_check(spark, d):
+    g = D.route_graph(spark, d)
+    return g.with_nodes(g.nodes.where("id % 50 != 0")).check()
+
+
+@query("SELECT src, etype, dst, CAST(1 AS BIGINT) AS n FROM {route} WHERE src % 9 = 0")
+def edge_reciprocity(spark, d):
+    g = D.route_graph(spark, d)
+    return g.reciprocity(g.edges.where("src % 9 != 0"))
+
+
+@query("SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY name) AS INTEGER) AS id, name FROM (SELECT DISTINCT 'label' AS kind, type AS name FROM {n} UNION ALL SELECT DISTINCT 'etype', etype FROM {e} UNION ALL SELECT 'propkey', unnest(['acctbal','brand','mktsegment','n_lines','name','price','priority','ptype','quantity','retailprice','size','status','totalprice','weight']))")
+def name_catalog(spark, d):
+    return D.graph(spark, d).catalog()
+
+
+# -- paths ------------------------------------------------------------------------------------------
+
+
+@query(REACH.format(most=30, least=0, also="").replace("UNION SELECT e.dst, r.depth + 1 FROM r", "UNION SELECT e.dst, r.depth + 1 FROM (SELECT x, min(depth) AS depth FROM r GROUP BY x) r"))
+def bfs_distance(spark, d):
+    return bfs_depths(D.route_graph(spark, d), D.PART + 1, "ROUTE")
+
+
+DIJKSTRA = """WITH RECURSIVE b(id, cost) USING KEY (id) AS (SELECT 5000000000001 AS id, CAST(0 AS DOUBLE) AS cost
+ UNION SELECT s.id, s.cost FROM (SELECT e.dst AS id, min(b.cost + e.w) AS cost FROM b JOIN {route} e ON e.src = b.id GROUP BY e.dst) s
+ LEFT JOIN recurring.b o ON o.id = s.id WHERE o.id IS NULL OR s.cost < o.cost) """
+
+
+@query(DIJKSTRA + "SELECT id AS node_id, cost FROM b")
+def dijkstra_costs(spark, d):
+    return PathFinder(D.route_graph(spark, d), D.PART + 1, weight=F.col("weight")).costs().select("node_id", "cost")
+
+
+@query(DIJKSTRA + "SELECT cost AS total_weight, true AS found FROM b WHERE id = 5000000000150")
+def dijkstra_cost(spark, d):
+    finder = PathFinder(D.route_graph(spark, d), D.PART + 1, (D.PART + 150,), weight=F.col("weight"))
+    return finder.frame(finder.dijkstra()).select("total_weight", "found")
+
+
+@query(DIJKSTRA + "SELECT min(cost) AS total_weight, true AS found FROM b WHERE id IN (5000000000150, 5000000000101, 5000000000077)")
+def dijkstra_multi_target(spark, d):
+    finder = PathFinder(D.route_graph(spark, d), D.PART + 1, weight=F.col("weight")).to_any([D.PART + 150, D.PART + 101, D.PART + 77])
+    return finder.frame(finder.dijkstra()).select("total_weight", "found")
+
+
+@query(DIJKSTRA + "SELECT cost AS total_weight, true AS found FROM b WHERE id = 5000000000123")
+def a_star(spark, d):
+    finder = PathFinder(D.route_graph(spark, d), D.PART + 1, (D.PART + 123,), weight=F.col("weight"))
+    return finder.frame(finder.a_star(F.lit(0.5))).select("total_weight", "found")
+
+
+@query("SELECT true AS there, false AS back")
+def has_path(spark, d):
+    g = D.graph(spark, d)
+    there = PathFinder(g, D.CUSTOMER + 1, (D.REGION + 1, D.REGION, D.REGION + 2, D.REGION + 3, D.REGION + 4)).has_path()
+    back = PathFinder(g, D.REGION + 1, (D.CUSTOMER + 1,)).has_path()
+    return spark.createDataFrame([(there, back)], "there boolean, back boolean")
+
+
+@query("""WITH RECURSIVE p AS (SELECT [5000000000001] AS path, 5000000000001 AS x, CAST(0 AS DOUBLE) AS w UNION ALL
+ SELECT list_append(p.path, e.dst), e.dst, p.w + e.w FROM p JOIN {route} e ON e.src = p.x WHERE NOT list_contains(p.path, e.dst) AND len(p.path) <= 7 AND p.x <> 5000000000031)
+SELECT CAST(rank AS BIGINT) AS rank, w AS total_weight FROM (SELECT row_number() OVER (ORDER BY w) - 1 AS rank, w FROM p WHERE x = 5000000000031) WHERE rank < 3""")
+def k_shortest(spark, d):
+    finder = PathFinder(D.route_graph(spark, d), D.PART + 1, (D.PART + 31,), weight=F.col("weight"), max_depth=7)
+    paths = finder.k_shortest(3)
+    return spark.createDataFrame([(i, p.total_weight) for i, p in enumerate(paths)], "rank long, total_weight double")
+
+
+# -- vectors -----------------------------------------------------------------------------------------
+
+
+def _vectors(spark, d):
+    return D.table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("vector"))
+
+
+def _store(spark, d, metric=V.COSINE, normalize=True):
+    return knn.VectorStore.of(_vectors(spark, d), 64, metric, normalize)
+
+
+def _asked(spark, d, ids):
+    rows = {r["node_id"]: r["vector"] for r in _vectors(spark, d).where(F.col("node_id").isin(ids)).collect()}
+    return [rows[i] for i in ids]
+
+
+@query("SELECT node_id, round(len, 6) AS norm, abs(len - 1) < 1e-5 AS unit FROM {v}")
+def vec_norm(spark, d):
+    v = F.col("vector")
+    return _vectors(spark, d).select("node_id", F.round(V.norm(v), 6).alias("norm"), V.is_normalized(v).alias("unit"))
+
+
+@query("SELECT a.node_id AS a, b.node_id AS b, round(list_dot_product(a.raw, b.raw), 6) AS dot, round(list_distance(a.raw, b.raw), 6) AS l2, round(power(list_distance(a.raw, b.raw), 2), 6) AS l2_squared, round(1 - list_dot_product(a.raw, b.raw), 6) AS cosine FROM {v} a JOIN {v} b ON b.node_id = (a.node_id + 1) % 500")
+def vec_distances(spark, d):
+    v = _vectors(spark, d)
+    w = v.select(F.col("node_id").alias("b"), F.col("vector").alias("w"))
+    rows = v.join(w, F.col("b") == (F.col("node_id") + 1) % 500)
+    a, b = F.col("vector"), F.col("w")
+    return rows.select(
+        F.col("node_id").alias("a"), "b", F.round(V.dot(a, b), 6).alias("dot"), F.round(V.euclidean(a, b), 6).alias("l2"), F.round(V.squared_euclidean(a, b), 6).alias("l2_squared"), F.round(V.cosine_distance(a, b), 6).alias("cosine")
+    )
+
+
+@query("SELECT node_id, node_id % 7 <> 0 AS valid FROM {v}")
+def vec_valid(spark, d):
+    bad = F.when(F.col("node_id") % 7 == 0, F.transform("vector", lambda x: F.when(F.col("node_id") % 2 == 0, F.lit(0.0)).otherwise(F.lit(float("nan"))))).otherwise(V.doubles(F.col("vector")))
+    return _vectors(spark, d).select("node_id", V.is_valid(bad, 64).alias("valid"))
+
+
+KNN = "SELECT c.node_id, round({dist}, 6) + 0.0 AS distance, round({sim}, 6) + 0.0 AS similarity FROM {{u}} q JOIN {{u}} c ON q.node_id = 7 {where} ORDER BY {dist}, c.node_id LIMIT 10"
+
+
+def _rounded(hits):
+    # 0.0 is added so that a rounded -0.0 is 0.0.
+    return hits.select("node_id", (F.round("distance", 6) + 0.0).alias("distance"), (F.round("similarity", 6) + 0.0).alias("similarity"))
+
+
+@query(KNN.format(dist="(1 - list_dot_product(q.vec, c.vec))", sim="list_dot_product(q.vec, c.vec)", where=""))
+def knn_cosine(spark, d):
+    return _rounded(_store(spark, d).search(_asked(spark, d, [7])[0], 10))
+
+
+@query(KNN.format(dist="list_distance(q.vec, c.vec)", sim="1 / (1 + list_distance(q.vec, c.vec))", where=""))
+def knn_l2(spark, d):
+    return _rounded(_store(spark, d, V.EUCLIDEAN).search(_asked(spark, d, [7])[0], 10))
+
+
+@query(KNN.format(dist="(-list_dot_product(q.vec, c.vec))", sim="list_dot_product(q.vec, c.vec)", where=""))
+def knn_dot(spark, d):
+    return _rounded(_store(spark, d, V.DOT).search(_asked(spark, d, [7])[0], 10))
+
+
+@query(KNN.format(dist="(1 - list_dot_product(q.vec, c.vec))", sim="list_dot_product(q.vec, c.vec)", where="AND c.node_id % 3 = 0 AND list_dot_product(q.vec, c.vec) >= 0.1"))
+def knn_filter_threshold(spark, d):
+    return _rounded(_store(spark, d).search(_asked(spark, d, [7])[0], 10, 0.1, F.col("node_id") % 3 == 0))
+
+
+@query(KNN.format(dist="(1 - list_dot_product(q.vec, c.vec))", sim="list_dot_product(q.vec, c.vec)", where=""))
+def index_search_below_threshold(spark, d):
+    """Below 1,000 vectors the index searches exactly."""
+    store_ = _store(spark, d)
+    small = knn.VectorStore(store_.rows.where("node_id < 500"), 64, store_.metric, True)
+    return _rounded(ann.VectorIndex(small).build().search(_asked(spark, d, [7])[0], 10))
+
+
+MULTI = """WITH p AS (SELECT q.node_id AS q, c.node_id, 1 - list_dot_product(q.vec, c.vec) AS distance FROM {{u}} q JOIN {{u}} c ON q.node_id IN (3, 8, 11)),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, node_id) AS k FROM p), h AS (SELECT node_id, {how}(distance) AS distance FROM r WHERE k <= 20 GROUP BY node_id)
+SELECT node_id, round(distance, 6) + 0.0 AS distance, round(1 - distance, 6) + 0.0 AS similarity FROM h ORDER BY h.distance, node_id LIMIT 10"""
+
+
+def _multi(how):
+    def run(spark, d):
+        q = _vectors(spark, d).where(F.col("node_id").isin(3, 8, 11)).withColumnRenamed("node_id", "query_id")
+        return _rounded(_store(spark, d).search_multi(q, 10, how))
+
+    run.__name__ = f"multi_query_{how}"
+    return query(MULTI.format(how=how))(run)
+
+
+for _how in ("min", "max", "avg", "sum"):
+    _multi(_how)
+
+
+@query()
+def ivf_search(spark, d):
+    return _rounded(ann.IvfIndex.build(_store(spark, d)).search(_asked(spark, d, [7])[0], 10))
+
+
+@query()
+def ivf_list_stats(spark, d):
+    return ann.IvfIndex.build(_store(spark, d)).stats()
+
+
+@query()
+def ivf_pq_search(spark, d):
+    return _rounded(ann.IvfPqIndex.build(_store(spark, d)).search(_asked(spark, d, [7])[0], 10))
+
+
+@query()
+def pq_search(spark, d):
+    s = _store(spark, d)
+    index = ann.PqIndex.train(ann._sample(s.rows), 16).encode(s.rows)
+    return index.search(_asked(spark, d, [7])[0], 10)
+
+
+FRAGMENTS = "SELECT vec_id // 50 AS fragment_id, max(vec_id) = (SELECT max(vec_id) FROM embeddings) AS active, count(*) AS total, count(*) FILTER (WHERE vec_id % 10 < vec_id // 50) AS deleted FROM embeddings GROUP BY 1"
+
+
+@query(f"WITH f AS ({FRAGMENTS}) SELECT fragment_id, round(deleted / total, 6) AS ratio, total - deleted AS live FROM f WHERE NOT active AND deleted / total >= 0.3 ORDER BY deleted / total DESC, fragment_id LIMIT 4")
+def compaction_candidates(spark, d):
+    v = _vectors(spark, d).withColumn("fragment_id", F.floor(F.col("node_id") / 50))
+    top = v.agg(F.max("node_id")).first()[0]
+    f = v.groupBy("fragment_id").agg((F.max("node_id") == top).alias("active"), F.count("*").alias("total"), F.count_if(F.col("node_id") % 10 < F.col("fragment_id")).alias("deleted"))
+    return knn.fragments_to_compact(f).withColumn("ratio", F.round("ratio", 6))
+
+
+# -- changes ----------------------------------------------------------------------------------------------
+
+
+@query("""SELECT id, key, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 2 = 0 THEN 1.5 ELSE acctbal END AS acctbal FROM {n} WHERE type = 'Customer' AND id < 3000000000100
+UNION ALL SELECT 6000000000000 + (SELECT max(o_orderkey) FROM orders) + 1 + row_number() OVER (ORDER BY k), k, 1.5 FROM (SELECT 'customer:x' || unnest(range(5)) AS k)""")
+def upsert_merge(spark, d):
+    g = D.graph(spark, d)
+    known = g.all("Customer").where(F.col("id") < D.CUSTOMER + 100).where("id % 2 = 0").select("key", F.lit(1.5).alias("acctbal"), F.when(F.col("id") % 4 == 0, F.array(F.lit("acctbal"))).alias("unset"))
+    new = spark.range(5).select(F.concat(F.lit("customer:x"), F.col("id").cast("string")).alias("key"), F.lit(1.5).alias("acctbal"), F.lit(None).cast("array<string>").alias("unset"))
+    out = mutate.upsert_nodes(g, known.unionByName(new)).nodes.where("(key like 'customer:%') and (id < 3000000000100 or key like 'customer:x%')")
+    top = D.ORDER + D.table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0]
+    return out.select(F.when(F.col("key").contains("x"), F.col("id") - top + top + 1).otherwise(F.col("id")).alias("id"), "key", "acctbal")
+
+
+BATCH = """WITH o AS (SELECT * FROM {ops}), life AS (SELECT node_id, max(seq) FILTER (WHERE op = 'create_node') AS born, max(seq) FILTER (WHERE op = 'delete_node') AS died FROM o GROUP BY node_id),
+s AS (SELECT node_id, prop, max(seq) AS seq, arg_max(value, seq) AS value FROM o WHERE op = 'set_node_prop' GROUP BY node_id, prop),
+a AS (SELECT s.* FROM s JOIN life l USING (node_id) WHERE (l.died IS NULL OR l.born > l.died) AND (l.died IS NULL OR s.seq > l.died)),
+k AS (SELECT c_custkey + 3000000000000 AS id FROM customer) """
+
+
+def _ops(spark, d):
+    e = D.table(spark, d, "events")
+    op = F.when(F.col("event_type") == "signup", "create_node").when(F.col("event_type") == "error", "delete_node").otherwise("set_node_prop")
+    sets = op == "set_node_prop"
+    return e.select(
+        F.col("event_id").alias("seq"),
+        op.alias("op"),
+        (F.col("user_id") + D.CUSTOMER).alias("node_id"),
+        F.lit(None).cast("string").alias("key"),
+        F.lit(None).cast("long").alias("src"),
+        F.lit(None).cast("string").alias("etype"),
+        F.lit(None).cast("long").alias("dst"),
+        F.when(sets, F.col("event_type")).alias("prop"),
+        F.when(sets, F.floor(F.col("value") * 100).cast("string")).alias("value"),
+    )
+
+
+def _people(spark, d):
+    """Customers with the properties that events set."""
+    nodes = D.table(spark, d, "customer").select((F.col("c_custkey") + D.CUSTOMER).alias("id"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("key"), F.array(F.lit("Customer")).alias("labels"))
+    for p in ("click", "purchase", "view"):
+        nodes = nodes.withColumn(p, F.lit(None).cast("string"))
+    edges = D.graph(spark, d).edges.where("etype = 'PLACED' or etype = 'IN_NATION'").select(*EDGE_KEY, "totalprice")
+    return Graph(nodes, edges, D.SCHEMA)
+
+
+@query(BATCH + """SELECT k.id, max(value) FILTER (WHERE prop = 'click') AS click, max(value) FILTER (WHERE prop = 'purchase') AS purchase, max(value) FILTER (WHERE prop = 'view') AS view
+FROM k LEFT JOIN life l ON l.node_id = k.id LEFT JOIN a ON a.node_id = k.id WHERE l.died IS NULL OR l.born > l.died GROUP BY k.id""")
+def batch_fold(spark, d):
+    return mutate.batch(_people(spark, d), _ops(spark, d)).nodes.select("id", "click", "purchase", "view")
+
+
+@query(BATCH + "SELECT e.src, e.etype, e.dst FROM {e} e LEFT JOIN life l ON l.node_id = e.src WHERE e.etype IN ('PLACED', 'IN_NATION') AND l.died IS NULL")
+def batch_edges(spark, d):
+    return mutate.batch(_people(spark, d), _ops(spark, d)).edges.select(*EDGE_KEY)
+
+
+@query("SELECT src, etype, dst FROM {e} WHERE src <> 2000000000003 AND dst <> 2000000000003")
+def delete_cascade(spark, d):
+    g = D.graph(spark, d)
+    return mutate.delete_nodes(g, g.by_key("nation:3").select("id")).edges.select(*EDGE_KEY)
+
+
+@query("SELECT src, etype, dst FROM {route} UNION SELECT 5000000000000 + p_partkey, 'ROUTE', 5000000000000 + p_partkey FROM part")
+def add_edges(spark, d):
+    g = D.route_graph(spark, d)
+    loops = g.nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    return mutate.link(g, "ROUTE", loops).edges.select(*EDGE_KEY)
+
+
+@query("SELECT src, etype, dst, CASE WHEN src % 3 = 0 THEN 9.5 ELSE w END AS weight FROM {route}")
+def set_edge_property(spark, d):
+    g = D.route_graph(spark, d)
+    return mutate.set_edge_prop(g, "weight", g.edges.where("src % 3 = 0").select(*EDGE_KEY, F.lit(9.5).alias("value"))).edges.select(*EDGE_KEY, "weight")
+
+
+@query("SELECT id, CASE WHEN id % 5 = 0 THEN 'Part,Rare' ELSE 'Part' END AS labels FROM {n} WHERE type = 'Part'")
+def add_label(spark, d):
+    g = D.route_graph(spark, d)
+    return mutate.add_label(g, "Rare", g.nodes.where("id % 5 = 0").select("id")).nodes.select("id", F.concat_ws(",", "labels").alias("labels"))
+
+
+@query("SELECT src, etype, dst FROM {route} WHERE src % 4 <> 0 UNION SELECT src + 1, etype, dst FROM {route} WHERE src % 4 = 0")
+def overlay_merge(spark, d):
+    edges = D.route_edges(spark, d).select(*EDGE_KEY)
+    gone = edges.where("src % 4 = 0")
+    return mutate.overlay(edges, gone, gone.withColumn("src", F.col("src") + 1), EDGE_KEY)
+
+
+@query("SELECT 'node' AS type, count(*) AS n FROM {n} UNION ALL SELECT 'edge', count(*) FROM {e} UNION ALL SELECT 'header', 1 UNION ALL SELECT 'schema', 1")
+def export_jsonl(spark, d):
+    lines = store.jsonl_lines(D.graph(spark, d)).select(F.get_json_object("line", "$.type").alias("type"))
+    return lines.groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n.id AS id, n.key, n.size FROM {n} n WHERE type = 'Part' UNION ALL SELECT 5000000000000 + (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY id), key || 'x', size FROM {n} WHERE type = 'Part' AND id % 2 = 0")
+def import_remap(spark, d):
+    g = D.route_graph(spark, d)
+    nodes, edges = store.export_frames(g)
+    nodes = nodes.withColumn("key", F.when(F.col("id") % 2 == 0, F.concat("key", F.lit("x"))).otherwise(F.col("key")))
+    return store.merge_import(g, nodes, edges).nodes.select("id", "key", "size")
+
+
+@query("""WITH m AS (SELECT id AS old, CASE WHEN id % 2 = 0 THEN 5000000000000 + (SELECT max(p_partkey) FROM part) + row_number() OVER (PARTITION BY id % 2 ORDER BY id) ELSE id END AS new FROM {n} WHERE type = 'Part')
+SELECT src, etype, dst, w AS weight FROM {route} UNION SELECT a.new, etype, b.new, w FROM {route} JOIN m a ON a.old = src JOIN m b ON b.old = dst""")
+def import_edges(spark, d):
+    g = D.route_graph(spark, d)
+    nodes, edges = store.export_frames(g)
+    nodes = nodes.withColumn("key", F.when(F.col("id") % 2 == 0, F.concat("key", F.lit("x"))).otherwise(F.col("key")))
+    return store.merge_import(g, nodes, edges).edges.select(*EDGE_KEY, "weight")
+
+
+# -- versions and log ------------------------------------------------------------------------------------
+
+
+def _versions(spark, d):
+    e = D.table(spark, d, "events")
+    return e.select(
+        F.lit("node").alias("entity"),
+        (F.col("user_id") + D.CUSTOMER).alias("entity_id"),
+        F.lit("last").alias("prop"),
+        F.col("event_type").alias("value"),
+        (F.col("event_id") + 1).alias("txid"),
+        (F.col("event_id") + 1).alias("commit_ts"),
+        (F.col("event_type") == "error").alias("deleted"),
+    )
+
+
+@query("SELECT entity_id, value, commit_ts FROM (SELECT user_id + 3000000000000 AS entity_id, arg_max(event_type, event_id) AS value, max(event_id) + 1 AS commit_ts FROM events WHERE event_id + 1 < 500 GROUP BY user_id) WHERE value <> 'error'")
+def as_of_read(spark, d):
+    return versions.as_of(_versions(spark, d), 500).select("entity_id", "value", "commit_ts")
+
+
+@query("""WITH c AS (SELECT user_id, max(event_id) + 1 AS ts FROM events GROUP BY user_id), w AS (SELECT user_id AS u, event_id + 1 AS txid, event_id - 20 AS start FROM events WHERE event_id % 10 = 0)
+SELECT w.txid, 'nodeprop:' || (w.u + 3000000000000) || ':last' AS key, c.ts AS commit_ts FROM w JOIN c ON c.user_id = w.u WHERE c.ts >= w.start""")
+def tx_conflicts(spark, d):
+    v = _versions(spark, d)
+    none = F.lit(None).cast("long")
+    ops = v.select("txid", F.lit("set_node_prop").alias("op"), F.col("entity_id").alias("node_id"), none.alias("src"), F.lit(None).cast("string").alias("etype"), none.alias("dst"), "prop")
+    touched = versions.conflict_keys(ops)
+    commits = touched.select("key", F.col("txid").alias("commit_ts"))
+    active = v.where((F.col("txid") - 1) % 10 == 0).select("txid", (F.col("txid") - 21).alias("start_ts"))
+    return versions.conflicts(active, touched, commits)
+
+
+@query("""WITH v AS (SELECT user_id + 3000000000000 AS entity_id, event_id + 1 AS commit_ts FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY entity_id, commit_ts < 300 ORDER BY commit_ts DESC) AS r FROM v),
+s AS (SELECT entity_id, commit_ts, row_number() OVER (PARTITION BY entity_id ORDER BY commit_ts DESC) AS d FROM k WHERE commit_ts >= 300 OR r = 1) SELECT entity_id, commit_ts FROM s WHERE d <= 10""")
+def version_gc(spark, d):
+    return versions.collect_garbage(_versions(spark, d), 300, 100_000).select("entity_id", "commit_ts")
+
+
+def _log(spark, d):
+    ops = _ops(spark, d)
+    return ops.select(F.lit(1).cast("long").alias("epoch"), F.col("seq").alias("log_index"), F.floor(F.col("seq") / 5).alias("txid"), F.lit(0).alias("seq"), "op", "node_id", "key", "src", "etype", "dst", "prop", "value")
+
+
+@query("SELECT event_id AS log_index, event_id // 5 AS txid FROM events WHERE (event_id // 5) % 3 <> 0")
+def committed_transactions(spark, d):
+    log = _log(spark, d)
+    commits = log.select("epoch", F.lit(10**9).cast("long").alias("log_index"), "txid", F.lit(1).alias("seq"), F.lit("commit").alias("op")).distinct().where("txid % 3 != 0")
+    for c, t in log.dtypes:
+        if c not in commits.columns:
+            commits = commits.withColumn(c, F.lit(None).cast(t))
+    return changelog.committed(log.unionByName(commits)).select("log_index", "txid")
+
+
+@query(BATCH + """, d AS (SELECT node_id, max(seq) FILTER (WHERE op = 'delete_node') AS died FROM o GROUP BY node_id)
+SELECT s.node_id, s.prop, s.value FROM s LEFT JOIN d USING (node_id) WHERE d.died IS NULL OR s.seq > d.died""")
+def wal_replay(spark, d):
+    return changelog.latest_values(_log(spark, d))
+
+
+@query(BATCH + """SELECT k.id, max(value) FILTER (WHERE prop = 'click') AS click, max(value) FILTER (WHERE prop = 'view') AS view
+FROM k LEFT JOIN life l ON l.node_id = k.id LEFT JOIN a ON a.node_id = k.id WHERE l.died IS NULL OR l.born > l.died GROUP BY k.id""")
+def cdc_apply(spark, d):
+    """Frames delivered twice count once."""
+    log = _log(spark, d)
+    return changelog.replay(_people(spark, d), log.unionByName(log.where("log_index % 3 = 0"))).nodes.select("id", "click", "view")
+
+
+@query("SELECT event_id AS log_index FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 64")
+def log_frames_after(spark, d):
+    return changelog.frames_after(_log(spark, d), 1, 100, 64).select("log_index")
+
+
+@query("SELECT least((SELECT max(event_id) FROM events) - 100, 51) AS floor")
+def retention_floor(spark, d):
+    head = D.table(spark, d, "events").agg(F.max("event_id")).first()[0]
+    progress = spark.createDataFrame([("a", 1, 50), ("b", 1, 400), ("c", 0, 3)], "replica string, epoch long, applied long")
+    return spark.createDataFrame([(changelog.retention_floor(head, 1, progress, 100),)], "floor long")
+
+
+@query("SELECT replica, CAST(1 AS BIGINT) AS epoch, applied, head, head - applied AS lag FROM (VALUES ('a', 50::BIGINT), ('b', 400::BIGINT)) p(replica, applied), (SELECT max(event_id) AS head FROM events)")
+def replica_lag(spark, d):
+    progress = spark.createDataFrame([("a", 1, 50), ("b", 1, 400)], "replica string, epoch long, applied long")
+    return changelog.lag(_log(spark, d), progress)
+
 
 def queries():
-    return {}
+    return dict(_found)
 
 
 def oracle_sql():
-    return {}
+    return dict(_sql)
