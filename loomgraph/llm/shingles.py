@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +46,8 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 
 class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= WORD_MOST:
             if len(self) >= MEMORY:
                 self.clear()
@@ -57,23 +56,12 @@ class _Words(dict):
 
 
 _words = _Words()
-_lower = str.maketrans(UPPER, LOWER)
-#: str.split() cuts at more than the contract's white space.
-_OTHER_SPACE = "".join(c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \t\n\x0b\f\r")
-
+_lower = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
-def words_of(text: str) -> list[str]:
-    import re
 
-    text = text.lower() if text.isascii() else text.translate(_lower)
-    global _other
-    try:
-        odd = _other
-    except NameError:
-        odd = _other = re.compile(f"[{_OTHER_SPACE}]")
-    if odd.search(text):
-        return [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
-    return text.split()
+def words_of(text: str) -> list[bytes]:
+    """A-Z lower-cased, split at blanks and the control characters 9 to 13 (as bytes.split does)."""
+    return text.encode("utf-8", "surrogatepass").translate(_lower).split()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -102,7 +90,9 @@ def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
         out = out * _ODD[0] + (h[k : len(h) - n + 1 + k] ^ _ODD[1 + k % 4])
         if k % 2:
             out ^= out >> np.uint64(29)
-    return np.unique(_mix(out))
+    out = _mix(out)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -110,13 +100,18 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def ordered(shingles: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Rare first: by the table's code, then by hash."""
-    code = codes[(shingles >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-    return shingles[np.lexsort((shingles, code))]
+    """Rare first: by the table's code, then by hash (shingles come sorted by it)."""
+    code = codes[(shingles >> np.uint64(64 - TABLE_BITS)).view(np.int64)]
+    return shingles[np.argsort(code, kind="stable")]
 
 
-def parts_of(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
+def parts_of(shingles: np.ndarray) -> bytes:
+    """How many fall into each part, as unsigned 16-bit. A set too large for that says
+    so in every part, which then excludes nothing."""
+    parts = np.bincount((shingles & np.uint64(PARTS - 1)).view(np.int64), minlength=PARTS)
+    if parts.max() > 0xFFFF:
+        parts[:] = 0xFFFF
+    return parts.astype("<u2").tobytes()
 
 
 def _first_pass(n: int):
@@ -176,7 +171,7 @@ def _second_pass(shared, n: int, percent: int):
                 s = shingle_set(t.as_py(), n)
                 sizes.append(len(s))
                 prefixes.append(ordered(s, codes)[: prefix_size(len(s), percent)].view(np.int64))
-                parts.append(parts_of(s).astype("<u4").tobytes())
+                parts.append(parts_of(s))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parts, pa.binary())], names=["id", "n", "prefix", "parts"]
             )
@@ -184,45 +179,39 @@ def _second_pass(shared, n: int, percent: int):
     return run
 
 
-def _pairs(sizes, prefixes, parts, sides, pivots, family, percent):
-    """Index arrays of the pairs of a block pair that may link. sides: 0 and 1 where
-    two blocks meet (only pairs across count), all 0 for one block with itself."""
+def _pairs(sizes, parts, sides, percent):
+    """Index arrays of the pairs of a block pair that may link by length and suffix
+    filter, and the overlap each needs. sides tell two blocks apart where two meet
+    (then only pairs across count)."""
     m = len(sizes)
     ok = np.triu(np.ones((m, m), dtype=bool), 1)
     if sides.any():
         ok &= sides[:, None] != sides[None, :]
-    low, high = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
-    ok &= 100 * low >= percent * high
-    if not ok.any():
-        return np.zeros(0, dtype=int), np.zeros(0, dtype=int)
-    # The overlap that is needed: 100 * o >= percent * (a + b - o).
-    need = -(-percent * (sizes[:, None] + sizes[None, :]) // (100 + percent))
-    # Suffix filter: n-grams in different parts of the hash space can't be shared.
+    ok &= 100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :])
     i, j = np.nonzero(ok)
+    # 100 * o >= percent * (a + b - o)
+    need = -(-percent * (sizes[i] + sizes[j]) // (100 + percent))
     keep = np.zeros(len(i), dtype=bool)
-    for a in range(0, len(i), 1 << 16):
-        x, y = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
-        keep[a : a + (1 << 16)] = np.minimum(parts[x], parts[y]).sum(axis=1) >= need[x, y]
-    i, j = i[keep], j[keep]
-    if len(i) and pivots is not None:
-        # A pair that shares several families is left to the least of them.
-        first = [next((p for p in pivots[a] if p in pivots[b]), family) for a, b in zip(i, j)]
-        own = np.array(first, dtype=np.int64) == family
-        i, j = i[own], j[own]
-    if not len(i):
-        return i, j
-    # Prefix and positional filter: the first prefix n-gram that both share, and what
-    # can still be shared after it.
-    places = [{h: k for k, h in enumerate(p)} for p in prefixes]
+    for a in range(0, len(i), 1 << 14):
+        part = slice(a, a + (1 << 14))
+        # N-grams in different parts of the hash space can't be shared.
+        keep[part] = np.minimum(parts[i[part]], parts[j[part]]).sum(axis=1) >= need[part]
+    return i[keep], j[keep], need[keep]
+
+
+def _sharing(sizes, prefixes, i, j, need):
+    """Which pairs share a prefix n-gram and can still reach the overlap after the
+    first that they share (prefix and positional filter)."""
+    places = {k: {h: p for p, h in enumerate(prefixes[k])} for k in {*i.tolist(), *j.tolist()}}
     keep = np.zeros(len(i), dtype=bool)
-    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
-        at, q = places[b], None
-        for p, h in enumerate(prefixes[a]):
-            q = at.get(h)
+    for k, (a, b, o) in enumerate(zip(i.tolist(), j.tolist(), need.tolist())):
+        other = places[b]
+        for p, h in enumerate(places[a]):
+            q = other.get(h)
             if q is not None:
+                keep[k] = min(sizes[a] - p, sizes[b] - q) >= o
                 break
-        keep[k] = q is not None and 1 + min(sizes[a] - p, sizes[b] - q) - 1 >= need[a, b]
-    return i[keep], j[keep]
+    return keep
 
 
 def _runs(batches, columns):
@@ -241,26 +230,37 @@ def _runs(batches, columns):
         yield key, waiting
 
 
+def _block(rows, x, at):
+    """Sizes, parts and sides of a block pair's rows; at: columns of block, n and parts."""
+    sizes = np.array([r[at[1]] for r in rows], dtype=np.int64)
+    parts = np.array([np.frombuffer(r[at[2]], dtype="<u2") for r in rows]).astype(np.int32)
+    return sizes, parts, np.array([r[at[0]] != x for r in rows])
+
+
+def _batches(rows, names):
+    """Tuples of longs as record batches of bounded size."""
+    out = []
+    for r in rows:
+        out.append(r)
+        if len(out) >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
+
+
 def _filter(percent: int):
-    def run(batches):
-        out = []
-        for (family, x, y), rows in _runs(batches, ["id", "block", "n", "prefix", "parts"]):
+    def left(batches):
+        for (family, x, y), rows in _runs(batches, ["id", "block", "n", "parts"]):
             if len(rows) > 1:
-                sizes = np.array([r[2] for r in rows], dtype=np.int64)
-                parts = np.array([np.frombuffer(r[4], dtype="<u4") for r in rows]).astype(np.int32)
-                sides = np.array([r[1] != x for r in rows])
-                i, j = _pairs(sizes, [r[3] for r in rows], parts, sides, None, family, percent)
-                out += [(family, rows[k][0]) for k in set(i.tolist()) | set(j.tolist())]
-            if len(out) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["family", "id"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["family", "id"])
+                i, j, _ = _pairs(*_block(rows, x, (1, 2, 3)), percent)
+                for k in {*i.tolist(), *j.tolist()}:
+                    yield family, rows[k][0]
 
-    return run
+    return lambda batches: _batches(left(batches), ["family", "id"])
 
 
-def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _overlaps(sets: dict[int, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the pairs (i, j)."""
     used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
     i, j = back[: len(i)], back[len(i) :]
@@ -282,42 +282,48 @@ def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarra
     return np.rint(total[i, j]).astype(np.int64)
 
 
-def _verify(n: int, percent: int):
-    def run(batches):
-        out = []
-        for (family, x, y), rows in _runs(batches, ["id", "block", "n", "prefix", "parts", "families", "text"]):
-            if len(rows) > 1:
-                sizes = np.array([r[2] for r in rows], dtype=np.int64)
-                parts = np.array([np.frombuffer(r[4], dtype="<u4") for r in rows]).astype(np.int32)
-                sides = np.array([r[1] != x for r in rows])
-                i, j = _pairs(sizes, [r[3] for r in rows], parts, sides, [r[5] for r in rows], family, percent)
-                if len(i):
-                    sets = [None] * len(rows)
-                    for k in set(i.tolist()) | set(j.tolist()):
-                        sets[k] = shingle_set(rows[k][6], n)
-                    o = _overlaps(sets, i, j)
-                    linked = 100 * o >= percent * (sizes[i] + sizes[j] - o)
-                    root = local_roots(len(rows), i[linked], j[linked])
-                    out += [(rows[k][0], rows[r][0]) for k, r in enumerate(root.tolist()) if r != k]
-            if len(out) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-
-    return run
-
-
-def _blocked(members: DataFrame, n_parts: int) -> DataFrame:
-    """members (family, id, ...) once for each pair of blocks of the family that they
-    are in, sorted by block pair in each partition."""
-    sizes = members.groupBy("family").agg(F.count("*").alias("members"))
+def _verify(shared, n: int, percent: int):
+    def links(batches):
+        codes = np.frombuffer(shared.value, dtype=np.uint8)
+        for (family, x, y), rows in _runs(batches, ["id", "block", "n", "parts", "families", "text"]):
+            if len(rows) < 2:
+                continue
+            sizes, parts, sides = _block(rows, x, (1, 2, 3))
+            i, j, need = _pairs(sizes, parts, sides, percent)
+            # A pair that shares several families is left to the least of them.
+            families = [r[4] for r in rows]
+            alone = [k for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())) if next(f for f in families[a] if f in families[b]) == family]
+            i, j, need = i[alone], j[alone], need[alone]
+            if not len(i):
+                continue
+            sets, prefixes = {}, {}
+            for k in {*i.tolist(), *j.tolist()}:
+                sets[k] = shingle_set(rows[k][5], n)
+                prefixes[k] = ordered(sets[k], codes)[: prefix_size(len(sets[k]), percent)].tolist()
+            keep = _sharing(sizes, prefixes, i, j, need)
+            i, j = i[keep], j[keep]
+            if not len(i):
+                continue
+            o = _overlaps(sets, i, j)
+            linked = 100 * o >= percent * (sizes[i] + sizes[j] - o)
+            root = local_roots(len(rows), i[linked], j[linked])
+            for k, r in enumerate(root.tolist()):
+                if r != k:
+                    yield rows[k][0], rows[r][0]
+
+    return lambda batches: _batches(links(batches), ["a", "b"])
+
+
+def _blocked(members: DataFrame, extra: DataFrame, n_parts: int) -> DataFrame:
+    """members (family, id) once for each pair of blocks of the family that they are in,
+    with the columns of extra (by id), sorted by block pair in each partition. Only ids
+    travel until each row knows its block pairs."""
+    sizes = members.groupBy("family").agg(F.count("*").alias("members")).where("members > 1")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = members.join(sizes.where("members > 1"), "family").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    rows = rows.select(*[c for c in rows.columns if c != "members"], others)
-    rows = rows.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other")
-    return rows.repartition(n_parts, "family", "x", "y").sortWithinPartitions("family", "x", "y")
+    rows = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    rows = rows.select("family", "id", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("family", "id", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    return rows.join(extra.hint("merge"), "id").repartition(n_parts, "family", "x", "y").sortWithinPartitions("family", "x", "y")
 
 
 def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -348,18 +354,18 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     classes = written(classes, "shingle-classes")
     second = source.where("id is not null").mapInArrow(_second_pass(shared, n, percent), "id long, n int, prefix array<long>, parts binary")
     reps = classes.select(F.col("rep").alias("id")).distinct()
-    second = written(second.where("n > 0").join(reps, "id", "left_semi"), "shingle-prefixes")
+    second = written(second.where("n > 0").join(reps.hint("merge"), "id", "left_semi"), "shingle-prefixes")
 
     postings = second.select("id", F.explode("prefix").alias("h"))
     firsts = postings.groupBy("h").agg(F.min("id").alias("family"), F.count("*").alias("c")).where("c > 1").drop("c")
     members = written(postings.join(firsts, "h").select("family", "id").distinct(), "shingle-families")
-    light = _blocked(members.join(second, "id"), tasks)
+    light = _blocked(members, second.select("id", "n", "parts"), tasks)
     left = written(light.mapInArrow(_filter(percent), "family long, id long").distinct(), "shingle-candidates")
 
     families = left.groupBy("id").agg(F.sort_array(F.collect_set("family")).alias("families"))
-    needed = source.join(families, "id").join(second, "id")
-    heavy = _blocked(left.join(needed, "id"), tasks)
-    links = heavy.mapInArrow(_verify(n, percent), "a long, b long")
+    needed = source.join(families.hint("merge"), "id").join(second.select("id", "n", "parts").hint("merge"), "id")
+    heavy = _blocked(left, needed, tasks)
+    links = heavy.mapInArrow(_verify(shared, n, percent), "a long, b long")
     roots = components(links)
 
     near = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
