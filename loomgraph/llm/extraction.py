@@ -254,7 +254,7 @@ class BlockCRF:
         return out[::-1]
 
 
-def labelled_pages(n: int = 140, seed: int = 3) -> list[list[tuple[Block, int]]]:
+def labelled_pages(n: int = 160, seed: int = 3) -> list[list[tuple[Block, int]]]:
     """Pages put together from parts of known kind, for training: each is a list of
     (block, label). Their layouts differ in which containers they use and how they name them."""
     rng = random.Random(seed)
@@ -303,13 +303,28 @@ def labelled_pages(n: int = 140, seed: int = 3) -> list[list[tuple[Block, int]]]
         box = rng.choice(["div", "section", "div"])
         return f"<{box} {attribute}>{body}</{box}>"
 
-    def main_part():
-        lead = rng.choice(["h2", "p", "p", "p", "p", "blockquote", "li"])
+    def main_text_piece():
         text = sentence(1, 3) if rng.random() < 0.15 else sentence(4, 60)
         body = f"<b>{text}<br>" if rng.random() < 0.2 else text
         if rng.random() < 0.15:
             body += f' <a href="/y">{words(1, 3)}</a> {words(0, 4)}'
-        return f"<{lead}>{mark}{body}" + (f"</{lead}>" if lead != "p" or rng.random() < 0.8 else "")
+        return mark + body
+
+    def main_part():
+        kind = rng.choice(["p"] * 8 + ["h2", "h3", "blockquote", "pre", "li", "list", "list", "table", "section", "div", "figure"])
+        many = lambda tag: "".join(f"<{tag}>{main_text_piece()}" + (f"</{tag}>" if rng.random() < 0.6 else "") for _ in range(rng.randint(1, 5)))
+        if kind == "list":
+            box = rng.choice(["ul", "ol"])
+            return f"<{box}>{many('li')}</{box}>"
+        if kind == "table":
+            return f"<table>{''.join(f'<tr>{many("td")}</tr>' for _ in range(rng.randint(1, 3)))}</table>"
+        if kind == "section":
+            return f"<section><h3>{mark}{words(1, 5)}</h3>{many('p')}</section>"
+        if kind == "div":
+            return f"<div>{many('p')}</div>"
+        if kind == "figure":
+            return f"<figure><img src=x><figcaption>{main_text_piece()}</figcaption></figure>"
+        return f"<{kind}>{main_text_piece()}" + (f"</{kind}>" if kind != "p" or rng.random() < 0.8 else "")
 
     pages = []
     for _ in range(n):

@@ -18,6 +18,8 @@ BUCKETS, SAMPLE = 1 << 16, 4096
 TEMPER = 0.3
 #: Weight, in rows, of what a level of hosts takes over from the level above it.
 HOST_ROWS, DECLARED_ROWS = 8.0, 4.0
+#: A text isn't a language's if it is less likely than chance by more than this (in nats).
+SLACK = 30.0
 
 _TAG = re.compile(r"<script\b.*?(?:</script\s*>|$)|<style\b.*?(?:</style\s*>|$)|<!--.*?(?:-->|$)|<[^>]*>|&#?\w+;?", re.S | re.I)
 _DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
@@ -117,8 +119,8 @@ def identify(
 
     Priors and the reliability of declarations come from all rows, by grouped sums of
     text posteriors: all rows -> suffix -> domain -> host, each level smoothed by the one above.
-    kept is false for rows without letters, for texts less likely in every language
-    than chance over all trigrams, and for languages outside `keep` (default: all).
+    kept is false for rows without letters, for texts far less likely in every language
+    than chance over all trigrams (SLACK), and for languages outside `keep` (default: all).
     Null and empty texts get the language that the other evidence favours and aren't
     kept. Input columns named like the made ones give way; repeated rows get equal
     results; an empty table gives an empty one. Rows aren't moved unless the table of
@@ -193,7 +195,7 @@ def identify(
     logs = [F.col("__logs")[i] + F.log(F.col("__prior")[i]) + F.log(F.col("__claim")[i]) for i in range(size)]
     joined = joined.withColumn("__all", F.array(*logs))
     top = F.array_max("__all")
-    chance = F.col("__logs")[size] * F.lit(float(-TEMPER * np.log(BUCKETS)))
+    chance = F.col("__logs")[size] * F.lit(float(-TEMPER * np.log(BUCKETS))) - F.lit(TEMPER * SLACK)
     lang = F.element_at(F.array(*map(F.lit, languages)), F.array_position("__all", top).cast("int"))
     share = F.lit(1.0) / F.aggregate(F.transform("__all", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
     text_best = F.array_max(F.slice("__logs", 1, size))
