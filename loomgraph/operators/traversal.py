@@ -121,12 +121,16 @@ class Traversal:
         zero = F.struct(F.lit(0).alias("d"), F.lit("").alias("e"), F.col("position").cast("long").alias("n"))
         no_edge = F.lit(None).cast("struct<src:bigint,etype:string,dst:bigint>")
         now = self.start.select("node_id", no_edge.alias("edge"), F.lit(0).alias("depth"), F.array(zero).alias("ord"))
+        if len(self.steps) > 1 and self.uniqueness == GLOBAL:
+            now = cut(now)
         visited = now.select("node_id")
-        for step in self.steps:
+        for place, step in enumerate(self.steps):
             if step.max_depth is None:
                 now = self._expand(now, step)
                 if self.uniqueness == GLOBAL:
                     now = self._first(now.join(visited, "node_id", "left_anti"))
+                    # Each later step reads this frontier twice: as start and as visited.
+                    now = cut(now) if place + 1 < len(self.steps) else now
                     visited = visited.unionByName(now.select("node_id"))
                 elif self.uniqueness == PER_STEP:
                     now = self._first(now)
