@@ -220,6 +220,15 @@ class PqIndex:
         """Squared distances of the query's parts to all centroids, flat."""
         return np.concatenate([((c - q) ** 2).sum(axis=1) for c, q in zip(self.codebooks, np.split(query, len(self.codebooks)))])
 
+    def stats(self) -> DataFrame:
+        m, k, d = self.codebooks.shape
+        return self.rows.agg(
+            F.count("*").alias("vectors"), F.lit(m).alias("subspaces"), F.lit(k).alias("centroids"), F.lit(m * d).alias("dimensions"), F.lit(4.0 * d).alias("compression")
+        )
+
+    def cleared(self) -> PqIndex:
+        return PqIndex(self.codebooks)
+
     def search(self, query, k: int = 10) -> DataFrame:
         q = np.asarray(query, dtype=np.float64)
         d = V.adc_distance(as_vector(self.table(q)), F.col("codes"), self.codebooks.shape[1])
@@ -282,6 +291,13 @@ class IvfPqIndex:
         m, k, d = self.pq.codebooks.shape
         _save_matrix(self.ivf.spark, self.pq.codebooks.reshape(m * k, d), f"{path}/codebooks")
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, dimensions: int, metric: str = V.COSINE, residuals: bool = False) -> IvfPqIndex:
+        ivf = IvfIndex.load(spark, path, dimensions, metric)
+        flat = _load_matrix(spark, f"{path}/codebooks")
+        books = flat.reshape(dimensions // flat.shape[1], -1, flat.shape[1])
+        return cls(ivf, PqIndex(books, spark.read.parquet(f"{path}/codes").select("node_id", "cluster", "codes")), residuals)
+
 
 @dataclass(frozen=True)
 class VectorIndex:

@@ -177,3 +177,58 @@ def merge_import(graph: Graph, nodes: DataFrame, edges: DataFrame, skip_existing
     moved = moved.select(F.col("_s").alias("src"), "etype", F.col("_d").alias("dst"), *eprops).dropDuplicates(EDGE_KEY)
     moved = moved.join(graph.edges.select(*EDGE_KEY), EDGE_KEY, "left_anti").select(*graph.edges.columns)
     return Graph(graph.nodes.unionByName(added.select(*graph.nodes.columns)), graph.edges.unionByName(moved), graph.schema)
+
+
+# -- versions of a store ------------------------------------------------------------
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions that were published whole."""
+    where, files = _files(spark, path)
+    if not files.exists(where):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(where)]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))
+
+
+def publish(graph: Graph, path: str) -> int:
+    """Write the graph beside earlier versions and make it current in one step: the
+    folder gets its name only when everything is in it."""
+    import uuid
+
+    spark = graph.spark
+    number = max(versions(spark, path), default=-1) + 1
+    part = f"{path}/.part-{uuid.uuid4().hex}"
+    save(graph, part)
+    source, files = _files(spark, part)
+    target, _ = _files(spark, f"{path}/version={number}")
+    if files.exists(target) or not files.rename(source, target):
+        files.delete(source, True)
+        raise RuntimeError(f"version {number} was published by another writer")
+    return number
+
+
+def current(spark: SparkSession, path: str, schema: Schema | None = None, number: int | None = None) -> Graph:
+    known = versions(spark, path)
+    if not known or number is not None and number not in known:
+        raise LookupError(f"{path} has no version {'at all' if number is None else number}")
+    return load(spark, f"{path}/version={known[-1] if number is None else number}", schema)
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[int]:
+    """Delete all but the `keep` newest versions; returns their numbers."""
+    gone = versions(spark, path)[:-keep] if keep else versions(spark, path)
+    for n in gone:
+        where, files = _files(spark, f"{path}/version={n}")
+        files.delete(where, True)
+    return gone
+
+
+def optimize(spark: SparkSession, path: str, schema: Schema | None = None) -> int:
+    """Write the current version anew, sorted and in few files, as the next version."""
+    return publish(current(spark, path, schema), path)

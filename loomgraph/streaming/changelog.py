@@ -134,3 +134,22 @@ def prunable(segments: DataFrame, floor: int, older_than: int | None = None) ->
     floor and, if asked, old enough."""
     rows = segments.where(~F.col("active") & (F.col("end_index") > 0) & (F.col("end_index") < floor))
     return rows if older_than is None else rows.where(F.col("written_at") <= older_than)
+
+
+def parse_cursor(text: str) -> tuple[int, int]:
+    """Epoch and log index of "epoch:log_index"."""
+    epoch, index = text.split(":")
+    if int(epoch) < 0 or int(index) < 0:
+        raise ValueError(f"no position: {text!r}")
+    return int(epoch), int(index)
+
+
+def bootstrap(snapshot: Graph, log: DataFrame, cursor: str, most: int = 1 << 30) -> Graph:
+    """A replica from a snapshot taken at the cursor and the frames after it."""
+    return replay(snapshot, frames_after(log, *parse_cursor(cursor), most))
+
+
+def next_epoch(log: DataFrame) -> int:
+    """The epoch of a promoted writer; frames of earlier ones are fenced off (newest_epoch)."""
+    top = log.agg(F.max("epoch")).first()[0]
+    return 1 if top is None else top + 1
