@@ -17,7 +17,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows go to Python in batches of at most so many bytes, whatever their length.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -49,6 +49,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/") if base else spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: What the current operator remembers in this worker.
+_held: list = []
+
+
+def hold(*memories) -> None:
+    """Called by a task before it uses what a worker remembers between tasks (dicts
+    of words and the like): whatever another operator left there is let go, so a worker
+    never holds the memories of several."""
+    if [id(m) for m in memories] != [id(m) for m in _held]:
+        for m in _held:
+            m.clear()
+        _held[:] = memories
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -70,7 +84,7 @@ def _clean() -> None:
         try:
             remove(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended before
-            return
+            continue
 
 
 def written(df: DataFrame, name: str, *keys: str) -> DataFrame:

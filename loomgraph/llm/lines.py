@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, UPPER, carried, fresh_dir, prepare, quoted, row_key, written
+from .common import LOWER, SPACE, UPPER, carried, fresh_dir, prepare, quoted, remove, row_key, written
 
 KEYS = ["h1", "h2"]
 
@@ -42,17 +42,19 @@ class LineRuns:
         self.name, self.made = f"lines_{uuid.uuid4().hex[:12]}", 0
         self.levels: list[list[str]] = [[]]
         self.decided: list[str] = []
+        self.paths: dict[str, str] = {}
 
     def _run(self, counts: DataFrame) -> str:
         self.made += 1
         table = f"{self.name}_{self.made}"
+        self.paths[table] = fresh_dir(self.spark, "run")
         (
             counts.select(*KEYS, "n")
             .repartition(self.buckets, *KEYS)
             .sortWithinPartitions(*KEYS)
             .write.bucketBy(self.buckets, *KEYS)
             .sortBy(*KEYS)
-            .option("path", fresh_dir(self.spark, "run"))
+            .option("path", self.paths[table])
             .saveAsTable(table)
         )
         return table
@@ -84,6 +86,7 @@ class LineRuns:
         self.levels[level] = []
         for table in runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            remove(self.spark, self.paths.pop(table))
 
     def heavy(self) -> DataFrame:
         """h1, h2 of every line found in min_docs documents or more."""

@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, prepare, quoted
+from .common import carried, hold, prepare, quoted
 
 MARK = "▁"
 codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
-#: Remembered words; beyond that the memory starts anew. Longer words aren't kept.
-MEMORY, WORD_MOST = 500_000, 40
+#: Remembered words and pairs of pieces; beyond that the memory starts anew. Longer words aren't kept.
+MEMORY, PAIRS, WORD_MOST = 250_000, 400_000, 40
 
 
 class PieceModel:
@@ -135,7 +135,7 @@ class PieceModel:
                 i += 1
             else:
                 j += 1
-        if len(self._fits) > 2_000_000:
+        if len(self._fits) >= PAIRS:
             self._fits.clear()
         self._fits[a << 20 | b] = known
         return known
@@ -316,6 +316,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", to: str = "ids", dig
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces(model)
+        hold(coder.words, coder.model._fits)
         for batch in batches:
             texts = _texts(batch, "__text")
             columns = [batch.column(i) for i in range(len(rest))]

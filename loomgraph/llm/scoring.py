@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, prepare, quoted
+from .common import carried, hold, prepare, quoted
 
 #: 0: beyond the ends; 1-26: letters without marks; then blank, line feed, digit, other
 #: letter, punctuation and everything else.
@@ -202,6 +202,7 @@ def score(docs: DataFrame, network: WindowNetwork, text: str = "text") -> DataFr
     kinds = dict(docs.dtypes)
 
     def run(batches):
+        hold(_tables)
         table = _looked_up(shared.value)
         for batch in batches:
             body = batch.column(len(rest))

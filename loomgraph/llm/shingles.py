@@ -33,14 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, carried, prepare, quoted, written
+from .common import LOWER, UPPER, carried, hold, prepare, quoted, written
 from .components import components, local_roots
 
 TABLE_BITS, CHUNK_BITS = 22, 16
 PARTS = 64
 #: Members of a family's block. A task holds two blocks.
 BLOCK = 128
-MEMORY, WORD_MOST = 500_000, 60
+MEMORY, WORD_MOST = 300_000, 60
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -116,6 +116,7 @@ def parts_of(shingles: np.ndarray) -> bytes:
 
 def _first_pass(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(_words)
         table = np.zeros(1 << TABLE_BITS, dtype=np.int64)
         for batch in batches:
             sizes, first, second, hashes = [], [], [], []
@@ -164,6 +165,7 @@ def _add_chunks(batches):
 
 def _second_pass(shared, n: int, percent: int):
     def run(batches):
+        hold(_words)
         codes = np.frombuffer(shared.value, dtype=np.uint8)
         for batch in batches:
             sizes, prefixes, parts = [], [], []
@@ -284,6 +286,7 @@ def _overlaps(sets: dict[int, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
 
 def _verify(shared, n: int, percent: int):
     def links(batches):
+        hold(_words)
         codes = np.frombuffer(shared.value, dtype=np.uint8)
         for (family, x, y), rows in _runs(batches, ["id", "block", "n", "parts", "families", "text"]):
             if len(rows) < 2:

@@ -29,7 +29,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, prepare, quoted
+from .common import fresh_dir, hold, prepare, quoted
 
 MAGIC = b"LGT1"
 NO_ID = -(1 << 63)
@@ -258,6 +258,7 @@ def write_token_files(
 
     def write(batches):
         words, end = coder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        hold(words.words, words.words.tokens)
         waiting, n, place_in_task = [], 0, 0
 
         def shard():
