@@ -79,35 +79,42 @@ class PathFinder:
         """node_id, cost, depth, parent, edge of every node reached.
 
         Each round relaxes the nodes improved in the last one; a node keeps the least
-        (cost, depth, parent, etype). One aggregate and one join a round."""
-        steps = self._steps().persist() if steps is None else steps
+        (cost, depth, parent, etype), an older one at equal cost. A round is one join of
+        the frontier with the edges, which stay where they are, dealt by node, and one
+        aggregate; only one row of counts comes to the driver."""
+        steps = self._dealt() if steps is None else steps
         spark = self.graph.spark
-        best = spark.createDataFrame([(self.source, 0.0, 0, None, None)], "node_id long, cost double, depth int, parent long, edge struct<src:bigint,etype:string,dst:bigint>")
-        frontier = best
+        edge = "struct<src:bigint,etype:string,dst:bigint>"
+        best = spark.createDataFrame([(self.source, 0.0, 0, None, None, 0)], f"node_id long, cost double, depth int, parent long, edge {edge}, round int")
         if self.heuristic is not None:
             h = self.graph.nodes.select(F.col("id").alias("node_id"), F.coalesce(self.heuristic, F.lit(0.0)).alias("h"))
+        round_, limit = 0, None
         while True:
-            near = frontier.where(F.col("depth") < self.max_depth).withColumnRenamed("node_id", "id").join(steps, "id")
+            frontier = best.where((F.col("round") == round_) & (F.col("depth") < self.max_depth))
+            # What can't beat the nearest target found so far needn't be followed.
+            if limit is not None:
+                if self.heuristic is not None:
+                    frontier = frontier.join(h, "node_id", "left").where(F.col("cost") + F.coalesce("h", F.lit(0.0)) < limit)
+                else:
+                    frontier = frontier.where(F.col("cost") < limit)
+            round_ += 1
+            near = frontier.withColumnRenamed("node_id", "id").select("id", "cost", "depth").join(steps, "id")
             near = near.select(
-                F.col("neighbor").alias("node_id"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("depth") + 1).alias("depth"), F.col("id").alias("parent"), F.struct(*EDGE_KEY).alias("edge")
+                F.col("neighbor").alias("node_id"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("depth") + 1).alias("depth"), F.col("id").alias("parent"), F.struct(*EDGE_KEY).alias("edge"), F.lit(round_).alias("round")
             )
-            better = near.groupBy("node_id").agg(F.min(F.struct("cost", "depth", "parent", F.col("edge.etype").alias("t"), "edge")).alias("b"))
-            better = better.select("node_id", "b.cost", "b.depth", "b.parent", "b.edge")
-            old = best.select("node_id", F.col("cost").alias("old"))
-            better = better.join(old, "node_id", "left").where(F.col("old").isNull() | (F.col("cost") < F.col("old"))).drop("old")
-            if stop_at_targets and self.targets:
-                # What can't beat the nearest target found so far needn't be followed.
-                limit = best.where(F.col("node_id").isin(list(self.targets))).agg(F.min("cost")).first()[0]
-                if limit is not None:
-                    if self.heuristic is not None:
-                        better = better.join(h, "node_id", "left").where(F.col("cost") + F.coalesce("h", F.lit(0.0)) < limit).drop("h")
-                    else:
-                        better = better.where(F.col("cost") < limit)
-            better = cut(better)
-            if better.isEmpty():
-                return best
-            best = cut(best.join(better.select("node_id"), "node_id", "left_anti").unionByName(better))
-            frontier = better
+            both = best.withColumn("fresh", F.lit(0)).unionByName(near.withColumn("fresh", F.lit(1)))
+            least = F.min(F.struct("cost", "fresh", "depth", "parent", F.col("edge.etype").alias("t"), "edge", "round"))
+            best = cut(both.groupBy("node_id").agg(least.alias("b")).select("node_id", "b.cost", "b.depth", "b.parent", "b.edge", "b.round"))
+            hit = F.min(F.when(F.col("node_id").isin(list(self.targets)), F.col("cost"))) if stop_at_targets and self.targets else F.lit(None).cast("double")
+            row = best.agg(F.count_if(F.col("round") == round_).alias("n"), hit.alias("limit")).first()
+            limit = row["limit"]
+            if not row["n"]:
+                return best.drop("round")
+
+    def _dealt(self) -> DataFrame:
+        """The steps computed once and dealt by node: a round's join moves the frontier only."""
+        n = int(self.graph.spark.conf.get("spark.sql.shuffle.partitions"))
+        return cut(self._steps().repartition(n, "id"))
 
     def _walk(self, best: DataFrame, target: int, cost: float) -> Path:
         """Parents back from the target: one small lookup for each edge of the path."""
@@ -151,7 +158,7 @@ class PathFinder:
             return []
         target = min(self.targets)
         one = replace(self, targets=(target,))
-        steps = one._steps().persist()
+        steps = one._dealt()
         best = one.dijkstra(steps)
         if not best.found:
             return []
