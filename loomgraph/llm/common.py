@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -28,6 +30,8 @@ def prepare(spark: SparkSession) -> None:
     if getattr(context, "_loomgraph_sent", False):
         return
     if not spark.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     target = os.path.join(tempfile.mkdtemp(prefix="loomgraph-"), "loomgraph_code.zip")
@@ -61,6 +65,21 @@ def hold(*memories) -> None:
         for m in _held:
             m.clear()
         _held[:] = memories
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system; called when a task is through, since the
+    worker stays while other operators' stages need the executor's memory."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 _written: list[tuple[SparkSession, str]] = []

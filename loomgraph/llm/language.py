@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import carried, prepare, quoted, written
+from .common import carried, hold, prepare, quoted, written
 
 #: Hash buckets of character trigrams; labelled texts that the model is fitted on at most.
 BUCKETS, SAMPLE = 1 << 16, 4096
@@ -133,6 +133,7 @@ def identify(
 
     @arrow_udf("array<double>")
     def evidence(body: pa.Array) -> pa.Array:
+        hold()
         m, out = shared.value, []
         for t in body:
             t = t.as_py()

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, carried, hold, prepare, quoted, written
+from .common import LOWER, UPPER, carried, hold, prepare, quoted, trim, written
 from .components import components, local_roots
 
 TABLE_BITS, CHUNK_BITS = 22, 16
@@ -148,6 +148,8 @@ def _first_pass(n: int):
                     [{"id": None, "n": None, "f1": None, "f2": None, "chunk": chunk, "counts": body}],
                     schema=pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())]),
                 )
+        del table
+        trim()
 
     return run
 
@@ -177,6 +179,7 @@ def _second_pass(shared, n: int, percent: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parts, pa.binary())], names=["id", "n", "prefix", "parts"]
             )
+        trim()
 
     return run
 
