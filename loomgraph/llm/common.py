@@ -68,9 +68,16 @@ def hold(*memories) -> None:
         trim()
 
 
+def let_go() -> None:
+    """Forget what is held: called when a task is through, since the worker stays while
+    other stages need the executor's memory. A task fills its memory anew more than once."""
+    for m in _held:
+        m.clear()
+    trim()
+
+
 def trim() -> None:
-    """Give freed memory back to the system; called when a task is through, since the
-    worker stays while other operators' stages need the executor's memory."""
+    """Give freed memory back to the system."""
     import ctypes
     import gc
 

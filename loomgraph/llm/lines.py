@@ -115,13 +115,11 @@ def drop_common_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, b
     adaptive execution splits where one line is very frequent; only hashes travel."""
     spark = docs.sparkSession
     prepare(spark)
-    if not docs.columns:
-        raise ValueError("docs has no columns")
     k1, k2 = row_key(docs)
     keyed = docs.select(k1.alias("__k1"), k2.alias("__k2"), text_lines(quoted(text)).alias("__lines"))
 
-    # One pass over the texts: for each batch and key, the number of its documents.
-    # k1 is one value for equal rows, so a batch is picked from both hashes' sum.
+    # One pass over the texts: for each batch (by the row's hash) and key, the number of
+    # the batch's documents that hold it.
     counts = (
         keyed.select(
             F.pmod("__k2", F.lit(batches)).cast("int").alias("batch"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, carried, prepare, quoted, row_key, written
+from .common import WORD, prepare, quoted, row_key, written
 
 #: Characters that speak against a text's quality, as share of its length.
 JUNK = "0123456789#$%&*|=<>{}[]^~_@"
@@ -129,7 +129,3 @@ def mixed(docs: DataFrame, mix_rows: DataFrame) -> DataFrame:
         .select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"))
         .select("__row.*")
     )
-
-
-def mix_columns(docs: DataFrame) -> list[str]:
-    return carried(docs, ["size", "source_size", "target", "taken"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, hold, prepare, quoted
+from .common import carried, hold, let_go, prepare, quoted
 
 MARK = "▁"
 codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
@@ -207,25 +207,24 @@ class PieceModel:
             self._run_ids[n] = out
         return self._run_ids[n]
 
-    def entry(self, ids: list[int]) -> tuple[str, int, bytes]:
-        """What is kept of ids: their text, their count, what they decode to."""
-        return ",".join(map(str, ids)), len(ids), b"".join(map(self.surface.__getitem__, ids))
-
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.surface.__getitem__, ids))
 
 
 class _Words(dict):
-    """The entries of parts between blanks (see PieceModel.entry)."""
+    """Ids, as text, of parts between blanks. What they decode to is compared with the
+    part when it is met first; it has only to be kept in mind (`other`) if it differs."""
 
     def __init__(self, model: PieceModel):
         super().__init__()
-        self.model = model
+        self.model, self.other = model, False
 
-    def __missing__(self, word: str):
+    def __missing__(self, word: str) -> str:
         m = self.model
         ids = [*m.part("\n"), *m.part(word[1:])] if word[:1] == "\n" else m.part(MARK + word)
-        entry = m.entry(ids)
+        if m.decode_bytes(ids) != (word if word[:1] == "\n" else " " + word).encode():
+            self.other = True
+        entry = ",".join(map(str, ids))
         if len(word) <= WORD_MOST:
             if len(self) >= MEMORY:
                 self.clear()
@@ -240,34 +239,34 @@ class Pieces:
         self.model = PieceModel(path)
         self.words = _Words(self.model)
 
-    def entries(self, text: str) -> list[tuple]:
-        """The text's parts in order. It is cut before every blank and every line
-        feed: no piece goes over such a place. A part without a line feed in front
-        has a word mark in front; of several marks in a row only the last can join a word."""
-        parts = text.replace(MARK, " ").replace("\n", " \n").split(" ")
-        if "" not in parts:
-            return list(map(self.words.__getitem__, parts))
+    def parts(self, text: str) -> list[str]:
+        """Ids, as text, of the text's parts in order. It is cut before every blank and
+        every line feed: no piece goes over such a place. A part without a line feed in
+        front has a word mark in front; of several marks in a row only the last can join a word."""
+        cut = text.replace(MARK, " ").replace("\n", " \n").split(" ")
+        if "" not in cut:
+            return list(map(self.words.__getitem__, cut))
         m, out, marks = self.model, [], 0
-        for p in parts:
+        alone = str(m.ids[MARK])
+        for p in cut:
             if p == "":
                 marks += 1
                 continue
-            entry = self.words[p]
+            ids = self.words[p]
             if marks:
-                ids = list(map(int, entry[0].split(",")))
-                alone = p[0] != "\n" and ids[0] == m.ids[MARK]
-                out.append(m.entry(m.run(marks + alone)))
-                if alone:
-                    entry = m.entry(ids[1:])
+                first, _, rest = ids.partition(",")
+                joins = p[0] == "\n" or first != alone
+                out.append(",".join(map(str, m.run(marks + (not joins)))))
+                ids = ids if joins else rest
                 marks = 0
-            if entry[1]:
-                out.append(entry)
+            if ids:
+                out.append(ids)
         if marks:
-            out.append(m.entry(m.run(marks)))
+            out.append(",".join(map(str, m.run(marks))))
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return list(map(int, ",".join([e[0] for e in self.entries(text)]).split(","))) if text else []
+        return list(map(int, ",".join(self.parts(text)).split(","))) if text else []
 
     def decode(self, ids) -> str:
         """As the library: bytes that aren't UTF-8 become U+FFFD each; the blank that
@@ -280,12 +279,15 @@ class Pieces:
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """n_tokens, sha256 of the ids, sha256 of the decoded text."""
-        entries = self.entries(text) if text else []
-        ids = ",".join([e[0] for e in entries])
-        # An encoding starts with a word mark; what follows it is valid UTF-8.
-        back = b"".join([e[2] for e in entries])[1:]
-        return sum([e[1] for e in entries]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
+        if not text:
+            return 0, _EMPTY, _EMPTY
+        ids = ",".join(self.parts(text))
+        # Parts that decode to themselves make up the text, word marks as blanks.
+        back = self.decode(map(int, ids.split(","))) if self.words.other else text.replace(MARK, " ")
+        return ids.count(",") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+
 
+_EMPTY = hashlib.sha256(b"").hexdigest()
 
 _loaded: dict[str, Pieces] = {}
 
@@ -331,6 +333,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", to: str = "ids", dig
                 out.append(texts)
             names = [*rest, *made] + ([text] if text in keep else [])
             yield pa.RecordBatch.from_arrays([*columns, *out], names=names)
+        let_go()
 
     kinds = dict(docs.dtypes)
     fields = [f"`{c}` {kinds[c]}" for c in rest]

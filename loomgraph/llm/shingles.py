@@ -33,14 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, carried, hold, prepare, quoted, trim, written
+from .common import LOWER, UPPER, carried, hold, let_go, prepare, quoted, written
 from .components import components, local_roots
 
 TABLE_BITS, CHUNK_BITS = 22, 16
 PARTS = 64
 #: Members of a family's block. A task holds two blocks.
 BLOCK = 128
-MEMORY, WORD_MOST = 300_000, 60
+MEMORY, WORD_MOST = 200_000, 60
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -149,7 +149,7 @@ def _first_pass(n: int):
                     schema=pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())]),
                 )
         del table
-        trim()
+        let_go()
 
     return run
 
@@ -179,7 +179,7 @@ def _second_pass(shared, n: int, percent: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parts, pa.binary())], names=["id", "n", "prefix", "parts"]
             )
-        trim()
+        let_go()
 
     return run
 
