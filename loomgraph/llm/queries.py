@@ -11,10 +11,11 @@ from .language import fit, identify
 from .lines import drop_common_lines
 from .mixing import mix
 from .pieces import encode
-from .scoring import score, train
+from .scoring import train
 from .shingles import link_near_duplicates
 from .token_files import token_file_rows
 from .vectors import link_vectors, top_k
+from .word_scoring import score_words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,7 +107,7 @@ FROM r
 
 def op6_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, train(docs)).drop("text")
+    return score_words(docs, train(docs)).drop("text")
 
 
 def op7_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
