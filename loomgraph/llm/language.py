@@ -12,7 +12,7 @@ from pyspark.sql.functions import arrow_udf
 
 from .common import carried, hold, prepare, quoted, written
 
-#: Hash buckets of character trigrams; labelled texts that the model is fitted on at most.
+#: Hash buckets of character trigrams; texts of each label that the model is fitted on at most.
 BUCKETS, SAMPLE = 1 << 16, 4096
 #: Trigrams overlap, so a text's log-likelihood counts by this power.
 TEMPER = 0.3
@@ -78,15 +78,23 @@ def posterior(logs: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", bound: int = SAMPLE) -> TextModel:
-    """A text model from at most `bound` labelled rows, picked by a hash of the key."""
+    """A text model of every label that any row with a text has, from at most `bound`
+    distinct rows of each label, picked by a hash of key and text. No labelled rows: a
+    model without languages."""
     usable = labelled.where(quoted(label).isNotNull() & quoted(text).isNotNull())
-    n = labelled.count()
-    share = min(1.0, bound / max(1, n))
-    part = F.pmod(F.xxhash64(F.lit(41), quoted(key)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
-    rows = usable.where(part).select(quoted(text).alias("t"), quoted(label).alias("l")).limit(bound).toArrow()
-    if not rows.num_rows:
-        raise ValueError("no labelled rows")
-    return TextModel(rows.column("t").to_pylist(), rows.column("l").to_pylist())
+    rows = usable.select(quoted(label).alias("l"), quoted(text).alias("t"), F.xxhash64(F.lit(41), quoted(key), quoted(text)).alias("h"))
+    sizes = rows.select("l", "h").distinct().groupBy("l").agg(F.count("*").alias("n"), F.min("h").alias("least"))
+    sizes = written(sizes, "language-labels")
+    part = F.pmod("h", F.lit(1 << 30)) < F.ceil(F.lit(float(bound << 30)) / F.col("n"))
+    chosen = rows.join(F.broadcast(sizes), "l").where(part | (F.col("h") == F.col("least"))).dropDuplicates(["l", "h"]).select("l", "h", "t").toArrow()
+    taken: dict[str, int] = {}
+    texts, labels = [], []
+    for r in chosen.sort_by([("l", "ascending"), ("h", "ascending")]).to_pylist():
+        taken[r["l"]] = taken.get(r["l"], 0) + 1
+        if taken[r["l"]] <= bound:
+            texts.append(r["t"])
+            labels.append(r["l"])
+    return TextModel(texts, labels)
 
 
 def markup_text(html: str) -> str:
@@ -123,12 +131,16 @@ def identify(
     than chance over all trigrams (SLACK), and for languages outside `keep` (default: all).
     Null and empty texts get the language that the other evidence favours and aren't
     kept. Input columns named like the made ones give way; repeated rows get equal
-    results; an empty table gives an empty one. Rows aren't moved unless the table of
+    results; an empty table gives an empty one. With a model without languages no row has
+    a language (null, probability 0) and none is kept. Rows aren't moved unless the table of
     hosts is too large to broadcast by Spark's own size check."""
     spark = rows.sparkSession
     prepare(spark)
     languages, size = model.languages, len(model.languages)
     keep = set(languages if keep is None else keep)
+    if not size:
+        none = [F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("probability"), F.lit(False).alias("kept")]
+        return rows.select(*[quoted(c) for c in carried(rows, ["lang", "probability", "kept"])], *none)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS floats for each language
 
     @arrow_udf("array<double>")
