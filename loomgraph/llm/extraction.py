@@ -17,13 +17,14 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 # Fixed values of HTML: elements without content, with raw content, that end a paragraph.
+# Only elements whose content is no markup are skipped up to their end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select option object".split())
+RAW = frozenset("script style textarea title iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul head button label".split()
 )
-SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 #: Words in class, id and role that speak for one kind of block or the other.
 HINTS = (
@@ -106,6 +107,8 @@ def leaf_blocks(html: str) -> list[Block]:
             if tag == "hr":
                 close()
         else:
+            if m[3].endswith("/") and any(t == "svg" or t == "math" for t, _ in stack):
+                continue
             if tag in BLOCK:
                 close()
                 if tag != "p" and stack and tag not in ("body", "html"):
