@@ -38,6 +38,8 @@ from .components import components, local_roots
 
 TABLE_BITS, CHUNK_BITS = 22, 16
 PARTS = 64
+#: What a part's count can say; a set with a larger one says so in every part.
+PART_MOST = 0xFFFF
 #: Members of a family's block. A task holds two blocks.
 BLOCK = 128
 MEMORY, WORD_MOST = 200_000, 60
@@ -107,10 +109,10 @@ def ordered(shingles: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 def parts_of(shingles: np.ndarray) -> bytes:
     """How many fall into each part, as unsigned 16-bit. A set too large for that says
-    so in every part, which then excludes nothing."""
+    PART_MOST in every part; two such sets always pass the suffix filter."""
     parts = np.bincount((shingles & np.uint64(PARTS - 1)).view(np.int64), minlength=PARTS)
-    if parts.max() > 0xFFFF:
-        parts[:] = 0xFFFF
+    if parts.max() > PART_MOST:
+        parts[:] = PART_MOST
     return parts.astype("<u2").tobytes()
 
 
@@ -197,10 +199,12 @@ def _pairs(sizes, parts, sides, percent):
     # 100 * o >= percent * (a + b - o)
     need = -(-percent * (sizes[i] + sizes[j]) // (100 + percent))
     keep = np.zeros(len(i), dtype=bool)
+    # One such set with one that isn't: the sum is the other's size, which is no less than need.
+    large = (parts >= PART_MOST).all(axis=1)
     for a in range(0, len(i), 1 << 14):
         part = slice(a, a + (1 << 14))
         # N-grams in different parts of the hash space can't be shared.
-        keep[part] = np.minimum(parts[i[part]], parts[j[part]]).sum(axis=1) >= need[part]
+        keep[part] = large[i[part]] & large[j[part]] | (np.minimum(parts[i[part]], parts[j[part]]).sum(axis=1) >= need[part])
     return i[keep], j[keep], need[keep]
 
 
