@@ -282,8 +282,7 @@ class Pieces:
         if not text:
             return 0, _EMPTY, _EMPTY
         ids = ",".join(self.parts(text))
-        # Parts that decode to themselves make up the text, word marks as blanks.
-        back = self.decode(map(int, ids.split(","))) if self.words.other else text.replace(MARK, " ")
+        back = self.decode(map(int, ids.split(",")))
         return ids.count(",") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
 
