@@ -13,16 +13,23 @@ from pyspark.sql import DataFrame
 
 from .common import carried, prepare, quoted
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: An attribute, cut as the standard's tokeniser does: a name, then after "=" a value in
+#: quotes or without any. A quote that is never closed is part of a name, so the tag ends
+#: at the next ">".
+_ATTR = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+)?+)?+"""
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]+(?:>|\Z)|</>|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTR})*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 # Fixed values of HTML: elements without content, with raw content, that end a paragraph.
-# Only elements whose content is no markup are skipped up to their end tag.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe".split())
+# Only elements whose content is no markup are skipped up to their end tag; the content
+# of those in SHOWN is text.
+VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp plaintext".split())
+SHOWN = frozenset("xmp plaintext".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul head button label".split()
+    "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul head button label "
+    "caption dir legend listing optgroup option plaintext search xmp".split()
 )
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -55,7 +62,9 @@ def _element(tag: str, attributes: str) -> str:
 
 
 def leaf_blocks(html: str) -> list[Block]:
-    """The page's leaf blocks in order. Scripts, styles, titles and the like have none."""
+    """The page's leaf blocks in order. Every text node is in one, but for scripts, styles,
+    titles and the like. What is never closed goes by the standard (a comment or script
+    lasts to the end), but an open title or textarea ends at the next tag."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
@@ -64,7 +73,7 @@ def leaf_blocks(html: str) -> list[Block]:
     def close():
         nonlocal linked
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 out.append(Block(tuple(e for t, e in stack if t in BLOCK or " " in e), text, min(len(text), linked)))
             parts.clear()
@@ -76,17 +85,22 @@ def leaf_blocks(html: str) -> list[Block]:
         if any(t == "a" or t == "button" for t, _ in stack):
             linked += len(piece)
 
+    foreign = lambda: any(t == "svg" or t == "math" for t, _ in stack)
     end = len(html)
     while at < end:
         m = _TOKEN.search(html, at)
         if m is None:
-            add(html[at:])
+            add(entities.unescape(html[at:]))
             break
         if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
+            add(entities.unescape(html[at : m.start()]))
+        start, at = m.start(), m.end()
         tag = m[2]
         if tag is None:
+            if html.startswith("<![CDATA[", start) and foreign():
+                stop = html.find("]]>", start)
+                at = stop + 3 if stop >= 0 else end
+                add(html[start + 9 : stop if stop >= 0 else end])
             continue
         tag = tag.lower()
         if m[1]:
@@ -98,16 +112,26 @@ def leaf_blocks(html: str) -> list[Block]:
             elif tag == "p":
                 close()
         elif tag in RAW:
-            if not m[3].endswith("/"):
-                stop = re.compile(f"</{re.escape(tag)}\\b[^>]*(?:>|\\Z)", re.I).search(html, at)
+            if _empty(m[3]) and foreign():
+                continue
+            stop = _end_of(tag).search(html, at) if tag != "plaintext" else None
+            inside = html[at : stop.start() if stop else end]
+            if stop is None and tag in ("title", "textarea"):
+                rest = _TOKEN.search(html, at)
+                at = rest.start() if rest else end
+            elif stop is not None or not _empty(m[3]):
                 at = stop.end() if stop else end
+            if tag in SHOWN:
+                close()
+                add(inside)
+                close()
         elif tag == "br":
             parts.append(" ")
         elif tag in VOID:
             if tag == "hr":
                 close()
         else:
-            if m[3].endswith("/") and any(t == "svg" or t == "math" for t, _ in stack):
+            if _empty(m[3]) and foreign():
                 continue
             if tag in BLOCK:
                 close()
@@ -120,6 +144,16 @@ def leaf_blocks(html: str) -> list[Block]:
     return out
 
 
+@lru_cache(maxsize=None)  # one for each name in RAW
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(f"</{tag}(?=[\\s/>]|\\Z)[^>]*(?:>|\\Z)", re.I)
+
+
+def _empty(attributes: str) -> bool:
+    """Whether the tag ends in "/>", the slash being no part of a value without quotes."""
+    return attributes.endswith("/") and not re.search(r"""=\s*[^\s"'>][^\s>]*/$""", attributes)
+
+
 def _end_paragraph(stack):
     """A block element ends an open paragraph."""
     for k in range(len(stack) - 1, -1, -1):
@@ -274,7 +308,7 @@ def labelled_pages(n: int = 160, seed: int = 3) -> list[list[tuple[Block, int]]]
 
     mark = "\ue000"  # opens main text; the block's label is read off it
 
-    def boiler():
+    def boiler(cell=False):
         kind = rng.choice(["nav", "ad", "footer", "header", "aside", "comments", "form", "notice", "related"])
         few = sentence(2, 14)
         name = {
@@ -300,6 +334,8 @@ def labelled_pages(n: int = 160, seed: int = 3) -> list[list[tuple[Block, int]]]
             "notice": f"<p>{few}</p><button>{words(1, 1)}</button>",
             "related": f"<ul>{links()}</ul>",
         }[kind]
+        if cell:
+            return f"<td {attribute}>{body}</td>"
         own = {"nav": "nav", "footer": "footer", "header": "header", "aside": "aside", "form": "form"}.get(kind)
         if own and rng.random() < 0.6:
             return f"<{own}{' ' + attribute if rng.random() < 0.3 else ''}>{body}</{own}>"
@@ -314,11 +350,14 @@ def labelled_pages(n: int = 160, seed: int = 3) -> list[list[tuple[Block, int]]]
         return mark + body
 
     def main_part():
-        kind = rng.choice(["p"] * 8 + ["h2", "h3", "blockquote", "pre", "li", "list", "list", "table", "section", "div", "figure"])
+        kind = rng.choice(["p"] * 8 + ["h2", "h3", "blockquote", "pre", "li", "list", "list", "links", "table", "section", "div", "figure"])
         many = lambda tag: "".join(f"<{tag}>{main_text_piece()}" + (f"</{tag}>" if rng.random() < 0.6 else "") for _ in range(rng.randint(1, 5)))
         if kind == "list":
             box = rng.choice(["ul", "ol"])
             return f"<{box}>{many('li')}</{box}>"
+        if kind == "links":  # a list of links that is part of the text
+            box, tail = rng.choice(["ul", "ol"]), rng.random() < 0.3
+            return f"<{box}>" + "".join(f'<li><a href="/z">{mark}{words(1, 7)}</a>{" " + words(1, 6) if tail else ""}</li>' for _ in range(rng.randint(2, 8))) + f"</{box}>"
         if kind == "table":
             return f"<table>{''.join(f'<tr>{many("td")}</tr>' for _ in range(rng.randint(1, 3)))}</table>"
         if kind == "section":
@@ -336,15 +375,19 @@ def labelled_pages(n: int = 160, seed: int = 3) -> list[list[tuple[Block, int]]]
         if rng.random() < 0.4:
             parts.insert(rng.randrange(len(parts) + 1), boiler())
         opening, closing = rng.choice(
-            [("<article>", "</article>")] * 3 + [("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="article">', "</div>"), ("<main><article>", "</article></main>"), ('<div class="post entry">', "</div>")]
+            [("<article>", "</article>")] * 3 + [("", ""), ('<div role="main">', "</div>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="article">', "</div>"), ("<main><article>", "</article></main>"), ('<div class="post entry">', "</div>")]
         )
         before = "".join(boiler() for _ in range(rng.randint(0, 4)))
         after = "".join(boiler() for _ in range(rng.randint(0, 4)))
-        page = f"<html><head><title>{words(2, 5)}</title></head><body>{before}{opening}{title}{''.join(parts)}{closing}{after}</body></html>"
+        body = f"{opening}{title}{''.join(parts)}{closing}"
+        if rng.random() < 0.1:  # columns made by a table
+            body = f"<table><tr>{boiler(True)}<td{rng.choice(['', ' class=content', ' id=main'])}>{body}</td>{boiler(True) if rng.random() < 0.5 else ''}</tr></table>"
+        page = f"<html><head><title>{words(2, 5)}</title></head><body>{before}{body}{after}</body></html>"
         blocks = []
         for b in leaf_blocks(page):
             label = int(mark in b.text)
             b.text = b.text.replace(mark, "").strip()
+            b.linked = min(b.linked, len(b.text))
             if b.text:
                 blocks.append((b, label))
         pages.append(blocks)
@@ -368,9 +411,10 @@ def extract(pages: DataFrame, html: str = "html", crf: BlockCRF | None = None) -
 
     The whole page is parsed into leaf blocks; character references are decoded, white
     space inside a block becomes one blank; blocks that the field labels as main text
-    are joined by two line feeds in page order. Null and empty pages give empty text.
-    One narrow pass; repeated rows give equal results, an empty table an empty one;
-    columns named text and n_chars give way."""
+    are joined by two line feeds in page order. Null and empty pages give empty text; ties
+    between labelings go to boilerplate; a page of any length is parsed whole, in time that
+    grows with its length. One narrow pass; repeated rows give equal results, an empty
+    table an empty one; columns named text and n_chars give way."""
     spark = pages.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(crf or trained())  # a weight for each feature
