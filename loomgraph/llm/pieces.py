@@ -14,6 +14,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from .common import carried, hold, let_go, prepare, quoted
 
 MARK = "▁"
 codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+#: The rank of a merge that never happens.
+NEVER = 1 << 30
 #: Remembered words and pairs of pieces; beyond that the memory starts anew. Longer words aren't kept.
 MEMORY, PAIRS, WORD_MOST = 250_000, 400_000, 40
 
@@ -75,8 +78,10 @@ class PieceModel:
         self._halves: dict[str, tuple[str, str] | None] = {}
         self._fits: dict[int, bool] = {}
         self._run_ids: dict[int, list[int]] = {}
-        self._left: dict[str, list[str]] = {}
-        self._right: dict[str, list[str]] = {}
+        self._left: dict[int, tuple[list[str], list[int]]] = {}
+        self._right: dict[int, tuple[list[str], list[int]]] = {}
+        # Characters that stand side by side in no piece are never joined.
+        self.beside = {p[i : i + 2] for p in ids for i in range(len(p) - 1)}
         self.automaton = ahocorasick.Automaton()
         for p in [*self.chars, *words]:
             if self.whole(p):
@@ -93,8 +98,8 @@ class PieceModel:
         if piece not in self._halves:
             parts, last = list(piece), None
             while len(parts) > 1:
-                best = min(((self.rank.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))))
-                if best[0] == 1 << 30:
+                best = min(((self.rank.get(a + b, NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))))
+                if best[0] == NEVER:
                     break
                 i = best[1]
                 last = (parts[i], parts[i + 1])
@@ -105,33 +110,35 @@ class PieceModel:
     def whole(self, piece: str) -> bool:
         return len(piece) == 1 or self.halves(piece) is not None
 
-    def edge(self, piece: str, side: int) -> list[str]:
-        """The pieces that lie at one edge of piece while it is put together, in order."""
+    def edge(self, piece: int, side: int) -> tuple[list[str], list[int]]:
+        """The pieces that lie at one edge of piece while it is put together, in order,
+        and for each the rank of the merge that makes the next one of it."""
         memo = self._right if side else self._left
-        if piece not in memo:
-            out, p = [piece], piece
+        found = memo.get(piece)
+        if found is None:
+            p = self.piece[piece]
+            out = [p]
             while len(p) > 1:
                 p = self.halves(p)[side]
                 out.append(p)
-            memo[piece] = out[::-1]
-        return memo[piece]
+            out.reverse()
+            found = memo[piece] = out, [*(self.rank[p] for p in out[1:]), NEVER]
+        return found
 
     def fits(self, a: int, b: int) -> bool:
         """Whether a b is the encoding of its own text: no merge across the border
         comes before the merges that put a and b together. At equal rank the merge
         further left goes first."""
-        left, right = self.edge(self.piece[a], 1), self.edge(self.piece[b], 0)
-        rank, never, i, j, known = self.rank, 1 << 30, 0, 0, True
+        (left, left_next), (right, right_next) = self.edge(a, 1), self.edge(b, 0)
+        rank, i, j, known = self.rank.get, 0, 0, True
         while True:
-            across = rank.get(left[i] + right[j], never)
-            next_a = rank[left[i + 1]] if i + 1 < len(left) else never
-            next_b = rank[right[j + 1]] if j + 1 < len(right) else never
-            if across < next_a and across <= next_b and across < never:
+            across, next_a, next_b = rank(left[i] + right[j], NEVER), left_next[i], right_next[j]
+            if across < next_a and across <= next_b:
                 known = False
                 break
-            if next_a == next_b == never:
-                break
             if next_a <= next_b:
+                if next_a == NEVER:
+                    break
                 i += 1
             else:
                 j += 1
@@ -144,17 +151,16 @@ class PieceModel:
 
     def _known(self, text: str) -> list[int]:
         """Ids of text in which every character is a piece."""
-        last, known, fits = [-1] * len(text), self._fits, self.fits
+        last, known, fits = [-1] * len(text), self._fits.get, self.fits
         for end, (piece, size) in self.matches(text):
             if last[end] < 0:
                 before = end - size
-                if before < 0:
-                    last[end] = piece
-                else:
+                if before >= 0:
                     a = last[before]
-                    fit = known.get(a << 20 | piece)
-                    if fit or fit is None and fits(a, piece):
-                        last[end] = piece
+                    fit = known(a << 20 | piece)
+                    if not fit and (fit is not None or not fits(a, piece)):
+                        continue
+                last[end] = piece
         out, at, length = [], len(text) - 1, self.length
         while at >= 0:
             piece = last[at]
@@ -212,19 +218,19 @@ class PieceModel:
 
 
 class _Words(dict):
-    """Ids, as text, of parts between blanks. What they decode to is compared with the
-    part when it is met first; it has only to be kept in mind (`other`) if it differs."""
+    """Ids, as text, of parts between blanks."""
 
     def __init__(self, model: PieceModel):
         super().__init__()
-        self.model, self.other = model, False
+        self.model = model
 
     def __missing__(self, word: str) -> str:
         m = self.model
-        ids = [*m.part("\n"), *m.part(word[1:])] if word[:1] == "\n" else m.part(MARK + word)
-        if m.decode_bytes(ids) != (word if word[:1] == "\n" else " " + word).encode():
-            self.other = True
-        entry = ",".join(map(str, ids))
+        if 2 < len(word) <= WORD_MOST and word[-2:] not in m.beside:  # a mark at the end that joins nothing
+            entry = self[word[:-1]] + "," + ",".join(map(str, m.part(word[-1])))
+        else:
+            ids = [*m.part("\n"), *m.part(word[1:])] if word[:1] == "\n" else m.part(MARK + word)
+            entry = ",".join(map(str, ids))
         if len(word) <= WORD_MOST:
             if len(self) >= MEMORY:
                 self.clear()
@@ -238,6 +244,7 @@ class Pieces:
     def __init__(self, path: str):
         self.model = PieceModel(path)
         self.words = _Words(self.model)
+        self.surfaces = np.array(self.model.surface, dtype=object)
 
     def parts(self, text: str) -> list[str]:
         """Ids, as text, of the text's parts in order. It is cut before every blank and
@@ -268,22 +275,28 @@ class Pieces:
     def encode(self, text: str | None) -> list[int]:
         return list(map(int, ",".join(self.parts(text)).split(","))) if text else []
 
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        """Surfaces of the ids, one after the other; the blank that stands for the word
+        mark put in front goes."""
+        joined = b"".join(self.surfaces[ids].tolist())
+        return joined[1:] if len(ids) and self.model.piece.get(int(ids[0]), "")[:1] == MARK else joined
+
     def decode(self, ids) -> str:
-        """As the library: bytes that aren't UTF-8 become U+FFFD each; the blank that
-        stands for the word mark put in front goes."""
-        ids = list(ids)
-        joined = self.model.decode_bytes(ids)
-        if ids and self.model.piece.get(ids[0], "")[:1] == MARK:
-            joined = joined[1:]
-        return joined.decode("utf-8", "each_byte")
+        """As the library: bytes that aren't UTF-8 become U+FFFD each."""
+        return self._bytes(np.fromiter(ids, dtype=np.int64)).decode("utf-8", "each_byte")
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        """n_tokens, sha256 of the ids, sha256 of the decoded text."""
+        """n_tokens, sha256 of the ids, sha256 of the text that all ids decode to."""
         if not text:
             return 0, _EMPTY, _EMPTY
         ids = ",".join(self.parts(text))
-        back = self.decode(map(int, ids.split(",")))
-        return ids.count(",") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+        numbers = np.fromstring(ids, dtype=np.int32, sep=",")
+        back = self._bytes(numbers)
+        try:
+            back.decode()  # most are UTF-8, so their bytes are what is hashed
+        except UnicodeDecodeError:
+            back = self.decode(numbers).encode()
+        return len(numbers), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
 
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -297,10 +310,6 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
-def _texts(batch: pa.RecordBatch, name: str):
-    return batch.column(batch.schema.get_field_index(name))
-
-
 def encode(docs: DataFrame, model: str, text: str = "text", to: str = "ids", digest: bool = False) -> DataFrame:
     """Encode every whole text and decode it again.
 
@@ -312,14 +321,15 @@ def encode(docs: DataFrame, model: str, text: str = "text", to: str = "ids", dig
     prepare(docs.sparkSession)
     made = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else [to, "decoded"]
     keep = carried(docs, made)
-    source = docs.select(*[quoted(c) for c in keep if c != text], quoted(text).alias("__text"))
     rest = [c for c in keep if c != text]
+    # By place, so that no name can clash: the text is the last column.
+    source = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(rest)], quoted(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces(model)
         hold(coder.words, coder.model._fits)
         for batch in batches:
-            texts = _texts(batch, "__text")
+            texts = batch.column(len(rest))
             columns = [batch.column(i) for i in range(len(rest))]
             if digest:
                 rows = [coder.digest(t.as_py()) for t in texts]
