@@ -113,12 +113,35 @@ def _clean() -> None:
             continue
 
 
-def written(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df as a table in the shared folder (in folders by the columns `by`): cuts the
+    lineage, survives lost executors. release() removes it before the driver ends."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomgraph_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that written() made, once nothing reads them any more."""
+    for t in tables:
+        path = t.__dict__.pop("_loomgraph_path", None)
+        if path:
+            remove(t.sparkSession, path)
+            _written.remove((t.sparkSession, path))
+
+
+def spare(columns, *wanted: str) -> list[str]:
+    """The wanted names, with underscores until none is like one of the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def carried(df: DataFrame, made) -> list[str]:

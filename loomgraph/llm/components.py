@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import prepare, release, written
 
 
 def _state(edges: DataFrame):
@@ -32,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         small = small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a != b").distinct()
         after = written(small, "edges")
+        release(now)
         before, state, now = state, _state(after), after
         if state == before:
             break

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, UPPER, carried, fresh_dir, prepare, quoted, remove, row_key, written
+from .common import LOWER, SPACE, UPPER, carried, fresh_dir, prepare, quoted, release, remove, row_key, spare, written
 
 KEYS = ["h1", "h2"]
 
@@ -60,7 +60,9 @@ class LineRuns:
         return table
 
     def _union(self, tables: list[str]) -> DataFrame:
-        frames = [self.spark.table(t) for t in tables]
+        """Rows of several runs, read as plain files: a union of bucketed tables claims to be
+        dealt by key, which it isn't where the planner reads the buckets as plain files."""
+        frames = [self.spark.read.schema("h1 long, h2 long, n long").parquet(self.paths[t]) for t in tables]
         whole = frames[0]
         for f in frames[1:]:
             whole = whole.unionByName(f)
@@ -84,10 +86,19 @@ class LineRuns:
             self.levels.append([])
         self.levels[level + 1].append(self._run(merged.where(F.col("n") < self.min_docs)))
         self.levels[level] = []
-        for table in runs:
+        release(merged)
+        self._drop(runs)
+
+    def _drop(self, tables: list[str]) -> None:
+        for table in tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
             remove(self.spark, self.paths.pop(table))
 
+    def drop(self) -> None:
+        """Take all runs out of the catalog and the shared folder."""
+        self._drop(list(self.paths))
+        self.levels, self.decided = [[]], []
+
     def heavy(self) -> DataFrame:
         """h1, h2 of every line found in min_docs documents or more."""
         parts = [self.spark.table(t).select(*KEYS) for t in self.decided]
@@ -107,8 +118,10 @@ def drop_common_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, b
     empty: one empty line). Lines are alike if their keys are (see line_key); lines
     with an empty key always stay. Returns the columns of docs and n_lines,
     n_dropped and kept_text (the other lines joined by \\n); input columns of these
-    names give way. Repeated rows count as documents each and get the same result;
-    an empty table gives an empty table; text length is not bounded.
+    names give way, any others may be there. Repeated rows count as documents each and
+    get the same result, rows with a null id like any other; lines that differ in nothing
+    but their key's white space and case are ties and go or stay together; an empty table
+    gives an empty table; text length is not bounded.
 
     The documents arrive in `batches` parts by a hash of the row, each added to
     LineRuns once. Then every line meets the heavy keys in a plain equi-join, which
@@ -116,50 +129,53 @@ def drop_common_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, b
     spark = docs.sparkSession
     prepare(spark)
     k1, k2 = row_key(docs)
-    keyed = docs.select(k1.alias("__k1"), k2.alias("__k2"), text_lines(quoted(text)).alias("__lines"))
+    a, b, marks_, kept_ = spare(docs.columns, "__k1", "__k2", "__marks", "__kept")
+    keyed = docs.select(k1.alias("k1"), k2.alias("k2"), text_lines(quoted(text)).alias("lines"))
 
     # One pass over the texts: for each batch (by the row's hash) and key, the number of
     # the batch's documents that hold it.
     counts = (
         keyed.select(
-            F.pmod("__k2", F.lit(batches)).cast("int").alias("batch"),
-            F.explode(F.array_distinct(F.transform("__lines", line_key))).alias("key"),
+            F.pmod("k2", F.lit(batches)).cast("int").alias("batch"),
+            F.explode(F.array_distinct(F.transform("lines", line_key))).alias("key"),
         )
         .where("key != ''")
         .select("batch", *hashed(F.col("key")))
         .groupBy("batch", *KEYS)
         .agg(F.count("*").alias("n"))
     )
-    counts = written(counts, "line-counts")
+    counts = written(counts, "line-counts", "batch")  # each batch reads its own files only
     runs = LineRuns(spark, min_docs)
-    for b in range(batches):
-        runs.add(counts.where(F.col("batch") == b))
-    heavy = runs.heavy().withColumn("__heavy", F.lit(True))
+    for n in range(batches):
+        runs.add(counts.where(F.col("batch") == n))
+    heavy = written(runs.heavy(), "line-heavy").withColumn("heavy", F.lit(True))
+    runs.drop()
+    release(counts)
 
     # A line with an empty key gets a hash of its own place, which no run holds.
-    lines = keyed.select("__k1", "__k2", F.posexplode(F.transform("__lines", line_key)).alias("pos", "key")).select(
-        "__k1",
-        "__k2",
+    lines = keyed.select("k1", "k2", F.posexplode(F.transform("lines", line_key)).alias("pos", "key")).select(
+        "k1",
+        "k2",
         "pos",
-        F.when(F.col("key") == "", F.xxhash64("__k1", "pos")).otherwise(F.xxhash64(F.lit(21), "key")).alias("h1"),
-        F.when(F.col("key") == "", F.col("__k2")).otherwise(F.xxhash64(F.lit(22), "key")).alias("h2"),
+        F.when(F.col("key") == "", F.xxhash64("k1", "pos")).otherwise(F.xxhash64(F.lit(21), "key")).alias("h1"),
+        F.when(F.col("key") == "", F.col("k2")).otherwise(F.xxhash64(F.lit(22), "key")).alias("h2"),
     )
     marks = (
         lines.join(heavy, KEYS, "left")
-        .select("__k1", "__k2", F.struct("pos", F.col("__heavy").isNotNull().alias("drop")).alias("mark"))
-        .groupBy("__k1", "__k2")
-        .agg(F.sort_array(F.collect_set("mark")).alias("__marks"))
+        .select(F.col("k1").alias(a), F.col("k2").alias(b), F.struct("pos", F.col("heavy").isNotNull().alias("drop")).alias("mark"))
+        .groupBy(a, b)
+        .agg(F.sort_array(F.collect_set("mark")).alias(marks_))
     )
-    rows = docs.select("*", k1.alias("__k1"), k2.alias("__k2")).join(marks, ["__k1", "__k2"])
+    rows = docs.select("*", k1.alias(a), k2.alias(b)).join(marks, [a, b])
     all_lines = text_lines(quoted(text))
-    kept = F.filter(all_lines, lambda line, i: ~F.element_at(F.col("__marks"), i + 1)["drop"])
+    kept = F.filter(all_lines, lambda line, i: ~F.element_at(F.col(marks_), i + 1)["drop"])
     made = ["n_lines", "n_dropped", "kept_text"]
     return (
-        rows.withColumn("__kept", kept)
+        rows.withColumn(kept_, kept)
         .select(
             *[quoted(c) for c in carried(docs, made)],
             F.size(all_lines).cast("long").alias("n_lines"),
-            (F.size(all_lines) - F.size("__kept")).cast("long").alias("n_dropped"),
-            F.array_join("__kept", "\n").alias("kept_text"),
+            (F.size(all_lines) - F.size(kept_)).cast("long").alias("n_dropped"),
+            F.array_join(kept_, "\n").alias("kept_text"),
         )
     )

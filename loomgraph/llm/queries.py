@@ -68,19 +68,32 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return mix(docs, labels=labels).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 OP5 = """
 WITH d AS (
-  SELECT doc_id, source, coalesce(text, '') AS t,
+  SELECT doc_id, source, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS DOUBLE) AS n,
          CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END AS size
   FROM documents),
-q AS (
+b AS (
   SELECT doc_id, source, size, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(t)) AS digest,
-         CASE WHEN length(t) > 0 THEN CAST(length(t) AS DOUBLE)
-              / (length(t) + 10 * (length(t) - length(translate(t, '0123456789#$%&*|=<>{}[]^~_@', '')))) ELSE 1 END AS w
+         CASE WHEN n > 0 THEN least(10, floor(40 * (n - length(translate(t, '0123456789#$%&*|=<>{}[]^~_@', ''))) / n)) ELSE 0 END AS junk,
+         CASE WHEN n > 0 THEN least(10, floor(40 * (n - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) / n)) ELSE 0 END AS upper,
+         CASE WHEN size > 0 THEN least(10, floor(n / size)) ELSE 0 END AS length
   FROM d),
+known AS (SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+met AS (SELECT b.*, known.good FROM b JOIN known ON b.doc_id = known.doc_id),
+whole AS (SELECT count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad FROM met),
+bins AS (SELECT f, bin, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad
+         FROM (SELECT good, unnest(['junk', 'upper', 'length']) AS f, unnest([junk, upper, length]) AS bin FROM met) GROUP BY f, bin),
+ratio AS (SELECT x.f, x.bin, ln((coalesce(bins.good, 0) + 1) / (whole.good + 11)) - ln((coalesce(bins.bad, 0) + 1) / (whole.bad + 11)) AS r
+          FROM (SELECT unnest(['junk', 'upper', 'length']) AS f, bin FROM (SELECT CAST(unnest(range(11)) AS DOUBLE) AS bin)) x
+          CROSS JOIN whole LEFT JOIN bins ON bins.f = x.f AND bins.bin = x.bin),
+q AS (
+  SELECT b.doc_id, b.source, b.size, b.digest, 0.01::DOUBLE + (1 - 0.01::DOUBLE) / (1 + exp(-(ln((whole.good + 1) / (whole.bad + 1)) + x.r + y.r + z.r))) AS w
+  FROM b CROSS JOIN whole JOIN ratio x ON x.f = 'junk' AND x.bin = b.junk JOIN ratio y ON y.f = 'upper' AND y.bin = b.upper JOIN ratio z ON z.f = 'length' AND z.bin = b.length),
 keyed AS (
   SELECT *, -ln((CAST(CAST('0x' || substr(digest, 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0) / w AS k FROM q),
 s AS (

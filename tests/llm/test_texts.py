@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomgraph.llm import lines, pieces, token_files
@@ -141,3 +142,25 @@ def test_runs_are_compacted(spark):
         runs.add(frame(batch))
     assert {r["h1"] for r in runs.heavy().collect()} == {1, 2, 3}
     assert sum(map(len, runs.levels)) <= 3
+
+
+def test_counts_of_all_runs_are_added(spark):
+    """A line that no batch has often enough alone, and one that many runs hold."""
+    before = {r["tableName"] for r in spark.sql("SHOW TABLES").collect()}
+    runs = lines.LineRuns(spark, 10, fanout=3, buckets=4)
+    frame = spark.range(400).select((F.col("id") % 100).alias("h1"), (F.col("id") % 100 + 1).alias("h2")).groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    for k in range(7):
+        assert runs.heavy().count() == (100 if 4 * k >= 10 else 0) if k else True
+        runs.add(frame)
+        assert runs.heavy().groupBy("h1", "h2").count().where("count > 1").isEmpty()
+    runs.drop()
+    assert {r["tableName"] for r in spark.sql("SHOW TABLES").collect()} == before
+
+
+def test_lines_leave_no_tables_and_take_any_names(spark):
+    before = {r["tableName"] for r in spark.sql("SHOW TABLES").collect()}
+    rows = [(i, "same line\nown line %d" % i, "x", "y", "z") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __k1 string, __marks string, __kept string")
+    got = lines.drop_common_lines(df, min_docs=40).collect()
+    assert {r["kept_text"] for r in got} == {"own line %d" % i for i in range(40)} and got[0]["__k1"] == "x" and got[0]["__marks"] == "y"
+    assert {r["tableName"] for r in spark.sql("SHOW TABLES").collect()} == before
