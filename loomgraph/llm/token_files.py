@@ -10,8 +10,8 @@ the next 65,280 two. The bytes lie apart from their lengths:
             control bytes (two bits an id, its length less 1; low bits first),
             data bytes (little endian)
 
-All integers are little endian. The list of shards, with the number of ids before
-each, is a file beside the shards.
+All integers are little endian. The table of shards, with the number of ids before
+each, lies beside them.
 """
 
 from __future__ import annotations
@@ -26,10 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, hold, prepare, quoted
+from .common import fresh_dir, hold, let_go, prepare, quoted, release, written
 
 MAGIC = b"LGT1"
 NO_ID = -(1 << 63)
@@ -233,42 +234,45 @@ def coder(path: str) -> WordCoder:
     return _loaded[path]
 
 
+CONTENTS = "name string, task int, place long, docs long, ids long"
+
+
 def write_token_files(
     docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text: str = "text", tasks: int | None = None
-) -> list[dict]:
+) -> DataFrame:
     """Encode every whole text (null: empty), append end_id, write shards under path.
 
     Documents lie in ascending order of id (null first; equal ids by text hash), each
-    row its own document. An empty table gives a table of contents without shards.
-    Texts are dealt out by range of id; a task encodes its range and writes a shard
-    whenever SHARD_IDS ids have come together, so its memory is bounded by that and one
-    document. A shard is written under a name of its own and renamed; the table of
-    contents names the shards of the tasks that count, so a task that runs twice does
-    no harm. Returns that table, one row for each file."""
+    row its own document; texts of any length are whole. An empty table gives a table of
+    contents without shards. Texts are dealt out by range of id and text hash, so the rows
+    of one id (or of none) are split, too; only rows that are alike stay together. A task
+    encodes its range and writes a shard whenever SHARD_IDS ids have come together, so its
+    memory is bounded by that and one document. A shard is written under a name of its own
+    and renamed; the table of contents (files in path/contents) names the shards of the
+    tasks that count, so a task that runs twice does no harm. Returns that table: index,
+    name, start, docs, ids, one row for each file. One number for each task comes to the
+    driver."""
     spark = docs.sparkSession
     prepare(spark)
     files, folder = place(path)
     files.create_dir(folder, recursive=True)
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = (
-        docs.select(quoted(id_col).cast("long").alias("id"), quoted(text).alias("text"))
-        .repartitionByRange(tasks, F.col("id").asc_nulls_first())
-        .sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
-    )
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text).alias("text"), F.xxhash64(quoted(text)).alias("hash"))
+    order = [F.col("id").asc_nulls_first(), F.col("hash")]
+    rows = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("id", "text")
 
     def write(batches):
         words, end = coder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         hold(words.words, words.words.tokens)
-        waiting, n, place_in_task = [], 0, 0
+        task, waiting, n, place_in_task = TaskContext.get().partitionId(), [], 0, 0
 
         def shard():
             nonlocal waiting, n, place_in_task
             name = f"shard-{uuid.uuid4().hex}.lgt"
             put(path, name, pack_shard(waiting))
-            first = NO_ID if waiting[0][0] is None else waiting[0][0]
-            made = {"name": name, "first": first, "place": place_in_task, "docs": len(waiting), "ids": n}
+            made = {"name": name, "task": task, "place": place_in_task, "docs": len(waiting), "ids": n}
             waiting, n, place_in_task = [], 0, place_in_task + 1
-            return pa.RecordBatch.from_pylist([made])
+            return pa.RecordBatch.from_pylist([made], schema=_CONTENTS)
 
         for batch in batches:
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -279,25 +283,34 @@ def write_token_files(
                     yield shard()
         if waiting:
             yield shard()
+        let_go()
+
+    made = written(rows.mapInArrow(write, CONTENTS), "token-shards")
+    # Ranges are in order of their tasks' numbers.
+    before, ids, shards = [], 0, 0
+    for r in made.groupBy("task").agg(F.sum("ids").alias("ids"), F.count("*").alias("n")).orderBy("task").collect():
+        before.append((r["task"], ids, shards))
+        ids, shards = ids + r["ids"], shards + r["n"]
+    inside = Window.partitionBy("task").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.broadcast(spark.createDataFrame(before, "task int, ids_before long, shards_before long"))
+    contents = made.join(starts, "task").select(
+        (F.col("shards_before") + F.col("place")).alias("index"), "name", (F.col("ids_before") + F.coalesce(F.sum("ids").over(inside), F.lit(0))).alias("start"), "docs", "ids"
+    )
+    contents.write.parquet(f"{path}/contents")
+    release(made)
+    return spark.read.schema(contents.schema).parquet(f"{path}/contents")
+
 
-    made = rows.mapInArrow(write, "name string, first long, place long, docs long, ids long").collect()
-    contents, start = [], 0
-    # Equal ids lie in one task, so its own order decides among them.
-    for r in sorted(made, key=lambda r: (r["first"], r["place"])):
-        contents.append({"name": r["name"], "start": start, "docs": r["docs"], "ids": r["ids"]})
-        start += r["ids"]
-    put(path, "contents.json", [json.dumps(contents).encode()])
-    return contents
+_CONTENTS = pa.schema([("name", pa.string()), ("task", pa.int32()), ("place", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())])
 
 
 def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """Documents of the shards: doc_id, start (ids before it in all shards), n_tokens,
-    and ids (array) or, with digest=True, ids_crc32. One task for each shard, block
-    by block."""
+    and ids (array) or, with digest=True, ids_crc32. Shards are dealt out evenly by their
+    index to as many tasks as shuffles have, and read block by block."""
     prepare(spark)
-    files, folder = place(path)
-    with files.open_input_stream(f"{folder}/contents.json") as f:
-        contents = json.loads(f.read())
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    contents = spark.read.schema("index long, name string, start long, docs long, ids long").parquet(f"{path}/contents")
 
     def run(batches):
         files, folder = place(path)
@@ -315,11 +328,7 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
                         start += int(ends[-1]) if len(ends) else 0
 
     schema = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<long>")
-    if not contents:
-        return spark.createDataFrame([], schema)
-    # A list of file names is dealt out; it is as long as the folder's.
-    shards = spark.createDataFrame([(c["name"], c["start"]) for c in contents], "name string, start long")
-    return shards.repartition(len(contents), "name").mapInArrow(run, schema)
+    return contents.repartitionById(tasks, F.pmod("index", F.lit(tasks)).cast("int")).select("name", "start").mapInArrow(run, schema)
 
 
 def token_file_rows(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:

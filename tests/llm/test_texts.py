@@ -91,7 +91,7 @@ def test_token_files(spark, odd, none, tmp_path, monkeypatch):
         contents = token_files.write_token_files(df, path, WORDS, 1)
         rows = token_files.read_token_files(spark, path).orderBy("start").collect()
         texts = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
-        assert len(rows) == len(texts) == sum(c["docs"] for c in contents)
+        assert len(rows) == len(texts) == sum(c["docs"] for c in contents.collect())
         want = Counter((d, tuple(library.encode(t or "", add_special_tokens=False).ids + [1])) for d, t in texts)
         assert Counter((r["doc_id"], tuple(r["ids"])) for r in rows) == want
         ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in rows]
@@ -164,3 +164,16 @@ def test_lines_leave_no_tables_and_take_any_names(spark):
     got = lines.drop_common_lines(df, min_docs=40).collect()
     assert {r["kept_text"] for r in got} == {"own line %d" % i for i in range(40)} and got[0]["__k1"] == "x" and got[0]["__marks"] == "y"
     assert {r["tableName"] for r in spark.sql("SHOW TABLES").collect()} == before
+
+
+def test_rows_of_one_id_are_split(spark, tmp_path, monkeypatch):
+    """Null ids and one hot id go to several tasks and come back in order."""
+    rows = [(None, f"null number {i}") for i in range(300)] + [(7, f"hot number {i}") for i in range(300)] + [(i, f"row {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    contents = token_files.write_token_files(df, str(tmp_path / "hot"), WORDS, 1, tasks=6).orderBy("index").collect()
+    assert len(contents) == 6 and [c["index"] for c in contents] == list(range(6)) and max(c["docs"] for c in contents) < 200
+    read = token_files.read_token_files(spark, str(tmp_path / "hot")).orderBy("start").collect()
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in read]
+    assert len(read) == len(rows) and ids == sorted(ids) and [c["start"] for c in contents] == [sum(c["ids"] for c in contents[:k]) for k in range(6)]
+    library = Tokenizer.from_file(WORDS)
+    assert Counter(tuple(r["ids"]) for r in read) == Counter(tuple([*library.encode(t, add_special_tokens=False).ids, 1]) for _, t in rows)
