@@ -129,12 +129,13 @@ def op7_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page (declared by markup, hosts from addresses) and every document (declared
-    by its lang column, sources as hosts); a row has page_id or doc_id."""
+    by its lang column, sources as hosts; scored by what other documents' labels say); a
+    row has page_id or doc_id."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("declared"), "source")
     model = fit(docs, label="declared")
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    of_pages = identify(pages, model, "html", url="url", markup=True)
-    of_docs = identify(docs, model, "text", host="source", declared="declared")
+    of_pages = identify(pages, model, "html", url="url", markup=True, columns=["page_id"])
+    of_docs = identify(docs, model, "text", host="source", declared="declared", held_out=True, columns=["doc_id"])
     made = ["lang", "probability", "kept"]
     none = F.lit(None).cast("long")
     return of_docs.select("doc_id", none.alias("page_id"), *made).unionByName(of_pages.select(none.alias("doc_id"), "page_id", *made))
