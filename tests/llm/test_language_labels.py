@@ -126,3 +126,23 @@ def test_clashing_names(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, __host string, `logs` string, `c0` string, kept int")
     got = language.identify(docs, language.fit(docs), "text", host="__host", declared="lang").collect()
     assert got[0]["__host"] == "a" and got[0]["logs"] == "b" and got[0]["c0"] == "c" and got[0]["kept"] is True
+
+
+def test_run_takes_empty_tables_and_other_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    for name, rows in (("empty", docs.where("false")), ("bare", docs.withColumn("lang", F.lit(None).cast("string")))):
+        rows.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        assert corpus_pipeline.run(spark, str(tmp_path / name)).count() == 0
+    names = ["__k1", "__host", "__text", "__id", "kept", "probability", "__row", "n_lines", "kept_text", "component"]
+    extra = docs.limit(40)
+    for n in names:
+        extra = extra.withColumn(n, F.lit(f"own {n}"))
+    for stage_name, stage in corpus_pipeline.STAGES:
+        extra = spark.createDataFrame(stage(spark, extra, sf).collect(), extra.schema) if stage_name != "piece_encoding" else stage(spark, extra, sf)
+        row = extra.first().asDict()
+        assert all(row[n] == f"own {n}" for n in names), stage_name

@@ -27,6 +27,7 @@ def test_links(monkeypatch, table, cosine):
 
     monkeypatch.setattr(vectors, "CELL", 100)
     monkeypatch.setattr(vectors, "BLOCK", 90)
+    monkeypatch.setattr(vectors, "PRODUCTS", 3000)
     df, x = table
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in link_vectors(df, cosine=cosine).collect()}
     size = np.abs(x).max(axis=1)
@@ -87,3 +88,65 @@ def test_components(spark):
     touched = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: roots[x] for x in touched}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_vectors_of_several_lengths(spark, monkeypatch):
+    """Each length for itself: links, cells and searches."""
+    from loomgraph.llm import vectors
+
+    monkeypatch.setattr(vectors, "CELL", 60)
+    rng = np.random.default_rng(3)
+    parts = {w: np.concatenate([b, b[:20] + 0.01]) for w, n in ((3, 200), (5, 90), (8, 20), (1, 4)) for b in [rng.normal(size=(n, w))]}
+    rows = [(i, v.tolist()) for i, v in enumerate(v for p in parts.values() for v in p)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in link_vectors(df).collect()}
+    best = {}
+    for r in top_k(df, F.col("vec_id") % 7 == 0, k=3, candidates_block=64).collect():
+        best.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    start = 0
+    for p in parts.values():
+        unit = p / np.linalg.norm(p, axis=1, keepdims=True)
+        near = unit @ unit.T >= 0.95
+        np.fill_diagonal(near, False)
+        roots = local_roots(len(p), *np.nonzero(near))
+        whole = np.floor(1024 * p)
+        for i in range(len(p)):
+            assert got[start + i] == (near[i].sum(), start + roots[i])
+            if (start + i) % 7 == 0:
+                scores = sorted((-int(whole[i] @ whole[j]), start + j) for j in range(len(p)) if j != i)[:3]
+                assert best[start + i] == {k + 1: (j, -s) for k, (s, j) in enumerate(scores)}
+        start += len(p)
+
+
+def test_guests_leave_in_bounded_batches(monkeypatch):
+    """4,096 cells over rows without any clusters: no batch is large, memory stays under 1 GB."""
+    import tracemalloc
+
+    from loomgraph.llm import vectors
+
+    rng = np.random.default_rng(4)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(n, 64)))
+    centres, x = unit(4096), unit(3000)
+    tracemalloc.start()
+    rows = guests = 0
+    for batch in vectors.assigned(np.arange(len(x)), np.ones(len(x), dtype=np.int64), x, centres, np.sqrt(0.1)):
+        assert batch.nbytes < 20 << 20
+        rows += batch.num_rows
+        guests += int(batch.column(4).to_numpy(zero_copy_only=False).sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 30 and rows - guests == len(x) and guests > 100 * len(x)
+
+
+def test_large_components_go_through_the_lists():
+    """Whole numbers beyond exact doubles: the same lists, bound and stop."""
+    from loomgraph.llm.vectors import SortedLists
+
+    rng = np.random.default_rng(5)
+    x = np.array([[int(a) for a in r] for r in rng.integers(-(10**15), 10**15, size=(300, 3))], dtype=object)
+    x[5] = x[9]
+    lists = SortedLists(np.arange(300), x, 4)
+    for i in range(0, 300, 29):
+        best = sorted((-sum(a * b for a, b in zip(x[i], v)), j) for j, v in enumerate(x) if j != i)[:3]
+        assert lists.top(i, x[i], 3) == [(-s, j) for s, j in best]
+    assert lists.met < 11 * 299
