@@ -1,24 +1,28 @@
 """N-gram Jaccard join: rare-first prefixes, length, positional and suffix filters.
 
-Whatever the data, the result is exact (up to collisions of 64-bit n-gram hashes):
-every filter only drops pairs that can't reach the threshold.
-
-1. One pass makes each text's set of hashed n-grams. Equal sets (128-bit digests)
-   are one class, represented by its least document id. The same pass counts n-gram
-   frequencies over all documents in a table of 2**TABLE_BITS counters. Logarithms of
-   these counts and then the hash order all n-grams, rare first. Any order gives right
-   results; the table only has to tell the frequent ones. Its size is fixed.
-2. For each class: the set's size, its first size - ceil(t * size) + 1 n-grams in that
-   order (two sets that link share one of them) and how many n-grams fall into each of
-   64 parts of the hash space.
-3. Classes that share a prefix n-gram form a family with the n-gram's least class, so
-   sharing documents always meet in a family, and a document is in one family for each
-   distinct least class, not in one for each n-gram. Families are cut into blocks.
-   Block pairs apply length, positional and suffix filters to whatever shares a prefix
-   n-gram; classes left without partner go.
-4. What is left gets its whole sets again, and each surviving pair is verified once: in
-   the family of the smallest class that both share. Only a spanning forest of the
-   links leaves a task, so a group of copies never becomes all its pairs.
+Whatever the data, the result is exact (up to collisions of 64-bit hashes): every filter
+only drops pairs that can't reach the threshold.
+
+1. One pass makes each text's set of hashed n-grams. Equal sets are one class, named by a
+   64-bit digest of the set. The same pass counts n-gram frequencies over all documents
+   in a table of 2**TABLE_BITS counters. Logarithms of these counts and then the hash
+   order all n-grams, rare first. Any order gives right results; the table only has to
+   tell the frequent ones. Its size is fixed.
+2. For each class: the set's size and its first size - ceil(t * size) + 1 n-grams in that
+   order (two sets that link share one of them), with their positions.
+3. Classes that share a prefix n-gram are members of the family of the n-gram's least
+   class. Joined on prefix n-grams, each member meets that class, and the length filter
+   and the positional filter are applied in the join: one row for each pair that passes.
+4. The sets of all members are made once. Each pair of a family's first class and a member
+   is then checked: prefix, positional and suffix filter, then the intersection. So a
+   family of m classes takes m checks, and its sets travel once for each family.
+5. A family whose members all link with its first class is done, for only what is
+   connected counts, not by how many links. Of the others the least class that doesn't
+   is compared with all members, too.
+6. What is left, members in different components that neither first nor second class has
+   connected, is compared in block pairs: length and suffix filter on counts by part of the
+   hash space, then on sets, once for each pair and not within a component. Only a
+   spanning forest of the links leaves a task, never the pairs.
 """
 
 from __future__ import annotations
@@ -33,15 +37,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, carried, hold, let_go, prepare, quoted, written
+from .common import LOWER, UPPER, carried, hold, let_go, prepare, quoted, release, spare, written
 from .components import components, local_roots
 
 TABLE_BITS, CHUNK_BITS = 22, 16
 PARTS = 64
 #: What a part's count can say; a set with a larger one says so in every part.
 PART_MOST = 0xFFFF
-#: Members of a family's block. A task holds two blocks.
-BLOCK = 128
+#: Members, and n-grams on average, of a family's block. A task holds two blocks.
+BLOCK, BLOCK_GRAMS = 256, 1 << 21
+#: Members that are compared with one class in one group.
+STAR = 1024
 MEMORY, WORD_MOST = 200_000, 60
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -116,19 +122,18 @@ def parts_of(shingles: np.ndarray) -> bytes:
     return parts.astype("<u2").tobytes()
 
 
+def digest_of(shingles: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _first_pass(n: int):
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold(_words)
         table = np.zeros(1 << TABLE_BITS, dtype=np.int64)
         for batch in batches:
-            sizes, first, second, hashes = [], [], [], []
-            for t in batch.column(1):
-                s = shingle_set(t.as_py(), n)
-                d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                sizes.append(len(s))
-                first.append(int.from_bytes(d[:8], "little", signed=True))
-                second.append(int.from_bytes(d[8:], "little", signed=True))
-                hashes.append(s)
+            hashes = [shingle_set(t.as_py(), n) for t in batch.column(1)]
             if hashes:
                 places = (np.concatenate(hashes) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
                 if len(places) > len(table) // 8:
@@ -136,20 +141,15 @@ def _first_pass(n: int):
                 else:
                     where, times = np.unique(places, return_counts=True)
                     table[where] += times
-            none = pa.nulls(len(sizes), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), none, pa.nulls(len(sizes), pa.binary())],
-                names=["id", "n", "f1", "f2", "chunk", "counts"],
-            )
+            rows = len(hashes)
+            columns = [batch.column(0), pa.array([len(s) for s in hashes], pa.int64()), pa.array(map(digest_of, hashes), pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
         for chunk in range(1 << (TABLE_BITS - CHUNK_BITS)):
             part = table[chunk << CHUNK_BITS : (chunk + 1) << CHUNK_BITS]
             if part.any():
                 # One task's share is held at 255; the order needs no more.
                 body = zlib.compress(np.minimum(part, 255).astype(np.uint8).tobytes(), 1)
-                yield pa.RecordBatch.from_pylist(
-                    [{"id": None, "n": None, "f1": None, "f2": None, "chunk": chunk, "counts": body}],
-                    schema=pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())]),
-                )
+                yield pa.RecordBatch.from_pylist([{"chunk": chunk, "counts": body}], schema=schema)
         del table
         let_go()
 
@@ -167,33 +167,119 @@ def _add_chunks(batches):
         yield pa.RecordBatch.from_pylist([{"chunk": chunk, "codes": zlib.compress(codes.tobytes())}], schema=pa.schema([("chunk", pa.int32()), ("codes", pa.binary())]))
 
 
-def _second_pass(shared, n: int, percent: int):
+def _prefixes(shared, n: int, percent: int):
+    """Of (id, text): id, the set's name and size and its prefix."""
+
     def run(batches):
         hold(_words)
         codes = np.frombuffer(shared.value, dtype=np.uint8)
         for batch in batches:
-            sizes, prefixes, parts = [], [], []
-            for t in batch.column(1):
-                s = shingle_set(t.as_py(), n)
-                sizes.append(len(s))
-                prefixes.append(ordered(s, codes)[: prefix_size(len(s), percent)].view(np.int64))
-                parts.append(parts_of(s))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parts, pa.binary())], names=["id", "n", "prefix", "parts"]
-            )
+            sets = [shingle_set(t.as_py(), n) for t in batch.column(1)]
+            prefixes = [ordered(s, codes)[: prefix_size(len(s), percent)].view(np.int64) for s in sets]
+            columns = [batch.column(0), pa.array(map(digest_of, sets), pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "f", "n", "prefix"])
+        let_go()
+
+    return run
+
+
+def _sets(shared, n: int):
+    """Of (id, f, text), sorted by id: once for each f the set's size, counts by part and
+    n-grams, rare first. Other texts of the id have other names than f."""
+
+    def run(batches):
+        hold(_words)
+        codes, last, done = np.frombuffer(shared.value, dtype=np.uint8), None, set()
+        for batch in batches:
+            out = []
+            for i, f, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if i != last:
+                    last, done = i, set()
+                if f not in done:
+                    s = shingle_set(t.as_py(), n)
+                    if digest_of(s) == f:
+                        done.add(f)
+                        out.append((f, len(s), parts_of(s), ordered(s, codes).astype("<u8").tobytes()))
+            f, size, parts, body = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(size, pa.int32()), pa.array(parts, pa.binary()), pa.array(body, pa.binary())], names=["f", "n", "parts", "grams"])
         let_go()
 
     return run
 
 
-def _pairs(sizes, parts, sides, percent):
-    """Index arrays of the pairs of a block pair that may link by length and suffix
-    filter, and the overlap each needs. sides tell two blocks apart where two meet
-    (then only pairs across count)."""
+class _Set:
+    """A set for comparisons: its n-grams rare first, the prefix's positions and the
+    counts by part."""
+
+    __slots__ = ("n", "grams", "place", "parts")
+
+    def __init__(self, parts: bytes, grams: bytes, percent: int):
+        self.grams = np.frombuffer(grams, dtype="<u8")
+        self.n = len(self.grams)
+        self.place = {h: p for p, h in enumerate(self.grams[: prefix_size(self.n, percent)].tolist())}
+        self.parts = np.frombuffer(parts, dtype="<u2").astype(np.int64)
+
+    def rest(self, p: int) -> np.ndarray | None:
+        """Counts by part of what comes after position p; None if they aren't known."""
+        if self.parts[0] == PART_MOST:
+            return None
+        return self.parts - np.bincount((self.grams[: p + 1] & np.uint64(PARTS - 1)).view(np.int64), minlength=PARTS)
+
+
+def may_link(a: _Set, b: _Set, percent: int) -> bool:
+    """Length, prefix, positional and suffix filter: false only if a and b can't link."""
+    if 100 * min(a.n, b.n) < percent * max(a.n, b.n):
+        return False
+    need = -(-percent * (a.n + b.n) // (100 + percent))  # 100 * o >= percent * (a + b - o)
+    if len(a.place) > len(b.place):
+        a, b = b, a
+    for h, p in a.place.items():
+        q = b.place.get(h)
+        if q is not None:
+            # The first n-gram that both have: nothing before it is shared.
+            if min(a.n - p, b.n - q) < need:
+                return False
+            left, right = a.rest(p), b.rest(q)
+            # N-grams in different parts of the hash space can't be shared.
+            return left is None or right is None or 1 + int(np.minimum(left, right).sum()) >= need
+    return False
+
+
+def links(a: _Set, b: _Set, percent: int) -> bool:
+    if not may_link(a, b, percent):
+        return False
+    o = len(np.intersect1d(a.grams, b.grams, assume_unique=True))
+    return 100 * o >= percent * (a.n + b.n - o)
+
+
+def _stars(percent: int):
+    """Links of the first row of each (pivot, block) with the others, from partitions
+    sorted by these and with the pivot first. One set and one batch are held."""
+
+    def found(batches):
+        key = pivot = None
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("pivot", "block", "f", "parts", "grams")]
+            for p, block, f, parts, grams in zip(*(c.to_pylist() for c in columns[:3]), *columns[3:]):
+                if (p, block) != key:
+                    key, pivot = (p, block), None
+                if f == p:
+                    pivot = _Set(parts.as_py(), grams.as_py(), percent)
+                elif links(pivot, _Set(parts.as_py(), grams.as_py(), percent), percent):
+                    yield p, f
+
+    return lambda batches: _batches(found(batches), ["a", "b"])
+
+
+def _pairs(sizes, parts, component, sides, percent):
+    """Index arrays of the pairs of a block pair that may link by length and by what their
+    sets have in each part, and aren't connected yet. sides tell two blocks apart where
+    two meet (then only pairs across count)."""
     m = len(sizes)
     ok = np.triu(np.ones((m, m), dtype=bool), 1)
     if sides.any():
         ok &= sides[:, None] != sides[None, :]
+    ok &= component[:, None] != component[None, :]
     ok &= 100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :])
     i, j = np.nonzero(ok)
     # 100 * o >= percent * (a + b - o)
@@ -205,26 +291,11 @@ def _pairs(sizes, parts, sides, percent):
         part = slice(a, a + (1 << 14))
         # N-grams in different parts of the hash space can't be shared.
         keep[part] = large[i[part]] & large[j[part]] | (np.minimum(parts[i[part]], parts[j[part]]).sum(axis=1) >= need[part])
-    return i[keep], j[keep], need[keep]
-
-
-def _sharing(sizes, prefixes, i, j, need):
-    """Which pairs share a prefix n-gram and can still reach the overlap after the
-    first that they share (prefix and positional filter)."""
-    places = {k: {h: p for p, h in enumerate(prefixes[k])} for k in {*i.tolist(), *j.tolist()}}
-    keep = np.zeros(len(i), dtype=bool)
-    for k, (a, b, o) in enumerate(zip(i.tolist(), j.tolist(), need.tolist())):
-        other = places[b]
-        for p, h in enumerate(places[a]):
-            q = other.get(h)
-            if q is not None:
-                keep[k] = min(sizes[a] - p, sizes[b] - q) >= o
-                break
-    return keep
+    return i[keep], j[keep]
 
 
 def _runs(batches, columns):
-    """Rows of each (family, x, y), from partitions sorted by them, over batch borders."""
+    """Rows, with the columns, of each (family, x, y), from partitions sorted by them, over batch borders."""
     waiting, key = [], None
     for batch in batches:
         lists = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
@@ -240,10 +311,10 @@ def _runs(batches, columns):
 
 
 def _block(rows, x, at):
-    """Sizes, parts and sides of a block pair's rows; at: columns of block, n and parts."""
+    """Sizes, parts, components and sides of a block pair's rows; at: their columns."""
     sizes = np.array([r[at[1]] for r in rows], dtype=np.int64)
     parts = np.array([np.frombuffer(r[at[2]], dtype="<u2") for r in rows]).astype(np.int32)
-    return sizes, parts, np.array([r[at[0]] != x for r in rows])
+    return sizes, parts, np.array([r[at[3]] for r in rows], dtype=np.int64), np.array([r[at[0]] != x for r in rows])
 
 
 def _batches(rows, names):
@@ -260,13 +331,13 @@ def _batches(rows, names):
 
 def _filter(percent: int):
     def left(batches):
-        for (family, x, y), rows in _runs(batches, ["id", "block", "n", "parts"]):
+        for (family, x, _), rows in _runs(batches, ["f", "block", "n", "parts", "component"]):
             if len(rows) > 1:
-                i, j, _ = _pairs(*_block(rows, x, (1, 2, 3)), percent)
+                i, j = _pairs(*_block(rows, x, (1, 2, 3, 4)), percent)
                 for k in {*i.tolist(), *j.tolist()}:
                     yield family, rows[k][0]
 
-    return lambda batches: _batches(left(batches), ["family", "id"])
+    return lambda batches: _batches(left(batches), ["family", "f"])
 
 
 def _overlaps(sets: dict[int, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -291,49 +362,59 @@ def _overlaps(sets: dict[int, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     return np.rint(total[i, j]).astype(np.int64)
 
 
-def _verify(shared, n: int, percent: int):
-    def links(batches):
-        hold(_words)
-        codes = np.frombuffer(shared.value, dtype=np.uint8)
-        for (family, x, y), rows in _runs(batches, ["id", "block", "n", "parts", "families", "text"]):
+def _verify(percent: int):
+    def found(batches):
+        for (family, x, _), rows in _runs(batches, ["f", "block", "n", "parts", "component", "families", "seconds", "grams"]):
             if len(rows) < 2:
                 continue
-            sizes, parts, sides = _block(rows, x, (1, 2, 3))
-            i, j, need = _pairs(sizes, parts, sides, percent)
-            # A pair that shares several families is left to the least of them.
-            families = [r[4] for r in rows]
-            alone = [k for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())) if next(f for f in families[a] if f in families[b]) == family]
-            i, j, need = i[alone], j[alone], need[alone]
-            if not len(i):
-                continue
-            sets, prefixes = {}, {}
-            for k in {*i.tolist(), *j.tolist()}:
-                sets[k] = shingle_set(rows[k][5], n)
-                prefixes[k] = ordered(sets[k], codes)[: prefix_size(len(sets[k]), percent)].tolist()
-            keep = _sharing(sizes, prefixes, i, j, need)
+            sizes, parts, component, sides = _block(rows, x, (1, 2, 3, 4))
+            i, j = _pairs(sizes, parts, component, sides, percent)
+            # A pair that meets in several families is left to the least of them; one of
+            # which one is the other's first or second class has been compared.
+            names, families = [r[0] for r in rows], [set(r[5]) for r in rows]
+            done = [{*r[5], *(r[6] or ())} for r in rows]
+            alone = [
+                k
+                for k, (a, b) in enumerate(zip(i.tolist(), j.tolist()))
+                if names[a] not in done[b] and names[b] not in done[a] and min(families[a] & families[b]) == family
+            ]
+            i, j = i[alone], j[alone]
+            sets = {k: _Set(rows[k][3], rows[k][7], percent) for k in {*i.tolist(), *j.tolist()}}
+            keep = np.array([may_link(sets[a], sets[b], percent) for a, b in zip(i.tolist(), j.tolist())], dtype=bool)
             i, j = i[keep], j[keep]
             if not len(i):
                 continue
-            o = _overlaps(sets, i, j)
+            o = _overlaps({k: v.grams for k, v in sets.items()}, i, j)
             linked = 100 * o >= percent * (sizes[i] + sizes[j] - o)
             root = local_roots(len(rows), i[linked], j[linked])
             for k, r in enumerate(root.tolist()):
                 if r != k:
-                    yield rows[k][0], rows[r][0]
+                    yield names[k], names[r]
 
-    return lambda batches: _batches(links(batches), ["a", "b"])
+    return lambda batches: _batches(found(batches), ["a", "b"])
 
 
 def _blocked(members: DataFrame, extra: DataFrame, n_parts: int) -> DataFrame:
-    """members (family, id) once for each pair of blocks of the family that they are in,
-    with the columns of extra (by id), sorted by block pair in each partition. Only ids
+    """members (family, f, n) once for each pair of blocks of the family that they are in,
+    with the columns of extra (by f), sorted by block pair in each partition. Only names
     travel until each row knows its block pairs."""
-    sizes = members.groupBy("family").agg(F.count("*").alias("members")).where("members > 1")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    rows = rows.select("family", "id", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = rows.select("family", "id", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    return rows.join(extra.hint("merge"), "id").repartition(n_parts, "family", "x", "y").sortWithinPartitions("family", "x", "y")
+    sizes = members.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("grams")).where("members > 1")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    rows = members.drop("n").join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("f"), blocks).cast("int"))
+    rows = rows.select("family", "f", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("family", "f", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    return rows.join(extra.hint("merge"), "f").repartition(n_parts, "family", "x", "y").sortWithinPartitions("family", "x", "y")
+
+
+def _starred(pairs: DataFrame, sets: DataFrame, n_parts: int, percent: int) -> DataFrame:
+    """Links (a, b) among pairs (pivot, f): each f meets its pivot once, the pivot's set
+    goes to each group of at most STAR (on average) of its pairs."""
+    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / STAR).cast("int").alias("blocks"))
+    others = pairs.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int").alias("block"), "f")
+    pivots = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("f"))
+    rows = others.unionByName(pivots).join(sets.select("f", "parts", "grams").hint("merge"), "f")
+    rows = rows.repartition(n_parts, "pivot", "block").sortWithinPartitions("pivot", "block", F.col("f") != F.col("pivot"))
+    return rows.mapInArrow(_stars(percent), "a long, b long")
 
 
 def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -341,16 +422,16 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
 
     A text's words are its parts between white space, A-Z lower-cased; its set are its
     distinct n-grams of words (the whole sequence, if it has fewer than n words). Two
-    texts link if 100 * |intersection| >= percent * |union|; texts without words link
-    with nothing. component_id is the least id reachable by links, the own id if there
-    is none. Rows with equal ids but other texts are the same node of the graph; a null
-    id has a null component and takes no part. Repeated rows come back as often as they
-    are there; an empty table gives an empty one."""
+    texts link if 100 * |intersection| >= percent * |union|; texts without words (null,
+    empty) link with nothing. component_id is the least id reachable by links, the own id
+    if there is none. Rows with equal ids but other texts are the same node of the graph; a
+    null id has a null component and takes no part. Repeated rows come back as often as
+    they are there; texts of any length are whole; an empty table gives an empty one."""
     spark = docs.sparkSession
     prepare(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text).alias("text"))
-    first = source.mapInArrow(_first_pass(n), "id long, n long, f1 long, f2 long, chunk int, counts binary")
+    first = source.mapInArrow(_first_pass(n), "id long, n long, f long, chunk int, counts binary")
     first = written(first, "shingle-sets")
     chunks = first.where("chunk is not null").select("chunk", "counts")
     table = np.zeros(1 << TABLE_BITS, dtype=np.uint8)
@@ -359,28 +440,63 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
         table[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(zlib.decompress(r["codes"]), dtype=np.uint8)
     shared = spark.sparkContext.broadcast(table.tobytes())
 
-    sets = first.where("chunk is null").select("id", "n", "f1", "f2")
-    classes = sets.where("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    classes = written(classes, "shingle-classes")
-    second = source.where("id is not null").mapInArrow(_second_pass(shared, n, percent), "id long, n int, prefix array<long>, parts binary")
-    reps = classes.select(F.col("rep").alias("id")).distinct()
-    second = written(second.where("n > 0").join(reps.hint("merge"), "id", "left_semi"), "shingle-prefixes")
-
-    postings = second.select("id", F.explode("prefix").alias("h"))
-    firsts = postings.groupBy("h").agg(F.min("id").alias("family"), F.count("*").alias("c")).where("c > 1").drop("c")
-    members = written(postings.join(firsts, "h").select("family", "id").distinct(), "shingle-families")
-    light = _blocked(members, second.select("id", "n", "parts"), tasks)
-    left = written(light.mapInArrow(_filter(percent), "family long, id long").distinct(), "shingle-candidates")
-
-    families = left.groupBy("id").agg(F.sort_array(F.collect_set("family")).alias("families"))
-    needed = source.join(families.hint("merge"), "id").join(second.select("id", "n", "parts").hint("merge"), "id")
-    heavy = _blocked(left, needed, tasks)
-    links = heavy.mapInArrow(_verify(shared, n, percent), "a long, b long")
-    roots = components(links)
-
-    near = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    near = near.select("f1", "f2", F.coalesce("component", "rep").alias("component"))
-    return sets.join(near, ["f1", "f2"], "left").select(
+    sets = first.where("chunk is null").select("id", "n", "f")
+    known = sets.where("n > 0 and id is not null")
+    classes = written(known.groupBy("f").agg(F.min("id").alias("id")), "shingle-classes")
+    # Sets of one id are linked as they are.
+    by_id = known.groupBy("id").agg(F.min("f").alias("b"), F.max("f").alias("z")).where("b != z").drop("z")
+    edges = written(known.join(by_id, "id").select(F.col("f").alias("a"), "b").where("a != b").distinct(), "shingle-ids")
+
+    prefixes = source.where("id is not null").mapInArrow(_prefixes(shared, n, percent), "id long, f long, n int, prefix array<long>")
+    prefixes = prefixes.join(classes.hint("merge"), ["f", "id"]).dropDuplicates(["f", "id"])
+    prefixes = written(prefixes.select("f", "n", "prefix"), "shingle-prefixes")
+    postings = prefixes.select("f", "n", F.posexplode("prefix").alias("p", "h"))
+    least = postings.groupBy("h").agg(F.min(F.struct("f", "n", "p")).alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
+    met = postings.join(least, "h").where("f != least.f")
+    small, large = F.least("n", "least.n"), F.greatest("n", "least.n")
+    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("least.n")) / F.lit(100 + percent))
+    # The n-gram needn't be the first that both have, so what comes before it counts, too.
+    most = F.least("p", "least.p") + F.least(F.col("n") - F.col("p"), F.col("least.n") - F.col("least.p"))
+    fits = (100 * small >= percent * large) & (most >= need)
+    members = met.groupBy(F.col("least.f").alias("family"), "f").agg(F.first("n").alias("n"), F.max(fits).alias("fits"))
+    members = written(members, "shingle-families")
+    release(prefixes)
+
+    names = members.select("f").union(members.select("family")).distinct().join(classes, "f")
+    texts = source.join(names.hint("merge"), "id").select("id", "f", "text")
+    grams = written(texts.mapInArrow(_sets(shared, n), "f long, n int, parts binary, grams binary"), "shingle-members")
+
+    ones = written(_starred(members.where("fits").select(F.col("family").alias("pivot"), "f"), grams, tasks, percent), "shingle-links")
+    near = ones.select(F.col("a").alias("family"), F.col("b").alias("f"), F.lit(True).alias("near"))
+    near = members.select("family", "f", "n").join(near, ["family", "f"], "left").withColumn("near", F.col("near").isNotNull())
+    seconds = written(near.where("not near").groupBy("family").agg(F.min("f").alias("second")), "shingle-seconds")
+    apart = written(near.join(seconds, "family").where("f != second"), "shingle-apart")
+    again = apart.select(F.col("second").alias("pivot"), "f").distinct()
+    for a, b in (("family", "f"), ("f", "family")):  # compared before
+        again = again.join(members.select(F.col(a).alias("pivot"), F.col(b).alias("f")), ["pivot", "f"], "left_anti")
+    again = written(again, "shingle-again")
+    twos = written(_starred(again, grams, tasks, percent).unionByName(ones).unionByName(edges), "shingle-links")
+    release(ones, seconds)
+
+    roots = components(twos)
+    rest = apart.join(roots.withColumnRenamed("node", "f"), "f", "left").select("family", "f", "n", F.coalesce("component", "f").alias("component"))
+    mixed = rest.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("family")
+    rest = written(rest.join(mixed, "family", "left_semi"), "shingle-rest")
+    by_name = rest.select("f", "component").distinct()
+    light = _blocked(rest.select("family", "f", "n"), grams.select("f", "n", "parts").join(by_name, "f"), tasks)
+    left = written(light.mapInArrow(_filter(percent), "family long, f long").distinct().join(rest.select("family", "f", "n"), ["family", "f"]), "shingle-candidates")
+    families = members.select("f", "family", F.lit(None).cast("long").alias("second")).unionByName(again.select("f", F.lit(None).cast("long").alias("family"), F.col("pivot").alias("second")))
+    families = families.join(left.select("f").distinct(), "f", "left_semi").groupBy("f").agg(F.collect_set("family").alias("families"), F.collect_set("second").alias("seconds"))
+    heavy = _blocked(left, grams.join(by_name, "f").join(families, "f"), tasks)
+    threes = written(heavy.mapInArrow(_verify(percent), "a long, b long"), "shingle-links")
+    if not threes.isEmpty():
+        roots = components(threes.unionByName(twos))
+    release(members, grams, apart, again, twos, threes, rest, left, edges)
+    ids = roots.join(classes, roots["node"] == classes["f"]).select("f", "component", "id")
+    least = ids.groupBy("component").agg(F.min("id").alias("least"))
+    near = ids.join(least, "component").select("f", "least")
+    near = classes.join(near, "f", "left").select("f", F.coalesce("least", "id").alias("component"))
+    return sets.join(near, "f", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
@@ -389,8 +505,10 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """The columns of docs, one document of each group of near duplicates: the one with
-    the least id (of repeated ids one row). Documents with a null id stay."""
+    the least id (of repeated ids one row). Documents with a null id stay, all of them, as
+    do texts without words; columns may have any name; an empty table gives an empty one."""
     found = link_near_duplicates(docs, id_col, text, n, percent)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
-    rows = docs.join(kept, quoted(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return rows.unionByName(docs.where(quoted(id_col).isNull())).select(*[quoted(c) for c in carried(docs, [])])
+    (name,) = spare(docs.columns, "__id")
+    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    rows = docs.join(kept, quoted(id_col) == F.col(name), "left_semi").dropDuplicates([id_col])
+    return rows.unionByName(docs.where(quoted(id_col).isNull())).select(*[quoted(c) for c in docs.columns])

@@ -120,9 +120,10 @@ def near_copies(seed=1, groups=8, copies=30):
     return texts
 
 
-@pytest.mark.parametrize("block", [7, 128])
+@pytest.mark.parametrize("block", [7, 256])
 def test_near_duplicates(spark, monkeypatch, block):
     monkeypatch.setattr(shingles, "BLOCK", block)
+    monkeypatch.setattr(shingles, "STAR", 4 * block)
     texts = near_copies()
     df = spark.createDataFrame([(3 * i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingles.link_near_duplicates(df).collect()}
@@ -146,20 +147,75 @@ def test_near_duplicates_of_odd_rows(odd, none):
 
 
 def test_filters_lose_nothing():
-    """Length, suffix, prefix and positional filter pass every pair at or over 0.8."""
+    """Length, prefix, positional and suffix filter pass every pair at or over 0.8."""
     texts = near_copies(9, 5, 12)
     sets = [shingles.shingle_set(t) for t in texts]
     codes = np.zeros(1 << shingles.TABLE_BITS, dtype=np.uint8)
+    held = [shingles._Set(shingles.parts_of(s), shingles.ordered(s, codes).tobytes(), 80) for s in sets]
     sizes = np.array([len(s) for s in sets])
     parts = np.array([np.frombuffer(shingles.parts_of(s), "<u2") for s in sets]).astype(np.int32)
-    i, j, need = shingles._pairs(sizes, parts, np.zeros(len(sets), dtype=bool), 80)
-    keep = shingles._sharing(sizes, [shingles.ordered(s, codes)[: shingles.prefix_size(len(s), 80)].tolist() for s in sets], i, j, need)
-    passed = set(zip(i[keep].tolist(), j[keep].tolist()))
+    i, j = shingles._pairs(sizes, parts, np.arange(len(sets)), np.zeros(len(sets), dtype=bool), 80)
+    passed, barred = set(zip(i.tolist(), j.tolist())), 0
     for a in range(len(sets)):
         for b in range(a + 1, len(sets)):
             o = len(np.intersect1d(sets[a], sets[b]))
-            if o and 100 * o >= 80 * (sizes[a] + sizes[b] - o):
-                assert (a, b) in passed
+            linked = bool(o) and 100 * o >= 80 * (sizes[a] + sizes[b] - o)
+            assert shingles.links(held[a], held[b], 80) == linked
+            if linked:
+                assert (a, b) in passed and shingles.may_link(held[a], held[b], 80)
+            elif o:
+                barred += not shingles.may_link(held[a], held[b], 80)
+    assert barred
+
+
+def test_suffix_filter_looks_past_the_shared_place():
+    """Two sets that share one rare n-gram and as many n-grams in each part: only what
+    comes after that n-gram can be shared, too."""
+    rare = np.array([1 << 40], dtype="<u8")
+    rng = np.random.default_rng(1)
+    rest = [np.unique(rng.integers(1 << 45, 1 << 60, 400, dtype=np.uint64) & ~np.uint64(63) | np.uint64(k)) for k in (3, 9)]
+    a, b = (shingles._Set(shingles.parts_of(np.sort(np.concatenate([rare, r]))), np.concatenate([rare, r]).astype("<u8").tobytes(), 80) for r in rest)
+    assert not shingles.may_link(a, b, 80)
+    same = shingles._Set(shingles.parts_of(np.sort(np.concatenate([rare, rest[0]]))), np.concatenate([rare, rest[0]]).astype("<u8").tobytes(), 80)
+    assert shingles.may_link(a, same, 80) and shingles.links(a, same, 80)
+
+
+def test_chains_and_stars(spark, monkeypatch):
+    """Chains, in which first and last share little; a hub with copies that aren't near
+    each other; small blocks, so that every step is gone through."""
+    monkeypatch.setattr(shingles, "BLOCK", 5)
+    monkeypatch.setattr(shingles, "STAR", 4)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(4000)]
+    texts = []
+    for _ in range(6):  # each step changes some of the words
+        t = [rng.choice(words) for _ in range(120)]
+        for _ in range(14):
+            t = list(t)
+            at = rng.randrange(100)
+            t[at : at + 8] = [rng.choice(words) for _ in range(8)]
+            texts.append(" ".join(t))
+    for _ in range(3):
+        hub = [rng.choice(words) for _ in range(100)]
+        texts.append(" ".join(hub))
+        for _ in range(25):
+            t = list(hub)
+            at = rng.randrange(85)
+            t[at : at + rng.randint(3, 12)] = [rng.choice(words) for _ in range(6)]
+            texts.append(" ".join(t))
+    shared = " ".join(rng.choice(words) for _ in range(30))
+    texts += [shared + " " + " ".join(rng.choice(words) for _ in range(40)) for _ in range(30)]
+    ids = rng.sample(range(10_000), len(texts))
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingles.link_near_duplicates(df).collect()}
+    assert got == plain_links(ids, texts)
+
+
+def test_texts_of_one_id_are_one_node(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (3, a + " end"), (9, b + " end"), (7, c), (8, c)]
+    got = sorted((r["doc_id"], r["component_id"]) for r in shingles.link_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (5, 3), (7, 7), (8, 7), (9, 3)]
 
 
 # -- scoring -----------------------------------------------------------------------
@@ -301,5 +357,5 @@ def test_pipeline(spark):
         before = after
     assert corpus_pipeline.run(spark, SF).count() == before.count()
     empty = docs.where("doc_id < 0")
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
