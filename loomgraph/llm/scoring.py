@@ -1,12 +1,11 @@
-"""Masked pseudo-likelihood: a bidirectional window network scores every token from both sides.
-
-Tokens are characters in SYMBOLS classes. The network sees the two tokens before and
-the two after a masked one and gives a distribution of it; a document's score is the sum
-of the log-probabilities of all its tokens. Since the window is five tokens, the counts of
-all windows in all documents are everything that training needs: they are gathered from
-the whole corpus, and the network is fitted on the driver to these counts, whose number is
-bounded by SYMBOLS**5 whatever the corpus. Scoring looks windows up in the table of the
-network's outputs for all contexts.
+"""The window network: predicts every character of a masked place from both sides.
+
+Characters are folded into SYMBOLS classes. The network sees the two before and the two
+after a masked one and gives a distribution of it. Since the window is five characters,
+the counts of all windows in all documents are everything that training needs: they are
+gathered from the whole corpus as a table, dealt out by context. Each round every task
+trains the network on its share, and the networks are averaged by weight, so only
+networks (a few thousand numbers) come to the driver. word_scoring.py spells words by it.
 """
 
 from __future__ import annotations
@@ -18,13 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, hold, prepare, quoted
+from .common import prepare, quoted, release, written
 
 #: 0: beyond the ends; 1-26: letters without marks; then blank, line feed, digit, other
 #: letter, punctuation and everything else.
 SYMBOLS = 32
 PAD, BLANK, LINE, DIGIT, LETTER, MARK = 0, 27, 28, 29, 30, 31
-WINDOW = 5
 EMBED, HIDDEN = 8, 32
 #: Characters taken together to bound memory.
 CHARS = 1 << 21
@@ -84,7 +82,7 @@ class WindowNetwork:
     def logs(self, contexts: np.ndarray) -> np.ndarray:
         return self._forward(contexts)[3]
 
-    def fit(self, codes: np.ndarray, counts: np.ndarray, rounds: int = 8, batch: int = 4096, rate: float = 0.01, seed: int = 4) -> WindowNetwork:
+    def fit(self, codes: np.ndarray, counts: np.ndarray, rounds: int = 8, batch: int = 2048, rate: float = 0.01, seed: int = 4) -> WindowNetwork:
         """Adam on the mean log-probability over all counted windows. A batch is a set of
         contexts with the counts of all tokens seen in each; every context of the corpus
         takes part in every round, weighted by its counts."""
@@ -117,13 +115,27 @@ class WindowNetwork:
                     p -= speed * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
         return self
 
-    def table(self) -> np.ndarray:
-        """Log-probabilities of all windows, in the order of windows()."""
-        out = np.empty(SYMBOLS**WINDOW, dtype=np.float32)
-        for a in range(0, SYMBOLS**4, 1 << 14):
-            out[a << 5 : (a + (1 << 14)) << 5] = self.logs(np.arange(a, a + (1 << 14))).reshape(-1)
+    def window_logs(self, codes: np.ndarray) -> np.ndarray:
+        """Log-probabilities of windows; each context is computed once."""
+        contexts, back = np.unique(codes >> 5, return_inverse=True)
+        out = np.empty(len(codes), dtype=np.float64)
+        order = np.argsort(back, kind="stable")
+        ends = np.searchsorted(back[order], np.arange(0, len(contexts) + (1 << 14), 1 << 14))
+        for a, (start, end) in zip(range(0, len(contexts), 1 << 14), zip(ends, ends[1:])):
+            logs, rows = self.logs(contexts[a : a + (1 << 14)].astype(np.int64)), order[start:end]
+            out[rows] = logs[back[rows] - a, codes[rows] & 31]
         return out
 
+    def numbers(self) -> np.ndarray:
+        return np.concatenate([p.reshape(-1) for p in (self.embed, self.w1, self.b1, self.w2, self.b2)])
+
+    def set(self, numbers: np.ndarray) -> WindowNetwork:
+        at = 0
+        for p in (self.embed, self.w1, self.b1, self.w2, self.b2):
+            p[...] = numbers[at : at + p.size].reshape(p.shape)
+            at += p.size
+        return self
+
 
 def count_windows(docs: DataFrame, text: str = "text") -> DataFrame:
     """code and n of every window in all whole texts."""
@@ -159,59 +171,32 @@ def count_windows(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(quoted(text)).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+#: Tasks that train at most, distinct windows that make one, rounds of averaging, passes
+#: of a task over its share in a round.
+SHARES, SHARE, ROUNDS, PASSES = 64, 1 << 18, 4, 3
+
+
 def train(docs: DataFrame, text: str = "text") -> WindowNetwork:
-    """A network fitted to the windows of all texts. At most SYMBOLS**WINDOW rows of
-    twelve bytes come to the driver, however large the corpus. No text: as initialised."""
-    counts = count_windows(docs, text).toArrow()
+    """A network fitted to the windows of all texts, the same for the same counts. Nothing but one network for each of at most SHARES tasks comes to the driver.
+    Null and empty texts have no windows; a table without any gives the network as
+    initialised; repeated rows weigh as often as they are there."""
+    table = written(count_windows(docs, text), "lm-windows")
+    shares = max(1, min(SHARES, -(-table.count() // SHARE)))
+    counts = table.repartition(shares, F.shiftright("code", 5)).sortWithinPartitions("code")
     network = WindowNetwork()
-    if counts.num_rows:
-        network.fit(counts.column("code").to_numpy().astype(np.int64), counts.column("n").to_numpy())
+    for r in range(ROUNDS):
+        now, rate = network.numbers(), 0.01 * (1 - r / ROUNDS)
+
+        def learn(batches, now=now, rate=rate):
+            parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+            if parts:
+                codes, n = (np.concatenate(x) for x in zip(*parts))
+                own = WindowNetwork().set(now).fit(codes.astype(np.int64), n, rounds=PASSES, rate=rate)
+                yield pa.RecordBatch.from_arrays([pa.array([own.numbers().astype("<f4").tobytes()], pa.binary()), pa.array([float(n.sum())])], names=["network", "weight"])
+
+        made = counts.mapInArrow(learn, "network binary, weight double").orderBy("weight", "network").collect()
+        if not made:
+            break
+        network.set(np.average([np.frombuffer(m["network"], "<f4") for m in made], axis=0, weights=[m["weight"] for m in made]))
+    release(table)
     return network
-
-
-_tables: dict[bytes, np.ndarray] = {}
-
-
-def _looked_up(network: WindowNetwork) -> np.ndarray:
-    key = network.w1.tobytes()
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = network.table()
-    return _tables[key]
-
-
-def text_score(text: str | None, table: np.ndarray) -> float:
-    tokens = symbols(text) if text else np.zeros(0, np.uint8)
-    total = 0.0
-    codes = windows(tokens) if len(tokens) else np.zeros(0, np.uint32)
-    for a in range(0, len(codes), CHARS):
-        total += float(table[codes[a : a + CHARS]].sum(dtype=np.float64))
-    return total
-
-
-def score(docs: DataFrame, network: WindowNetwork, text: str = "text") -> DataFrame:
-    """docs with n_tokens, log_likelihood (summed over all tokens of the whole text) and
-    mean_log_likelihood (null without tokens). Null and empty texts score 0; repeated rows
-    score alike; an empty table gives an empty one; columns of these names give way."""
-    spark = docs.sparkSession
-    prepare(spark)
-    shared = spark.sparkContext.broadcast(network)  # a few thousand weights
-    made = ["n_tokens", "log_likelihood", "mean_log_likelihood"]
-    keep = carried(docs, made)
-    rest = [c for c in keep if c != text]
-    kinds = dict(docs.dtypes)
-
-    def run(batches):
-        hold(_tables)
-        table = _looked_up(shared.value)
-        for batch in batches:
-            body = batch.column(len(rest))
-            n = [len(t.as_py() or "") for t in body]
-            total = [text_score(t.as_py(), table) for t in body]
-            columns = [*(batch.column(i) for i in range(len(rest))), pa.array(n, pa.int64()), pa.array(total, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*columns, *([body] if text in keep else [])], names=[*rest, *made[:2], *([text] if text in keep else [])])
-
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "n_tokens long", "log_likelihood double", *([f"`{text}` string"] if text in keep else [])])
-    rows = docs.select(*[quoted(c) for c in rest], quoted(text)).mapInArrow(run, schema)
-    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
-    return rows.withColumn("mean_log_likelihood", mean).select(*[quoted(c) for c in keep], *made)

@@ -267,7 +267,7 @@ def count_words(docs: DataFrame, text: str = "text", chunk_chars: int = CHUNK_CH
 _log_share = None
 
 
-def spelled(words: list[str], table: np.ndarray) -> np.ndarray:
+def spelled(words: list[str], network: WindowNetwork) -> np.ndarray:
     """Log-probabilities of the words' characters and of the blank after each."""
     global _log_share
     if _log_share is None:
@@ -279,7 +279,7 @@ def spelled(words: list[str], table: np.ndarray) -> np.ndarray:
     if not words:
         return np.zeros(0)
     tokens = symbols("  " + "   ".join(words) + "   ")  # a window is two wide
-    logs = table[windows(tokens)].astype(np.float64) + _log_share[tokens]
+    logs = network.window_logs(windows(tokens)) + _log_share[tokens]
     lengths = np.array([len(w) for w in words])
     starts = 2 + np.concatenate([[0], np.cumsum(lengths + 3)[:-1]])
     return np.add.reduceat(logs, np.stack([starts, starts + lengths + 1], axis=1).reshape(-1))[::2]
@@ -291,7 +291,7 @@ def _own(places: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return times[back]
 
 
-def _scored(distinct: _Places, texts, table, totals, words, once, n_texts) -> list[float]:
+def _scored(distinct: _Places, texts, network, totals, words, once, n_texts) -> list[float]:
     places, sizes = _joined(texts)
     if not len(sizes):
         return [0.0] * len(texts)
@@ -303,7 +303,7 @@ def _scored(distinct: _Places, texts, table, totals, words, once, n_texts) -> li
     owner = np.repeat(np.arange(len(sizes)), sizes)
     own = totals[1 : 1 + n][at[places]].astype(np.int64) - _own(places, owner, len(hashes))
     both = totals[1 + n :][at_pair].astype(np.int64) - _own(at_pair, np.repeat(np.arange(len(sizes)), sizes + 1), len(found_pairs))
-    spelling = spelled(list(distinct), table)[places]
+    spelling = spelled(list(distinct), network)[places]
     ends = np.cumsum(sizes)
     left, right = np.append(0, own[:-1]), np.append(own[1:], 0)
     left[ends - sizes] = right[ends - 1] = n_texts - 1
@@ -322,8 +322,9 @@ def _scored(distinct: _Places, texts, table, totals, words, once, n_texts) -> li
 def score_words(docs: DataFrame, network: WindowNetwork, text: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """docs with n_tokens, log_likelihood (summed over all words of the whole text) and
     mean_log_likelihood (null without words), each text against all others. Null and
-    empty texts score 0; repeated rows score alike; an empty table gives an empty one;
-    columns of these names give way."""
+    empty texts score 0; texts of any length are scored whole (a chunk ends with the text
+    that takes it over its size); repeated rows score alike, each seeing the others; an
+    empty table gives an empty one; columns of these names give way, others may have any."""
     spark = docs.sparkSession
     counts = count_words(docs, text, chunk_chars)
     made = ["n_tokens", "log_likelihood", "mean_log_likelihood"]
@@ -335,20 +336,20 @@ def score_words(docs: DataFrame, network: WindowNetwork, text: str = "text", chu
     names = [*rest, *made[:2], *([text] if text in keep else [])]
 
     def run(batches):
-        hold(scoring._tables)
-        table = scoring._looked_up(shared.value)
+        hold()
         files, path = place(folder)
         task = TaskContext.get().partitionId() << 32
         for number, words, texts, parts in _chunks(batches, len(rest), most):
             with files.open_input_stream(f"{path}/{task | number}") as file:
                 totals = _counts(file.read())
-            total, at = _scored(words, texts, table, totals, *whole), 0
+            total, at = _scored(words, texts, shared.value, totals, *whole), 0
             for batch, a, b in parts:
                 columns = batch.slice(a, b - a).columns
                 here = slice(at, at + b - a)
                 at += b - a
                 values = [pa.array([len(t) for t in texts[here]], pa.int64()), pa.array(total[here], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*columns[: len(rest)], *values, *(columns[len(rest) :] if text in keep else [])], names=names)
+        let_go()
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "n_tokens long", "log_likelihood double", *([f"`{text}` string"] if text in keep else [])])
     rows = counts.rows.select(*[quoted(c) for c in rest], quoted(text)).mapInArrow(run, schema)

@@ -221,27 +221,24 @@ def test_texts_of_one_id_are_one_node(spark):
 # -- scoring -----------------------------------------------------------------------
 
 
-def test_scores(spark, odd, none):
+def test_network_predicts_from_both_sides(spark, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     network = scoring.train(docs)
-    for r in scoring.score(odd, network).collect():
-        tokens = [0, 0, *scoring.symbols(r["text"] or "").tolist(), 0, 0]
-        if len(tokens) < 300:
-            total = 0.0
-            for k in range(2, len(tokens) - 2):
-                context = ((tokens[k - 2] * 32 + tokens[k - 1]) * 32 + tokens[k + 1]) * 32 + tokens[k + 2]
-                logs = network.logs(np.array([context]))[0]
-                assert math.isclose(np.exp(logs).sum(), 1, rel_tol=1e-4)
-                total += logs[tokens[k]]
-            assert math.isclose(r["log_likelihood"], total, rel_tol=1e-4, abs_tol=1e-3)
-        assert r["n_tokens"] == len(tokens) - 4 and (r["mean_log_likelihood"] is None) == (r["n_tokens"] == 0)
-    assert scoring.score(none, network).count() == 0
+    assert (scoring.train(docs.repartition(5)).numbers() == network.numbers()).all()
     text = docs.where("n_chars > 500").first()["text"]
-    mean = lambda t: scoring.text_score(t, network.table()) / len(t)
+    codes = scoring.windows(scoring.symbols(text))
+    logs = network.window_logs(codes)
+    tokens = [0, 0, *scoring.symbols(text).tolist(), 0, 0]
+    for k in range(2, len(tokens) - 2):
+        context = ((tokens[k - 2] * 32 + tokens[k - 1]) * 32 + tokens[k + 1]) * 32 + tokens[k + 2]
+        one = network.logs(np.array([context]))[0]
+        assert math.isclose(np.exp(one).sum(), 1, rel_tol=1e-4) and math.isclose(logs[k - 2], one[tokens[k]], rel_tol=1e-4, abs_tol=1e-5)
+    mean = lambda t: network.window_logs(scoring.windows(scoring.symbols(t))).mean()
     letters = list(text)
     random.Random(1).shuffle(letters)
-    assert mean(text) > mean("".join(letters)) + 0.5
-    scoring.train(none)
+    assert mean(text) > mean("".join(letters)) + 0.5 and mean(text) > -2.6
+    assert len(network.window_logs(np.zeros(0, np.uint32))) == 0
+    assert (scoring.train(none).numbers() == scoring.WindowNetwork().numbers()).all()
 
 
 def test_windows_cover_all_texts(odd):

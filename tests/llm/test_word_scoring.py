@@ -9,7 +9,7 @@ from loomgraph.llm import scoring, word_scoring
 SF = "/root/testdata/sf0.001"
 
 
-def plain_scores(texts, table):
+def plain_scores(texts, network):
     """Each text against all others, with dicts."""
     texts = [word_scoring.words_of(t) for t in texts]
     own = [(Counter(t), Counter(zip([0, *t], [*t, 1]))) if t else (Counter(), Counter()) for t in texts]
@@ -17,7 +17,7 @@ def plain_scores(texts, table):
     n, k = sum(words.values()), word_scoring.WEIGHT
     once, ends = sum(c == 1 for c in words.values()), sum(bool(t) for t in texts) - 1
     names = list(words)
-    spelling = dict(zip(names, word_scoring.spelled(names, table).tolist()))
+    spelling = dict(zip(names, word_scoring.spelled(names, network).tolist()))
     out = []
     for t, (a, b) in zip(texts, own):
         total = 0.0
@@ -38,7 +38,7 @@ def plain_scores(texts, table):
 def test_word_scores_are_those_of_plain_counts(spark, odd, none):
     network = scoring.train(odd)
     rows = odd.collect()
-    want = {r["text"]: s for r, s in zip(rows, plain_scores([r["text"] for r in rows], network.table()))}
+    want = {r["text"]: s for r, s in zip(rows, plain_scores([r["text"] for r in rows], network))}
     for chunk in (50, word_scoring.CHUNK_CHARS):
         got = word_scoring.score_words(odd, network, chunk_chars=chunk).collect()
         assert len(got) == len(rows) and Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in rows)
