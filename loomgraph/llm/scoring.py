@@ -24,6 +24,8 @@ from .common import prepare, quoted, release, written
 SYMBOLS = 32
 PAD, BLANK, LINE, DIGIT, LETTER, MARK = 0, 27, 28, 29, 30, 31
 EMBED, HIDDEN = 8, 32
+#: Contexts whose distributions are remembered while words are spelled.
+REMEMBERED = 1 << 18
 #: Characters taken together to bound memory.
 CHARS = 1 << 21
 
@@ -86,6 +88,7 @@ class WindowNetwork:
         """Adam on the mean log-probability over all counted windows. A batch is a set of
         contexts with the counts of all tokens seen in each; every context of the corpus
         takes part in every round, weighted by its counts."""
+        self.__dict__.pop("_known", None)
         order = np.argsort(codes, kind="stable")
         codes, counts = codes[order], counts[order].astype(np.float64)
         contexts, starts = np.unique(codes >> 5, return_index=True)
@@ -116,20 +119,30 @@ class WindowNetwork:
         return self
 
     def window_logs(self, codes: np.ndarray) -> np.ndarray:
-        """Log-probabilities of windows; each context is computed once."""
+        """Log-probabilities of windows; those of each context are made once and remembered,
+        up to REMEMBERED contexts."""
         contexts, back = np.unique(codes >> 5, return_inverse=True)
-        out = np.empty(len(codes), dtype=np.float64)
-        order = np.argsort(back, kind="stable")
-        ends = np.searchsorted(back[order], np.arange(0, len(contexts) + (1 << 14), 1 << 14))
-        for a, (start, end) in zip(range(0, len(contexts), 1 << 14), zip(ends, ends[1:])):
-            logs, rows = self.logs(contexts[a : a + (1 << 14)].astype(np.int64)), order[start:end]
-            out[rows] = logs[back[rows] - a, codes[rows] & 31]
-        return out
+        known, table = self.__dict__.get("_known", (np.zeros(0, contexts.dtype), np.zeros((0, SYMBOLS), np.float32)))
+        at = np.searchsorted(known, contexts)
+        new = contexts[known[np.minimum(at, len(known) - 1)] != contexts] if len(known) else contexts
+        if len(new):
+            if len(known) + len(new) > REMEMBERED:
+                known, table, new = known[:0], table[:0], contexts
+            made = np.concatenate([np.zeros((0, SYMBOLS), np.float32), *(self.logs(new[a : a + (1 << 14)].astype(np.int64)) for a in range(0, len(new), 1 << 14))])
+            order = np.argsort(np.concatenate([known, new]), kind="stable")
+            known, table = np.concatenate([known, new])[order], np.concatenate([table, made])[order]
+            self._known = known, table
+            at = np.searchsorted(known, contexts)
+        return table[at[back], codes & 31].astype(np.float64)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_known"}
 
     def numbers(self) -> np.ndarray:
         return np.concatenate([p.reshape(-1) for p in (self.embed, self.w1, self.b1, self.w2, self.b2)])
 
     def set(self, numbers: np.ndarray) -> WindowNetwork:
+        self.__dict__.pop("_known", None)
         at = 0
         for p in (self.embed, self.w1, self.b1, self.w2, self.b2):
             p[...] = numbers[at : at + p.size].reshape(p.shape)

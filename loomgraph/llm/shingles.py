@@ -3,8 +3,8 @@
 Whatever the data, the result is exact (up to collisions of 64-bit hashes): every filter
 only drops pairs that can't reach the threshold.
 
-1. One pass makes each text's set of hashed n-grams. Equal sets are one class, named by a
-   64-bit digest of the set. The same pass counts n-gram frequencies over all documents
+1. One pass makes each text's set of hashed n-grams. Equal sets (64-bit digests) are one
+   class, represented by its least document id. The same pass counts n-gram frequencies over all documents
    in a table of 2**TABLE_BITS counters. Logarithms of these counts and then the hash
    order all n-grams, rare first. Any order gives right results; the table only has to
    tell the frequent ones. Its size is fixed.
@@ -28,6 +28,7 @@ only drops pairs that can't reach the threshold.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, carried, hold, let_go, prepare, quoted, release, spare, written
+from .common import LOWER, UPPER, fresh_dir, hold, let_go, prepare, quoted, release, remove, spare, written
 from .components import components, local_roots
 
 TABLE_BITS, CHUNK_BITS = 22, 16
@@ -184,8 +185,8 @@ def _prefixes(shared, n: int, percent: int):
 
 
 def _sets(shared, n: int):
-    """Of (id, f, text), sorted by id: once for each f the set's size, counts by part and
-    n-grams, rare first. Other texts of the id have other names than f."""
+    """Of (id, f, text), sorted by id: once for each id and f the set's size, counts by
+    part and n-grams, rare first. Other texts of the id have other digests than f."""
 
     def run(batches):
         hold(_words)
@@ -199,9 +200,9 @@ def _sets(shared, n: int):
                     s = shingle_set(t.as_py(), n)
                     if digest_of(s) == f:
                         done.add(f)
-                        out.append((f, len(s), parts_of(s), ordered(s, codes).astype("<u8").tobytes()))
-            f, size, parts, body = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(size, pa.int32()), pa.array(parts, pa.binary()), pa.array(body, pa.binary())], names=["f", "n", "parts", "grams"])
+                        out.append((i, len(s), parts_of(s), ordered(s, codes).astype("<u8").tobytes()))
+            ids, size, parts, body = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(parts, pa.binary()), pa.array(body, pa.binary())], names=["id", "n", "parts", "grams"])
         let_go()
 
     return run
@@ -253,20 +254,21 @@ def links(a: _Set, b: _Set, percent: int) -> bool:
 
 
 def _stars(percent: int):
-    """Links of the first row of each (pivot, block) with the others, from partitions
-    sorted by these and with the pivot first. One set and one batch are held."""
+    """Links of the pivot of each (pivot, block) with the others, from partitions sorted by
+    these and with the pivot's own sets (one, if ids are unique) first. They and one batch are held."""
 
     def found(batches):
-        key = pivot = None
+        key, own = None, []
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("pivot", "block", "f", "parts", "grams")]
-            for p, block, f, parts, grams in zip(*(c.to_pylist() for c in columns[:3]), *columns[3:]):
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("pivot", "block", "id", "parts", "grams")]
+            for p, block, i, parts, grams in zip(*(c.to_pylist() for c in columns[:3]), *columns[3:]):
                 if (p, block) != key:
-                    key, pivot = (p, block), None
-                if f == p:
-                    pivot = _Set(parts.as_py(), grams.as_py(), percent)
-                elif links(pivot, _Set(parts.as_py(), grams.as_py(), percent), percent):
-                    yield p, f
+                    key, own = (p, block), []
+                it = _Set(parts.as_py(), grams.as_py(), percent)
+                if i == p:
+                    own.append(it)
+                elif any(links(x, it, percent) for x in own):
+                    yield p, i
 
     return lambda batches: _batches(found(batches), ["a", "b"])
 
@@ -331,13 +333,13 @@ def _batches(rows, names):
 
 def _filter(percent: int):
     def left(batches):
-        for (family, x, _), rows in _runs(batches, ["f", "block", "n", "parts", "component"]):
+        for (family, x, _), rows in _runs(batches, ["id", "block", "n", "parts", "component"]):
             if len(rows) > 1:
                 i, j = _pairs(*_block(rows, x, (1, 2, 3, 4)), percent)
                 for k in {*i.tolist(), *j.tolist()}:
                     yield family, rows[k][0]
 
-    return lambda batches: _batches(left(batches), ["family", "f"])
+    return lambda batches: _batches(left(batches), ["family", "id"])
 
 
 def _overlaps(sets: dict[int, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -364,7 +366,7 @@ def _overlaps(sets: dict[int, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
 
 def _verify(percent: int):
     def found(batches):
-        for (family, x, _), rows in _runs(batches, ["f", "block", "n", "parts", "component", "families", "seconds", "grams"]):
+        for (family, x, _), rows in _runs(batches, ["id", "block", "n", "parts", "component", "families", "seconds", "grams"]):
             if len(rows) < 2:
                 continue
             sizes, parts, component, sides = _block(rows, x, (1, 2, 3, 4))
@@ -395,28 +397,43 @@ def _verify(percent: int):
 
 
 def _blocked(members: DataFrame, extra: DataFrame, n_parts: int) -> DataFrame:
-    """members (family, f, n) once for each pair of blocks of the family that they are in,
-    with the columns of extra (by f), sorted by block pair in each partition. Only names
+    """members (family, id, n) once for each pair of blocks of the family that they are in,
+    with the columns of extra (by id), sorted by block pair in each partition. Only ids
     travel until each row knows its block pairs."""
-    sizes = members.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("grams")).where("members > 1")
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
-    rows = members.drop("n").join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("f"), blocks).cast("int"))
-    rows = rows.select("family", "f", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = rows.select("family", "f", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    return rows.join(extra.hint("merge"), "f").repartition(n_parts, "family", "x", "y").sortWithinPartitions("family", "x", "y")
+    sizes = members.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("grams_")).where("members > 1")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("grams_") / BLOCK_GRAMS)).cast("int")
+    rows = members.drop("n").join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    rows = rows.select("family", "id", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("family", "id", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    return rows.join(extra, "id").repartition(n_parts, "family", "x", "y").sortWithinPartitions("family", "x", "y")
 
 
 def _starred(pairs: DataFrame, sets: DataFrame, n_parts: int, percent: int) -> DataFrame:
-    """Links (a, b) among pairs (pivot, f): each f meets its pivot once, the pivot's set
+    """Links (a, b) among pairs (pivot, id): each id meets its pivot once, the pivot's set
     goes to each group of at most STAR (on average) of its pairs."""
     sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / STAR).cast("int").alias("blocks"))
-    others = pairs.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int").alias("block"), "f")
-    pivots = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("f"))
-    rows = others.unionByName(pivots).join(sets.select("f", "parts", "grams").hint("merge"), "f")
-    rows = rows.repartition(n_parts, "pivot", "block").sortWithinPartitions("pivot", "block", F.col("f") != F.col("pivot"))
+    others = pairs.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id")
+    pivots = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("id"))
+    rows = others.unionByName(pivots).join(sets.select("id", "parts", "grams").hint("merge"), "id")
+    rows = rows.repartition(n_parts, "pivot", "block").sortWithinPartitions("pivot", "block", F.col("id") != F.col("pivot"))
     return rows.mapInArrow(_stars(percent), "a long, b long")
 
 
+class _Bucketed:
+    """A table in the shared folder that joins by id without moving; gone with the block."""
+
+    def __init__(self, df: DataFrame, buckets: int):
+        self.spark, self.name, self.path = df.sparkSession, f"grams_{uuid.uuid4().hex}", fresh_dir(df.sparkSession, "shingle-members")
+        df.write.bucketBy(buckets, "id").sortBy("id").option("path", self.path).saveAsTable(self.name)
+
+    def __enter__(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def __exit__(self, *_) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
+
+
 def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """doc id, n_shingles and component_id of every row of docs.
 
@@ -443,59 +460,60 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     sets = first.where("chunk is null").select("id", "n", "f")
     known = sets.where("n > 0 and id is not null")
     classes = written(known.groupBy("f").agg(F.min("id").alias("id")), "shingle-classes")
-    # Sets of one id are linked as they are.
-    by_id = known.groupBy("id").agg(F.min("f").alias("b"), F.max("f").alias("z")).where("b != z").drop("z")
-    edges = written(known.join(by_id, "id").select(F.col("f").alias("a"), "b").where("a != b").distinct(), "shingle-ids")
+    # An id with several texts connects their classes.
+    several = known.groupBy("id").agg(F.min("f").alias("b"), F.max("f").alias("z")).where("b != z").select("id")
+    several = known.join(several, "id", "left_semi").join(classes.withColumnRenamed("id", "a"), "f").select("id", "a")
+    edges = several.join(several.groupBy("id").agg(F.min("a").alias("b")), "id").select("a", "b").where("a != b").distinct()
+    edges = written(edges, "shingle-ids")
 
     prefixes = source.where("id is not null").mapInArrow(_prefixes(shared, n, percent), "id long, f long, n int, prefix array<long>")
     prefixes = prefixes.join(classes.hint("merge"), ["f", "id"]).dropDuplicates(["f", "id"])
-    prefixes = written(prefixes.select("f", "n", "prefix"), "shingle-prefixes")
-    postings = prefixes.select("f", "n", F.posexplode("prefix").alias("p", "h"))
-    least = postings.groupBy("h").agg(F.min(F.struct("f", "n", "p")).alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = postings.join(least, "h").where("f != least.f")
-    small, large = F.least("n", "least.n"), F.greatest("n", "least.n")
-    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("least.n")) / F.lit(100 + percent))
+    prefixes = written(prefixes.select("id", "n", "prefix"), "shingle-prefixes")
+    postings = prefixes.select("id", "n", F.posexplode("prefix").alias("p", "h"))
+    least = postings.groupBy("h").agg(F.min("id").alias("family"), F.max("id").alias("z")).where("family != z").drop("z")
+    met = written(postings.join(least, "h"), "shingle-met")
+    release(prefixes)
+    first_ = met.where("id = family").select("h", F.col("n").alias("n1"), F.col("p").alias("p1"))
+    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n1")) / F.lit(100 + percent))
     # The n-gram needn't be the first that both have, so what comes before it counts, too.
-    most = F.least("p", "least.p") + F.least(F.col("n") - F.col("p"), F.col("least.n") - F.col("least.p"))
-    fits = (100 * small >= percent * large) & (most >= need)
-    members = met.groupBy(F.col("least.f").alias("family"), "f").agg(F.first("n").alias("n"), F.max(fits).alias("fits"))
+    most = F.least("p", "p1") + F.least(F.col("n") - F.col("p"), F.col("n1") - F.col("p1"))
+    fits = (100 * F.least("n", "n1") >= percent * F.greatest("n", "n1")) & (most >= need)
+    members = met.where("id != family").join(first_, "h").groupBy("family", "id").agg(F.max("n").alias("n"), F.max(fits).alias("fits"))
     members = written(members, "shingle-families")
-    release(prefixes)
+    release(met)
 
-    names = members.select("f").union(members.select("family")).distinct().join(classes, "f")
+    names = members.select("id").union(members.select("family")).distinct().join(classes, "id")
     texts = source.join(names.hint("merge"), "id").select("id", "f", "text")
-    grams = written(texts.mapInArrow(_sets(shared, n), "f long, n int, parts binary, grams binary"), "shingle-members")
-
-    ones = written(_starred(members.where("fits").select(F.col("family").alias("pivot"), "f"), grams, tasks, percent), "shingle-links")
-    near = ones.select(F.col("a").alias("family"), F.col("b").alias("f"), F.lit(True).alias("near"))
-    near = members.select("family", "f", "n").join(near, ["family", "f"], "left").withColumn("near", F.col("near").isNotNull())
-    seconds = written(near.where("not near").groupBy("family").agg(F.min("f").alias("second")), "shingle-seconds")
-    apart = written(near.join(seconds, "family").where("f != second"), "shingle-apart")
-    again = apart.select(F.col("second").alias("pivot"), "f").distinct()
-    for a, b in (("family", "f"), ("f", "family")):  # compared before
-        again = again.join(members.select(F.col(a).alias("pivot"), F.col(b).alias("f")), ["pivot", "f"], "left_anti")
-    again = written(again, "shingle-again")
-    twos = written(_starred(again, grams, tasks, percent).unionByName(ones).unionByName(edges), "shingle-links")
-    release(ones, seconds)
-
-    roots = components(twos)
-    rest = apart.join(roots.withColumnRenamed("node", "f"), "f", "left").select("family", "f", "n", F.coalesce("component", "f").alias("component"))
-    mixed = rest.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("family")
-    rest = written(rest.join(mixed, "family", "left_semi"), "shingle-rest")
-    by_name = rest.select("f", "component").distinct()
-    light = _blocked(rest.select("family", "f", "n"), grams.select("f", "n", "parts").join(by_name, "f"), tasks)
-    left = written(light.mapInArrow(_filter(percent), "family long, f long").distinct().join(rest.select("family", "f", "n"), ["family", "f"]), "shingle-candidates")
-    families = members.select("f", "family", F.lit(None).cast("long").alias("second")).unionByName(again.select("f", F.lit(None).cast("long").alias("family"), F.col("pivot").alias("second")))
-    families = families.join(left.select("f").distinct(), "f", "left_semi").groupBy("f").agg(F.collect_set("family").alias("families"), F.collect_set("second").alias("seconds"))
-    heavy = _blocked(left, grams.join(by_name, "f").join(families, "f"), tasks)
-    threes = written(heavy.mapInArrow(_verify(percent), "a long, b long"), "shingle-links")
+    with _Bucketed(texts.mapInArrow(_sets(shared, n), "id long, n int, parts binary, grams binary"), tasks) as grams:
+        ones = written(_starred(members.where("fits").select(F.col("family").alias("pivot"), "id"), grams, tasks, percent), "shingle-links")
+        near = ones.select(F.col("a").alias("family"), F.col("b").alias("id"), F.lit(True).alias("near")).distinct()
+        near = members.select("family", "id", "n").join(near, ["family", "id"], "left").withColumn("near", F.col("near").isNotNull())
+        seconds = written(near.where("not near").groupBy("family").agg(F.min("id").alias("second")), "shingle-seconds")
+        apart = written(near.join(seconds, "family").where("id != second"), "shingle-apart")
+        again = apart.select(F.col("second").alias("pivot"), "id").distinct()
+        for a, b in (("family", "id"), ("id", "family")):  # compared before
+            again = again.join(members.select(F.col(a).alias("pivot"), F.col(b).alias("id")), ["pivot", "id"], "left_anti")
+        again = written(again, "shingle-again")
+        twos = written(_starred(again, grams, tasks, percent).unionByName(ones).unionByName(edges), "shingle-links")
+        release(ones, seconds)
+
+        roots = components(twos)
+        rest = apart.join(roots.withColumnRenamed("node", "id"), "id", "left").select("family", "id", "n", F.coalesce("component", "id").alias("component"))
+        mixed = rest.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("family")
+        rest = written(rest.join(mixed, "family", "left_semi"), "shingle-rest")
+        by_id = rest.select("id", "component").distinct()
+        light = _blocked(rest.select("family", "id", "n"), grams.select("id", "n", "parts").join(by_id, "id"), tasks)
+        left = written(light.mapInArrow(_filter(percent), "family long, id long").distinct().join(rest.select("family", "id", "n"), ["family", "id"]), "shingle-candidates")
+        none = F.lit(None).cast("long")
+        families = members.select("id", "family", none.alias("second")).unionByName(again.select("id", none.alias("family"), F.col("pivot").alias("second")))
+        families = families.join(left.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set("family").alias("families"), F.collect_set("second").alias("seconds"))
+        heavy = _blocked(left, grams.join(by_id, "id").join(families, "id"), tasks)
+        threes = written(heavy.mapInArrow(_verify(percent), "a long, b long"), "shingle-links")
     if not threes.isEmpty():
         roots = components(threes.unionByName(twos))
-    release(members, grams, apart, again, twos, threes, rest, left, edges)
-    ids = roots.join(classes, roots["node"] == classes["f"]).select("f", "component", "id")
-    least = ids.groupBy("component").agg(F.min("id").alias("least"))
-    near = ids.join(least, "component").select("f", "least")
-    near = classes.join(near, "f", "left").select("f", F.coalesce("least", "id").alias("component"))
+    release(members, apart, again, twos, threes, rest, left, edges)
+
+    near = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("f", F.coalesce("component", "id").alias("component"))
     return sets.join(near, "f", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
