@@ -8,27 +8,26 @@ only drops pairs that can't reach the threshold.
    in a table of 2**TABLE_BITS counters. Logarithms of these counts and then the hash
    order all n-grams, rare first. Any order gives right results; the table only has to
    tell the frequent ones. Its size is fixed.
-2. For each class: the set's size and its first size - ceil(t * size) + 1 n-grams in that
-   order (two sets that link share one of them), with their positions.
+2. For each class: the set's size, its first size - ceil(t * size) + 1 n-grams in that
+   order (two sets that link share one of them), with their positions, and how many
+   n-grams fall into each of 64 parts of the hash space.
 3. Classes that share a prefix n-gram are members of the family of the n-gram's least
    class. Joined on prefix n-grams, each member meets that class, and the length filter
    and the positional filter are applied in the join: one row for each pair that passes.
-4. The sets of all members are made once. Each pair of a family's first class and a member
-   is then checked: prefix, positional and suffix filter, then the intersection. So a
-   family of m classes takes m checks, and its sets travel once for each family.
-5. A family whose members all link with its first class is done, for only what is
-   connected counts, not by how many links. Of the others the least class that doesn't
-   is compared with all members, too.
-6. What is left, members in different components that neither first nor second class has
-   connected, is compared in block pairs: length and suffix filter on counts by part of the
-   hash space, then on sets, once for each pair and not within a component. Only a
-   spanning forest of the links leaves a task, never the pairs.
+4. Each such pair of a family's first class and a member is compared by its counts by part,
+   then, if these leave it, by its sets: prefix, positional and suffix filter, then the
+   intersection. A family of m classes takes m comparisons, and each set that is still
+   in question travels once for each family.
+5. A family whose other members hang together after that is done, for only what is connected
+   counts, not by how many links.
+6. Members of a family that are in different components are compared in block pairs: by
+   length and counts by part, then what is left by sets, once for each pair and not
+   within a component. Only a spanning forest of the links leaves a task, never the pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -38,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, fresh_dir, hold, let_go, prepare, quoted, release, remove, spare, written
+from .common import LOWER, UPPER, hold, let_go, prepare, quoted, release, spare, written
 from .components import components, local_roots
 
 TABLE_BITS, CHUNK_BITS = 22, 16
@@ -46,9 +45,9 @@ PARTS = 64
 #: What a part's count can say; a set with a larger one says so in every part.
 PART_MOST = 0xFFFF
 #: Members, and n-grams on average, of a family's block. A task holds two blocks.
-BLOCK, BLOCK_GRAMS = 256, 1 << 21
+BLOCK, BLOCK_GRAMS = 128, 1 << 20
 #: Members that are compared with one class in one group.
-STAR = 1024
+STAR = 128
 MEMORY, WORD_MOST = 200_000, 60
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -169,7 +168,7 @@ def _add_chunks(batches):
 
 
 def _prefixes(shared, n: int, percent: int):
-    """Of (id, text): id, the set's name and size and its prefix."""
+    """Of (id, text): id, the set's digest and size, its prefix and its counts by part."""
 
     def run(batches):
         hold(_words)
@@ -177,8 +176,8 @@ def _prefixes(shared, n: int, percent: int):
         for batch in batches:
             sets = [shingle_set(t.as_py(), n) for t in batch.column(1)]
             prefixes = [ordered(s, codes)[: prefix_size(len(s), percent)].view(np.int64) for s in sets]
-            columns = [batch.column(0), pa.array(map(digest_of, sets), pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "f", "n", "prefix"])
+            columns = [batch.column(0), pa.array(map(digest_of, sets), pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(map(parts_of, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "f", "n", "prefix", "parts"])
         let_go()
 
     return run
@@ -253,26 +252,43 @@ def links(a: _Set, b: _Set, percent: int) -> bool:
     return 100 * o >= percent * (a.n + b.n - o)
 
 
-def _stars(percent: int):
-    """Links of the pivot of each (pivot, block) with the others, from partitions sorted by
-    these and with the pivot's own sets (one, if ids are unique) first. They and one batch are held."""
+def _stars(columns, made, keep):
+    """Pairs (pivot, id) that `keep` two things made of their rows' columns, from partitions
+    sorted by pivot and block and with the pivot's own rows (one, if ids are unique) first.
+    They and one batch are held."""
 
     def found(batches):
         key, own = None, []
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("pivot", "block", "id", "parts", "grams")]
-            for p, block, i, parts, grams in zip(*(c.to_pylist() for c in columns[:3]), *columns[3:]):
+            names = ("pivot", "block", "id", *columns)
+            values = (batch.column(batch.schema.get_field_index(c)) for c in names)
+            for p, block, i, *rest in zip(*(v.to_pylist() if c not in ("parts", "grams") else v for c, v in zip(names, values))):
                 if (p, block) != key:
                     key, own = (p, block), []
-                it = _Set(parts.as_py(), grams.as_py(), percent)
+                it = made(*(r.as_py() if isinstance(r, pa.Scalar) else r for r in rest))
                 if i == p:
                     own.append(it)
-                elif any(links(x, it, percent) for x in own):
+                elif any(keep(x, it) for x in own):
                     yield p, i
 
     return lambda batches: _batches(found(batches), ["a", "b"])
 
 
+def _by_parts(percent: int):
+    """_stars by sizes and counts by part."""
+
+    def keep(x, y):
+        need = -(-percent * (x[0] + y[0]) // (100 + percent))
+        large = x[1][0] == PART_MOST and y[1][0] == PART_MOST
+        return 100 * min(x[0], y[0]) >= percent * max(x[0], y[0]) and (large or int(np.minimum(x[1], y[1]).sum()) >= need)
+
+    return _stars(("n", "parts"), lambda n, parts: (n, np.frombuffer(parts, dtype="<u2").astype(np.int64)), keep)
+
+
+def _by_sets(percent: int):
+    return _stars(("parts", "grams"), lambda parts, grams: _Set(parts, grams, percent), lambda x, y: links(x, y, percent))
+
+
 def _pairs(sizes, parts, component, sides, percent):
     """Index arrays of the pairs of a block pair that may link by length and by what their
     sets have in each part, and aren't connected yet. sides tell two blocks apart where
@@ -366,22 +382,21 @@ def _overlaps(sets: dict[int, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
 
 def _verify(percent: int):
     def found(batches):
-        for (family, x, _), rows in _runs(batches, ["id", "block", "n", "parts", "component", "families", "seconds", "grams"]):
+        for (family, x, _), rows in _runs(batches, ["id", "block", "n", "parts", "component", "families", "grams"]):
             if len(rows) < 2:
                 continue
             sizes, parts, component, sides = _block(rows, x, (1, 2, 3, 4))
             i, j = _pairs(sizes, parts, component, sides, percent)
             # A pair that meets in several families is left to the least of them; one of
-            # which one is the other's first or second class has been compared.
+            # which one is the first class of the other's family has been compared.
             names, families = [r[0] for r in rows], [set(r[5]) for r in rows]
-            done = [{*r[5], *(r[6] or ())} for r in rows]
             alone = [
                 k
                 for k, (a, b) in enumerate(zip(i.tolist(), j.tolist()))
-                if names[a] not in done[b] and names[b] not in done[a] and min(families[a] & families[b]) == family
+                if names[a] not in families[b] and names[b] not in families[a] and min(families[a] & families[b]) == family
             ]
             i, j = i[alone], j[alone]
-            sets = {k: _Set(rows[k][3], rows[k][7], percent) for k in {*i.tolist(), *j.tolist()}}
+            sets = {k: _Set(rows[k][3], rows[k][6], percent) for k in {*i.tolist(), *j.tolist()}}
             keep = np.array([may_link(sets[a], sets[b], percent) for a, b in zip(i.tolist(), j.tolist())], dtype=bool)
             i, j = i[keep], j[keep]
             if not len(i):
@@ -408,30 +423,16 @@ def _blocked(members: DataFrame, extra: DataFrame, n_parts: int) -> DataFrame:
     return rows.join(extra, "id").repartition(n_parts, "family", "x", "y").sortWithinPartitions("family", "x", "y")
 
 
-def _starred(pairs: DataFrame, sets: DataFrame, n_parts: int, percent: int) -> DataFrame:
-    """Links (a, b) among pairs (pivot, id): each id meets its pivot once, the pivot's set
-    goes to each group of at most STAR (on average) of its pairs."""
+def _starred(pairs: DataFrame, extra: DataFrame, n_parts: int) -> DataFrame:
+    """Pairs (a, b) as rows (pivot, block, id) with the columns of extra (by id), for
+    _stars: each b meets its a once, and a goes to each group of at most STAR (on average)
+    of its pairs."""
+    pairs = pairs.toDF("pivot", "id")
     sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / STAR).cast("int").alias("blocks"))
     others = pairs.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id")
     pivots = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("id"))
-    rows = others.unionByName(pivots).join(sets.select("id", "parts", "grams").hint("merge"), "id")
-    rows = rows.repartition(n_parts, "pivot", "block").sortWithinPartitions("pivot", "block", F.col("id") != F.col("pivot"))
-    return rows.mapInArrow(_stars(percent), "a long, b long")
-
-
-class _Bucketed:
-    """A table in the shared folder that joins by id without moving; gone with the block."""
-
-    def __init__(self, df: DataFrame, buckets: int):
-        self.spark, self.name, self.path = df.sparkSession, f"grams_{uuid.uuid4().hex}", fresh_dir(df.sparkSession, "shingle-members")
-        df.write.bucketBy(buckets, "id").sortBy("id").option("path", self.path).saveAsTable(self.name)
-
-    def __enter__(self) -> DataFrame:
-        return self.spark.table(self.name)
-
-    def __exit__(self, *_) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        remove(self.spark, self.path)
+    rows = others.unionByName(pivots).join(extra.hint("merge"), "id")
+    return rows.repartition(n_parts, "pivot", "block").sortWithinPartitions("pivot", "block", F.col("id") != F.col("pivot"))
 
 
 def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -466,13 +467,12 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     edges = several.join(several.groupBy("id").agg(F.min("a").alias("b")), "id").select("a", "b").where("a != b").distinct()
     edges = written(edges, "shingle-ids")
 
-    prefixes = source.where("id is not null").mapInArrow(_prefixes(shared, n, percent), "id long, f long, n int, prefix array<long>")
+    prefixes = source.where("id is not null").mapInArrow(_prefixes(shared, n, percent), "id long, f long, n int, prefix array<long>, parts binary")
     prefixes = prefixes.join(classes.hint("merge"), ["f", "id"]).dropDuplicates(["f", "id"])
-    prefixes = written(prefixes.select("id", "n", "prefix"), "shingle-prefixes")
+    prefixes = written(prefixes.select("id", "n", "prefix", "parts"), "shingle-prefixes")
     postings = prefixes.select("id", "n", F.posexplode("prefix").alias("p", "h"))
     least = postings.groupBy("h").agg(F.min("id").alias("family"), F.max("id").alias("z")).where("family != z").drop("z")
     met = written(postings.join(least, "h"), "shingle-met")
-    release(prefixes)
     first_ = met.where("id = family").select("h", F.col("n").alias("n1"), F.col("p").alias("p1"))
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n1")) / F.lit(100 + percent))
     # The n-gram needn't be the first that both have, so what comes before it counts, too.
@@ -482,36 +482,34 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     members = written(members, "shingle-families")
     release(met)
 
-    names = members.select("id").union(members.select("family")).distinct().join(classes, "id")
-    texts = source.join(names.hint("merge"), "id").select("id", "f", "text")
-    with _Bucketed(texts.mapInArrow(_sets(shared, n), "id long, n int, parts binary, grams binary"), tasks) as grams:
-        ones = written(_starred(members.where("fits").select(F.col("family").alias("pivot"), "id"), grams, tasks, percent), "shingle-links")
-        near = ones.select(F.col("a").alias("family"), F.col("b").alias("id"), F.lit(True).alias("near")).distinct()
-        near = members.select("family", "id", "n").join(near, ["family", "id"], "left").withColumn("near", F.col("near").isNotNull())
-        seconds = written(near.where("not near").groupBy("family").agg(F.min("id").alias("second")), "shingle-seconds")
-        apart = written(near.join(seconds, "family").where("id != second"), "shingle-apart")
-        again = apart.select(F.col("second").alias("pivot"), "id").distinct()
-        for a, b in (("family", "id"), ("id", "family")):  # compared before
-            again = again.join(members.select(F.col(a).alias("pivot"), F.col(b).alias("id")), ["pivot", "id"], "left_anti")
-        again = written(again, "shingle-again")
-        twos = written(_starred(again, grams, tasks, percent).unionByName(ones).unionByName(edges), "shingle-links")
-        release(ones, seconds)
-
-        roots = components(twos)
-        rest = apart.join(roots.withColumnRenamed("node", "id"), "id", "left").select("family", "id", "n", F.coalesce("component", "id").alias("component"))
-        mixed = rest.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("family")
-        rest = written(rest.join(mixed, "family", "left_semi"), "shingle-rest")
-        by_id = rest.select("id", "component").distinct()
-        light = _blocked(rest.select("family", "id", "n"), grams.select("id", "n", "parts").join(by_id, "id"), tasks)
-        left = written(light.mapInArrow(_filter(percent), "family long, id long").distinct().join(rest.select("family", "id", "n"), ["family", "id"]), "shingle-candidates")
-        none = F.lit(None).cast("long")
-        families = members.select("id", "family", none.alias("second")).unionByName(again.select("id", none.alias("family"), F.col("pivot").alias("second")))
-        families = families.join(left.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set("family").alias("families"), F.collect_set("second").alias("seconds"))
-        heavy = _blocked(left, grams.join(by_id, "id").join(families, "id"), tasks)
-        threes = written(heavy.mapInArrow(_verify(percent), "a long, b long"), "shingle-links")
-    if not threes.isEmpty():
-        roots = components(threes.unionByName(twos))
-    release(members, apart, again, twos, threes, rest, left, edges)
+    def sets_of(ids: DataFrame) -> DataFrame:
+        names = ids.distinct().join(classes, "id")
+        texts = source.join(names.hint("merge"), "id").select("id", "f", "text")
+        return written(texts.mapInArrow(_sets(shared, n), "id long, n int, parts binary, grams binary"), "shingle-members")
+
+    info = prefixes.select("id", "n", "parts")
+    pairs = _starred(members.where("fits").select("family", "id"), info, tasks)
+    pairs = written(pairs.mapInArrow(_by_parts(percent), "a long, b long"), "shingle-pairs")
+    grams = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+    ones = _starred(pairs, grams.select("id", "parts", "grams"), tasks)
+    ones = written(ones.mapInArrow(_by_sets(percent), "a long, b long").unionByName(edges), "shingle-links")
+    release(pairs, grams)
+
+    roots = components(ones)
+    rest = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("family", "id", "n", F.coalesce("component", "id").alias("component"))
+    mixed = rest.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("family")
+    rest = written(rest.join(mixed, "family", "left_semi"), "shingle-rest")
+    by_id = rest.select("id", "component").distinct()
+    light = _blocked(rest.select("family", "id", "n"), info.join(by_id, "id").hint("merge"), tasks)
+    left = light.mapInArrow(_filter(percent), "family long, id long").distinct()
+    left = written(left.join(rest.select("family", "id", "n"), ["family", "id"]), "shingle-candidates")
+    grams = sets_of(left.select("id"))
+    families = members.join(left.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set("family").alias("families"))
+    heavy = _blocked(left, grams.join(by_id, "id").join(families, "id").hint("merge"), tasks)
+    twos = written(heavy.mapInArrow(_verify(percent), "a long, b long"), "shingle-links")
+    if not twos.isEmpty():
+        roots = components(twos.unionByName(ones))
+    release(prefixes, members, ones, twos, rest, left, grams, edges)
 
     near = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("f", F.coalesce("component", "id").alias("component"))
     return sets.join(near, "f", "left").select(
