@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from .knn import VectorStore, as_vector
+from .knn import VectorStore, as_vector, nearest_in_groups
 
 #: Rows that centroids are trained on at most. Everything is then assigned and encoded.
 TRAIN_ROWS = 1 << 16
+#: Rows of a block of a cluster in a search of many queries, on average.
+CLUSTER_BLOCK = 8192
 #: Below so many vectors, search is exact.
 EXACT_BELOW = 1000
 
@@ -101,12 +103,25 @@ class IvfIndex:
         near = self.rows.where(F.col("cluster").isin(self.probes(query, n_probe))).select("node_id", "vector")
         return VectorStore(near, self.store.dimensions, self.store.metric, self.store.normalized).search(query, k, threshold, keep)
 
+    def search_many(self, queries: DataFrame, k: int = 10, n_probe: int = 10) -> DataFrame:
+        """queries: query_id and vector, any number. query_id, node_id, distance and rank of
+        the k nearest to each in its n_probe nearest clusters. Queries go to the blocks of
+        the clusters that they probe, so no plan grows with their number; blocks of a
+        cluster have CLUSTER_BLOCK rows on average."""
+        centroids, metric, store = self.centroids, self.store.metric, self.store
+        sizes = self.rows.groupBy("cluster").agg(F.ceil(F.count("*") / CLUSTER_BLOCK).cast("int").alias("blocks"))
+        q = V.normalize(F.col("vector")) if store.normalized else V.doubles(F.col("vector"))
+        asked = queries.select(F.col("query_id").cast("long").alias("node_id"), q.alias("vector"))
+        near = lambda x, _: np.argsort(_all_distances(x, centroids, metric), axis=1, kind="stable")[:, :n_probe]
+        asked = _map_vectors(asked, near, "probes", "array<int>", pa.list_(pa.int32())).select(F.col("node_id").alias("id"), "vector", F.explode("probes").alias("cluster"))
+        asked = asked.join(sizes, "cluster").select("id", "vector", F.lit(True).alias("asks"), "cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        block = F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int")
+        rows = self.rows.join(sizes, "cluster").select(F.col("node_id").alias("id"), "vector", F.lit(False).alias("asks"), "cluster", block.alias("block"))
+        return nearest_in_groups(rows.unionByName(asked), ["cluster", "block"], metric, k)
+
     def search_multi(self, queries: list, k: int, n_probe: int = 10, how: str = "min", threshold: float | None = None, keep=None) -> DataFrame:
-        hits = None
-        for i, q in enumerate(queries):
-            h = self.search(q, 2 * k, n_probe).select("node_id", "distance")
-            hits = h if hits is None else hits.unionByName(h)
-        return _merged(hits, how, k, self.store.metric, threshold, keep)
+        asked = self.spark.createDataFrame([(i, [float(x) for x in q]) for i, q in enumerate(queries)], "query_id long, vector array<double>")
+        return _merged(self.search_many(asked, 2 * k, n_probe), how, k, self.store.metric, threshold, keep)
 
     def insert(self, rows: DataFrame) -> IvfIndex:
         store = self.store.insert(rows)
@@ -319,8 +334,24 @@ class VectorIndex:
             return self.store.search(query, k, threshold, keep)
         return self.index.search(query, k, n_probe, threshold, keep)
 
-    def set(self, rows: DataFrame) -> VectorIndex:
-        return VectorIndex(self.store.insert(rows), self.kind, None)
+    def set(self, rows: DataFrame, order: str | None = None) -> VectorIndex:
+        return VectorIndex(self.store.insert(rows, order), self.kind, None)
 
     def delete(self, ids: DataFrame) -> VectorIndex:
         return VectorIndex(self.store.delete(ids), self.kind, None)
+
+    def get(self, node_id: int) -> DataFrame:
+        return self.store.get(node_id)
+
+    def has(self, ids: DataFrame) -> DataFrame:
+        return self.store.has(ids)
+
+    def __len__(self) -> int:
+        return self.store.rows.count()
+
+    def clear(self) -> VectorIndex:
+        return VectorIndex(self.store.clear(), self.kind, None)
+
+    def stats(self) -> DataFrame:
+        """The store's row and whether an index is built."""
+        return self.store.stats().withColumn("indexed", F.lit(self.index is not None))

@@ -147,6 +147,10 @@ class Graph:
         end = "src" if direction == "out" else "dst"
         return self.nodes.join(edges.select(F.col(end).alias("id")), "id", "left_semi")
 
+    def labels_of(self, node_id: int) -> DataFrame:
+        """label, one row for each label of the node."""
+        return self.nodes.where(F.col("id") == node_id).select(F.explode("labels").alias("label"))
+
     def with_label(self, label: str) -> DataFrame:
         return self.nodes.where(F.array_contains("labels", label))
 
@@ -182,7 +186,7 @@ class Graph:
         return self.nodes.groupBy(self.type_column().alias("type")).agg(F.count("*").alias("n"))
 
     def count_edges_by_type(self) -> DataFrame:
-        return self.edges.groupBy("etype").agg(F.count("*").alias("n"))
+        return self.live_edges().groupBy("etype").agg(F.count("*").alias("n"))
 
     def degrees(self, direction: str = "out", etype: str | None = None) -> DataFrame:
         """id and degree of every node, 0 included; `both` adds both ends."""

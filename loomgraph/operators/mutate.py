@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from .graph import EDGE_KEY, Graph
 
-#: Marks a property to be removed where null means "leave it".
-UNSET = "__unset__"
-
 
 def _aligned(df: DataFrame, like: DataFrame) -> DataFrame:
     """df with the columns of like, missing ones null, others dropped."""
@@ -56,8 +53,8 @@ def create_typed(graph: Graph, node_type: str, new: DataFrame, suffix: str = "su
 
 
 def _merge(old: DataFrame, changes: DataFrame, by: list[str], props: list[str]) -> DataFrame:
-    """old with the changed properties: null leaves, UNSET (or a name in the array column
-    unset) removes, a value sets; rows without partner are added."""
+    """old with the changed properties: null leaves, a name in the array column unset
+    removes, a value sets, whatever it says; rows without partner are added."""
     kinds = dict(old.dtypes)
     given = [p for p in props if p in changes.columns]
     unset = F.col("c.unset") if "unset" in changes.columns else F.lit(None).cast("array<string>")
@@ -69,8 +66,6 @@ def _merge(old: DataFrame, changes: DataFrame, by: list[str], props: list[str])
         elif c in given:
             gone = F.coalesce(F.array_contains(unset, c), F.lit(False))
             new = F.col(f"c.{c}")
-            if dict(changes.dtypes)[c] == "string":
-                gone = gone | F.coalesce(new == UNSET, F.lit(False))
             value = F.when(gone, F.lit(None)).otherwise(F.coalesce(new.try_cast(kinds[c]) if dict(changes.dtypes)[c] == "string" else new.cast(kinds[c]), F.col(f"o.{c}")))
             out.append(value.cast(kinds[c]).alias(c))
         elif c in changes.columns and c not in props:
@@ -182,8 +177,8 @@ EDGE_OPS = ("link", "unlink", "set_edge_prop", "del_edge_prop")
 
 
 def batch(graph: Graph, ops: DataFrame) -> Graph:
-    """ops: seq, op, node_id, key, src, etype, dst, prop, value (text), applied in the
-    order of seq as one change: any op of an unknown kind or (with a schema) edge type
+    """ops: seq (a number, or a struct that sorts alike), op, node_id, key, src, etype, dst,
+    prop, value (text), applied in the order of seq as one change: any op of an unknown kind or (with a schema) edge type
     fails the whole batch before anything is made.
 
     The last word wins: a node is there if its last create is later than its last

@@ -20,6 +20,7 @@ class Path:
     edges: list[tuple[int, str, int]]
     total_weight: float
     found: bool
+    weights: tuple[float, ...] = ()
 
 
 NOT_FOUND = Path([], [], float("inf"), False)
@@ -75,8 +76,9 @@ class PathFinder:
         back = edges.select(F.col("dst").alias("id"), F.col("src").alias("neighbor"), "w", *EDGE_KEY)
         return {"out": out, "in": back, "both": out.unionByName(back)}[self.direction]
 
-    def costs(self, stop_at_targets: bool = False, steps: DataFrame | None = None) -> DataFrame:
-        """node_id, cost, depth, parent, edge of every node reached.
+    def costs(self, stop_at_targets: bool = False, steps: DataFrame | None = None, trails: bool = False) -> DataFrame:
+        """node_id, cost, depth, parent, edge of every node reached; with trails also
+        trail, the edges (src, etype, dst, w) from the source, so a path needs no looking up.
 
         Each round relaxes the nodes improved in the last one; a node keeps the least
         (cost, depth, parent, etype), an older one at equal cost. A round is one join of
@@ -85,7 +87,8 @@ class PathFinder:
         steps = self._dealt() if steps is None else steps
         spark = self.graph.spark
         edge = "struct<src:bigint,etype:string,dst:bigint>"
-        best = spark.createDataFrame([(self.source, 0.0, 0, None, None, 0)], f"node_id long, cost double, depth int, parent long, edge {edge}, round int")
+        trail = "array<struct<src:bigint,etype:string,dst:bigint,w:double>>"
+        best = spark.createDataFrame([(self.source, 0.0, 0, None, None, [], 0)], f"node_id long, cost double, depth int, parent long, edge {edge}, trail {trail}, round int")
         if self.heuristic is not None:
             h = self.graph.nodes.select(F.col("id").alias("node_id"), F.coalesce(self.heuristic, F.lit(0.0)).alias("h"))
         round_, limit = 0, None
@@ -98,42 +101,39 @@ class PathFinder:
                 else:
                     frontier = frontier.where(F.col("cost") < limit)
             round_ += 1
-            near = frontier.withColumnRenamed("node_id", "id").select("id", "cost", "depth").join(steps, "id")
+            near = frontier.withColumnRenamed("node_id", "id").select("id", "cost", "depth", "trail").join(steps, "id")
             near = near.select(
-                F.col("neighbor").alias("node_id"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("depth") + 1).alias("depth"), F.col("id").alias("parent"), F.struct(*EDGE_KEY).alias("edge"), F.lit(round_).alias("round")
+                F.col("neighbor").alias("node_id"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("depth") + 1).alias("depth"), F.col("id").alias("parent"), F.struct(*EDGE_KEY).alias("edge"),
+                (F.concat("trail", F.array(F.struct(*EDGE_KEY, "w"))) if trails else F.col("trail")).alias("trail"), F.lit(round_).alias("round")
             )
             both = best.withColumn("fresh", F.lit(0)).unionByName(near.withColumn("fresh", F.lit(1)))
-            least = F.min(F.struct("cost", "fresh", "depth", "parent", F.col("edge.etype").alias("t"), "edge", "round"))
-            best = cut(both.groupBy("node_id").agg(least.alias("b")).select("node_id", "b.cost", "b.depth", "b.parent", "b.edge", "b.round"))
+            least = F.min(F.struct("cost", "fresh", "depth", "parent", F.col("edge.etype").alias("t"), "edge", "trail", "round"))
+            best = cut(both.groupBy("node_id").agg(least.alias("b")).select("node_id", "b.cost", "b.depth", "b.parent", "b.edge", "b.trail", "b.round"))
             hit = F.min(F.when(F.col("node_id").isin(list(self.targets)), F.col("cost"))) if stop_at_targets and self.targets else F.lit(None).cast("double")
             row = best.agg(F.count_if(F.col("round") == round_).alias("n"), hit.alias("limit")).first()
             limit = row["limit"]
             if not row["n"]:
-                return best.drop("round")
+                return best.drop("round") if trails else best.drop("round", "trail")
 
     def _dealt(self) -> DataFrame:
         """The steps computed once and dealt by node: a round's join moves the frontier only."""
         n = int(self.graph.spark.conf.get("spark.sql.shuffle.partitions"))
         return cut(self._steps().repartition(n, "id"))
 
-    def _walk(self, best: DataFrame, target: int, cost: float) -> Path:
-        """Parents back from the target: one small lookup for each edge of the path."""
-        nodes, edges, at = [target], [], target
-        while at != self.source:
-            row = best.where(F.col("node_id") == at).first()
-            edges.append(tuple(row["edge"]))
-            at = row["parent"]
-            nodes.append(at)
-        return Path(nodes[::-1], edges[::-1], cost, True)
+    def _walk(self, trail, cost: float) -> Path:
+        nodes, edges = [self.source], [(e["src"], e["etype"], e["dst"]) for e in trail]
+        for src, _, dst in edges:
+            nodes.append(dst if self.direction == "out" or self.direction == "both" and src == nodes[-1] else src)
+        return Path(nodes, edges, cost, True, tuple(e["w"] for e in trail))
 
     def dijkstra(self, steps: DataFrame | None = None) -> Path:
         if not self.targets:
             return NOT_FOUND
         if self.source in self.targets:
             return Path([self.source], [], 0.0, True)
-        best = self.costs(stop_at_targets=True, steps=steps)
+        best = self.costs(stop_at_targets=True, steps=steps, trails=True)
         hit = best.where(F.col("node_id").isin(list(self.targets))).orderBy("cost", "depth", "node_id").first()
-        return self._walk(best, hit["node_id"], hit["cost"]) if hit else NOT_FOUND
+        return self._walk(hit["trail"], hit["cost"]) if hit else NOT_FOUND
 
     find = dijkstra
 
@@ -163,14 +163,6 @@ class PathFinder:
         if not best.found:
             return []
         done, waiting = [best], []
-        weights: dict[tuple, float] = {}
-
-        def weigh(edges):
-            missing = [e for e in edges if e not in weights]
-            for e in missing:
-                r = steps.where((F.col("src") == e[0]) & (F.col("etype") == e[1]) & (F.col("dst") == e[2])).agg(F.min("w")).first()
-                weights[e] = r[0]
-            return sum(weights[e] for e in edges)
 
         while len(done) < k:
             last = done[-1]
@@ -184,8 +176,8 @@ class PathFinder:
                     allowed = allowed.where(~((F.col("id") == spur) & (F.col("src") == e[0]) & (F.col("etype") == e[1]) & (F.col("dst") == e[2])))
                 rest = replace(one, source=spur, max_depth=self.max_depth - i).dijkstra(allowed)
                 if rest.found:
-                    edges = [*last.edges[:i], *rest.edges]
-                    path = Path([*root[:-1], *rest.path], edges, weigh(last.edges[:i]) + rest.total_weight, True)
+                    edges, weights = [*last.edges[:i], *rest.edges], (*last.weights[:i], *rest.weights)
+                    path = Path([*root[:-1], *rest.path], edges, sum(last.weights[:i]) + rest.total_weight, True, weights)
                     if all(path.path != p.path for p in (*done, *waiting)):
                         waiting.append(path)
             if not waiting:

@@ -374,10 +374,11 @@ def reachable(spark, d):
     return T.reachable_from(D.route_graph(spark, d), D.PART + 1, 6, "ROUTE")
 
 
-@query("""WITH RECURSIVE r AS (SELECT 1000000000001 AS x UNION SELECT e.src FROM r JOIN {e} e ON e.dst = r.x)
-SELECT r.x AS node_id FROM r WHERE r.x <> 1000000000001""")
+@query("""WITH RECURSIVE r AS (SELECT 1000000000001 AS x, 0 AS depth UNION SELECT e.src, r.depth + 1 FROM r JOIN {e} e ON e.dst = r.x), m AS (SELECT x, min(depth) AS depth FROM r GROUP BY x)
+SELECT a.x AS node_id, CAST(a.depth AS INTEGER) AS depth, list_aggregate(list_sort(list(DISTINCT e.etype)), 'string_agg', ',') AS etypes
+FROM m a JOIN {e} e ON e.src = a.x JOIN m b ON b.x = e.dst AND b.depth = a.depth - 1 GROUP BY a.x, a.depth""")
 def impact_of_region(spark, d):
-    return impact(D.graph(spark, d), D.REGION + 1).select("node_id")
+    return impact(D.graph(spark, d), D.REGION + 1).select("node_id", "depth", F.concat_ws(",", "etypes").alias("etypes"))
 
 
 # -- counts -------------------------------------------------------------------------------------
@@ -428,7 +429,7 @@ def graph_stats(spark, d):
     return D.graph(spark, d).stats()
 
 
-@query("SELECT 'loomgraph_nodes ' || (SELECT count(*) FROM {n}) AS line UNION ALL SELECT 'loomgraph_edges ' || (SELECT count(*) FROM {e}) UNION ALL SELECT 'loomgraph_edge_types 7' UNION ALL SELECT 'loomgraph_max_node_id ' || (SELECT max(id) FROM {n}) UNION ALL SELECT 'loomgraph_dangling_edges 0'")
+@query("SELECT 'loomgraph_nodes ' || (SELECT count(*) FROM {n}) AS line UNION ALL SELECT 'loomgraph_edges ' || (SELECT count(*) FROM {e}) UNION ALL SELECT 'loomgraph_edge_types ' || (SELECT count(DISTINCT etype) FROM {e}) UNION ALL SELECT 'loomgraph_max_node_id ' || (SELECT max(id) FROM {n}) UNION ALL SELECT 'loomgraph_dangling_edges ' || (SELECT count(*) FROM {e} WHERE src NOT IN (SELECT id FROM {n}) OR dst NOT IN (SELECT id FROM {n}))")
 def metrics_text(spark, d):
     return D.graph(spark, d).metrics_text()
 
@@ -486,7 +487,8 @@ def a_star(spark, d):
     return finder.frame(finder.a_star(F.lit(0.5))).select("total_weight", "found")
 
 
-@query("SELECT true AS there, false AS back")
+@query("""WITH RECURSIVE r AS (SELECT 3000000000001 AS x UNION SELECT e.dst FROM r JOIN {e} e ON e.src = r.x), b AS (SELECT 1000000000001 AS x UNION SELECT e.dst FROM b JOIN {e} e ON e.src = b.x)
+SELECT (SELECT count(*) > 0 FROM r WHERE x BETWEEN 1000000000000 AND 1000000000004) AS there, (SELECT count(*) > 0 FROM b WHERE x = 3000000000001) AS back""")
 def has_path(spark, d):
     g = D.graph(spark, d)
     there = PathFinder(g, D.CUSTOMER + 1, (D.REGION + 1, D.REGION, D.REGION + 2, D.REGION + 3, D.REGION + 4)).has_path()
@@ -525,19 +527,8 @@ def vec_norm(spark, d):
     return _vectors(spark, d).select("node_id", F.round(V.norm(v), 6).alias("norm"), V.is_normalized(v).alias("unit"))
 
 
-@query("SELECT a.node_id AS a, b.node_id AS b, round(list_dot_product(a.raw, b.raw), 6) AS dot, round(list_distance(a.raw, b.raw), 6) AS l2, round(power(list_distance(a.raw, b.raw), 2), 6) AS l2_squared, round(1 - list_dot_product(a.raw, b.raw), 6) AS cosine FROM {v} a JOIN {v} b ON b.node_id = (a.node_id + 1) % 500")
-def vec_distances(spark, d):
-    v = _vectors(spark, d)
-    w = v.select(F.col("node_id").alias("b"), F.col("vector").alias("w"))
-    rows = v.join(w, F.col("b") == (F.col("node_id") + 1) % 500)
-    a, b = F.col("vector"), F.col("w")
-    return rows.select(
-        F.col("node_id").alias("a"), "b", F.round(V.dot(a, b), 6).alias("dot"), F.round(V.euclidean(a, b), 6).alias("l2"), F.round(V.squared_euclidean(a, b), 6).alias("l2_squared"), F.round(V.cosine_distance(a, b), 6).alias("cosine")
-    )
-
-
 @query("SELECT a.node_id AS a, b.node_id AS b, round(list_dot_product(a.raw, b.raw), 6) AS dot, round(list_distance(a.raw, b.raw), 6) AS l2, round(power(list_distance(a.raw, b.raw), 2), 6) AS l2_squared, round(1 - list_dot_product(a.raw, b.raw), 6) AS cosine FROM {v} a JOIN {v} b ON b.node_id = (a.node_id + 1) % (SELECT count(*) FROM embeddings)")
-def vec_distances_all(spark, d):
+def vec_distances(spark, d):
     """Every vector with the next one, the last with the first."""
     v = _vectors(spark, d)
     w = v.select(F.col("node_id").alias("b"), F.col("vector").alias("w"))
@@ -590,6 +581,43 @@ def index_search_below_threshold(spark, d):
     return _rounded(ann.VectorIndex(store_, "ivf").build().search(_asked(spark, d, [7])[0], 10, n_probe=1 << 20))
 
 
+MANY = """WITH p AS (SELECT q.node_id AS query_id, c.node_id, {dist} AS distance FROM {{u}} q JOIN {{u}} c ON q.node_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, node_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, node_id, round(distance, 6) + 0.0 AS distance FROM r WHERE rank <= 10"""
+COSINE = MANY.format(dist="1 - list_dot_product(q.vec, c.vec)")
+
+
+def _queries(spark, d):
+    """Every vector whose id is divisible by 50."""
+    return _vectors(spark, d).where("node_id % 50 = 0").withColumnRenamed("node_id", "query_id")
+
+
+def _many(hits):
+    return hits.select("query_id", "rank", "node_id", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
+@query(COSINE)
+def knn_many(spark, d):
+    return _many(_store(spark, d).search_many(_queries(spark, d), 10))
+
+
+@query(MANY.format(dist="list_distance(q.vec, c.vec)"))
+def knn_many_l2(spark, d):
+    return _many(_store(spark, d, V.EUCLIDEAN).search_many(_queries(spark, d), 10))
+
+
+@query(COSINE)
+def ivf_search(spark, d):
+    """With all lists probed, inverted lists are exact."""
+    return _many(ann.IvfIndex.build(_store(spark, d)).search_many(_queries(spark, d), 10, n_probe=1 << 20))
+
+
+@query()
+def ivf_search_some(spark, d):
+    """The default number of lists; recall is tested."""
+    return _many(ann.IvfIndex.build(_store(spark, d)).search_many(_queries(spark, d), 10))
+
+
 MULTI = """WITH p AS (SELECT q.node_id AS q, c.node_id, 1 - list_dot_product(q.vec, c.vec) AS distance FROM {{u}} q JOIN {{u}} c ON q.node_id IN (3, 8, 11)),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, node_id) AS k FROM p), h AS (SELECT node_id, {how}(distance) AS distance FROM r WHERE k <= 20 GROUP BY node_id)
 SELECT node_id, round(distance, 6) + 0.0 AS distance, round(1 - distance, 6) + 0.0 AS similarity FROM h ORDER BY h.distance, node_id LIMIT 10"""
@@ -608,11 +636,6 @@ for _how in ("min", "max", "avg", "sum"):
     _multi(_how)
 
 
-@query()
-def ivf_search(spark, d):
-    return _rounded(ann.IvfIndex.build(_store(spark, d)).search(_asked(spark, d, [7])[0], 10))
-
-
 @query()
 def ivf_list_stats(spark, d):
     return ann.IvfIndex.build(_store(spark, d)).stats()
@@ -620,7 +643,7 @@ def ivf_list_stats(spark, d):
 
 @query()
 def ivf_pq_search(spark, d):
-    return _rounded(ann.IvfPqIndex.build(_store(spark, d)).search(_asked(spark, d, [7])[0], 10))
+    return _rounded(ann.IvfPqIndex.build(_store(spark, d)).search(_asked(spark, d, [7])[0], 10, rerank=True))
 
 
 @query()
@@ -644,27 +667,14 @@ def compaction_candidates(spark, d):
 # -- changes ----------------------------------------------------------------------------------------------
 
 
-@query("""SELECT id, key, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 2 = 0 THEN 1.5 ELSE acctbal END AS acctbal FROM {n} WHERE type = 'Customer' AND id < 3000000000100
-UNION ALL SELECT 6000000000000 + (SELECT max(o_orderkey) FROM orders) + 1 + row_number() OVER (ORDER BY k), k, 1.5 FROM (SELECT 'customer:x' || unnest(range(5)) AS k)""")
-def upsert_merge(spark, d):
-    g = D.graph(spark, d)
-    known = g.all("Customer").where(F.col("id") < D.CUSTOMER + 100).where("id % 2 = 0").select("key", F.lit(1.5).alias("acctbal"), F.when(F.col("id") % 4 == 0, F.array(F.lit("acctbal"))).alias("unset"))
-    new = spark.range(5).select(F.concat(F.lit("customer:x"), F.col("id").cast("string")).alias("key"), F.lit(1.5).alias("acctbal"), F.lit(None).cast("array<string>").alias("unset"))
-    out = mutate.upsert_nodes(g, known.unionByName(new)).nodes.where("(key like 'customer:%') and (id < 3000000000100 or key like 'customer:x%')")
-    top = D.ORDER + D.table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0]
-    return out.select(F.when(F.col("key").contains("x"), F.col("id") - top + top + 1).otherwise(F.col("id")).alias("id"), "key", "acctbal")
-
-
 @query("""SELECT id, key, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 2 = 0 THEN 1.5 ELSE acctbal END AS acctbal FROM {n} WHERE type = 'Customer'
-UNION ALL SELECT 6000000000000 + (SELECT max(o_orderkey) FROM orders) + 1 + row_number() OVER (ORDER BY k), k, 1.5 FROM (SELECT 'customer:x' || unnest(range(5)) AS k)""")
-def upsert_merge_all(spark, d):
-    """A batch of every even customer and five new ones."""
+UNION ALL SELECT (SELECT max(id) FROM {n}) + row_number() OVER (ORDER BY k), k, 1.5 FROM (SELECT 'customer:x' || unnest(range(5)) AS k)""")
+def upsert_merge(spark, d):
+    """A batch of every even customer and five new ones, which get the next ids."""
     g = D.graph(spark, d)
     known = g.all("Customer").where("id % 2 = 0").select("key", F.lit(1.5).alias("acctbal"), F.when(F.col("id") % 4 == 0, F.array(F.lit("acctbal"))).alias("unset"))
     new = spark.range(5).select(F.concat(F.lit("customer:x"), F.col("id").cast("string")).alias("key"), F.lit(1.5).alias("acctbal"), F.lit(None).cast("array<string>").alias("unset"))
-    out = mutate.upsert_nodes(g, known.unionByName(new)).nodes.where("key like 'customer:%'")
-    top = D.ORDER + D.table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0]
-    return out.select(F.when(F.col("key").contains("x"), F.col("id") - top + top + 1).otherwise(F.col("id")).alias("id"), "key", "acctbal")
+    return mutate.upsert_nodes(g, known.unionByName(new)).nodes.where("key like 'customer:%'").select("id", "key", "acctbal")
 
 
 BATCH = """WITH o AS (SELECT * FROM {ops}), life AS (SELECT node_id, max(seq) FILTER (WHERE op = 'create_node') AS born, max(seq) FILTER (WHERE op = 'delete_node') AS died FROM o GROUP BY node_id),
@@ -742,10 +752,17 @@ def overlay_merge(spark, d):
     return mutate.overlay(edges, gone, gone.withColumn("src", F.col("src") + 1), EDGE_KEY)
 
 
-@query("SELECT 'node' AS type, count(*) AS n FROM {n} UNION ALL SELECT 'edge', count(*) FROM {e} UNION ALL SELECT 'header', 1 UNION ALL SELECT 'schema', 1")
+@query("""SELECT 'node' AS type, CAST(id AS VARCHAR) AS a, key AS b, name AS c FROM {n} UNION ALL SELECT 'edge', CAST(src AS VARCHAR), etype, CAST(dst AS VARCHAR) FROM {e}
+UNION ALL SELECT 'header', (SELECT CAST(count(*) AS VARCHAR) FROM {n}), (SELECT CAST(count(*) AS VARCHAR) FROM {e}), NULL
+UNION ALL SELECT 'schema', (SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT DISTINCT etype AS t FROM {e})), NULL, NULL""")
 def export_jsonl(spark, d):
-    lines = store.jsonl_lines(D.graph(spark, d)).select(F.get_json_object("line", "$.type").alias("type"))
-    return lines.groupBy("type").agg(F.count("*").alias("n"))
+    """What each line says, read back from its JSON."""
+    kind = "type string, data struct<id:long,key:string,props:map<string,struct<type:string,value:string>>,src:long,etype:string,dst:long,nodes:long,edges:long,etypes:array<string>>"
+    line = store.jsonl_lines(D.graph(spark, d)).select(F.from_json("line", kind).alias("l")).select("l.type", "l.data.*")
+    text = lambda name: F.col(name).cast("string")
+    a = F.coalesce(text("id"), text("src"), text("nodes"), F.concat_ws(",", "etypes"))
+    b, c = F.coalesce("key", "etype", text("edges")), F.coalesce(F.col("props")["name"]["value"], text("dst"))
+    return line.select("type", a.alias("a"), b.alias("b"), c.alias("c"))
 
 
 @query("SELECT n.id AS id, n.key, n.size FROM {n} n WHERE type = 'Part' UNION ALL SELECT 5000000000000 + (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY id), key || 'x', size FROM {n} WHERE type = 'Part' AND id % 2 = 0")

@@ -32,13 +32,15 @@ def committed(log: DataFrame) -> DataFrame:
     return log.where(~F.col("op").isin("begin", "commit", "rollback")).join(commits, "txid", "left_semi")
 
 
-def frames_after(log: DataFrame, epoch: int, log_index: int, most: int) -> DataFrame:
-    """The next frames after a position, at most so many. A gap right after the position
-    is an error: the reader has to start anew from a snapshot."""
+def frames_after(log: DataFrame, epoch: int, log_index: int, most: int | None = None) -> DataFrame:
+    """The next frames after a position, at most so many (None: all). A gap right after the
+    position is an error: the reader has to start anew from a snapshot."""
     later = log.where((F.col("epoch") > epoch) | ((F.col("epoch") == epoch) & (F.col("log_index") > log_index)))
     first = later.where(F.col("epoch") == epoch).agg(F.min("log_index")).first()[0]
     if first is not None and first > log_index + 1:
         raise LookupError(f"frames {log_index + 1} to {first - 1} of epoch {epoch} are gone")
+    if most is None:
+        return later
     heads = later.select("epoch", "log_index").distinct().orderBy("epoch", "log_index").limit(most)
     return later.join(heads, ["epoch", "log_index"], "left_semi")
 
@@ -63,15 +65,8 @@ def latest_values(log: DataFrame) -> DataFrame:
 def replay(graph: Graph, log: DataFrame) -> Graph:
     """The graph after all operations of the log, in its order. Frames that come twice
     count once."""
-    from pyspark.sql import Window
-
     ops = log.dropDuplicates(["epoch", "log_index", "seq"])
-    # A number that sorts as (epoch, log_index, seq): no global window needed.
-    if ops.where((F.col("log_index") >= 1 << 34) | (F.col("seq") >= 1 << 20) | (F.col("epoch") >= 1 << 9)).isEmpty():
-        order = F.shiftleft(F.col("epoch"), 54) + F.shiftleft(F.col("log_index"), 20) + F.col("seq")
-    else:
-        order = F.row_number().over(Window.orderBy("epoch", "log_index", "seq"))
-    return batch(graph, ops.withColumn("seq", order.cast("long")))
+    return batch(graph, ops.withColumn("seq", F.struct("epoch", "log_index", "seq")))
 
 
 def follow(spark: SparkSession, log_path: str, state_path: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
@@ -144,8 +139,9 @@ def parse_cursor(text: str) -> tuple[int, int]:
     return int(epoch), int(index)
 
 
-def bootstrap(snapshot: Graph, log: DataFrame, cursor: str, most: int = 1 << 30) -> Graph:
-    """A replica from a snapshot taken at the cursor and the frames after it."""
+def bootstrap(snapshot: Graph, log: DataFrame, cursor: str, most: int | None = None) -> Graph:
+    """A replica from a snapshot taken at the cursor and the frames after it (all of them,
+    unless told)."""
     return replay(snapshot, frames_after(log, *parse_cursor(cursor), most))
 
 

@@ -153,3 +153,58 @@ def test_values(spark):
     assert df.select(keys.weight(F.lit("abc"))).first()[0] == 1.0
     assert df.select(V.adc_distance(F.array(*map(F.lit, [1.0, 2.0, 30.0, 40.0])), F.array(F.lit(1), F.lit(0)), 2)).first()[0] == 32.0
     assert df.select(V.dot_at(F.array(*map(F.lit, [1.0, 2.0, 3.0, 4.0])), 2, F.lit(1), F.array(F.lit(1.0), F.lit(1.0)))).first()[0] == 7.0
+
+
+def test_many_queries_in_blocks(spark, clustered, monkeypatch):
+    """More queries than a block holds; inverted lists: all probed is exact, some reach 0.9."""
+    monkeypatch.setattr(knn, "ROWS_BLOCK", 400)
+    monkeypatch.setattr(ann, "CLUSTER_BLOCK", 50)
+    s, x = clustered
+    queries = s.rows.withColumnRenamed("node_id", "query_id")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = np.argsort(-(unit @ unit.T), axis=1, kind="stable")[:, :10]
+    top = lambda df: {(r["query_id"], r["node_id"]) for r in df.collect()}
+    want = {(q, int(n)) for q in range(len(x)) for n in best[q]}
+    assert len(want - top(s.search_many(queries, 10))) <= 2  # 1,500 queries; equal distances may swap
+    ivf = ann.IvfIndex.build(s, 20)
+    assert len(want - top(ivf.search_many(queries, 10, n_probe=20))) <= 2
+    asked = queries.where("query_id % 25 = 0")
+    some = {p for p in want if p[0] % 25 == 0}
+    assert len(some & top(ivf.search_many(asked, 10, n_probe=6))) >= 0.9 * len(some)
+    assert s.search_many(queries.where("false"), 3).count() == 0
+
+
+def test_reranked_codes_reach_recall(spark, clustered):
+    s, x = clustered
+    pq = ann.IvfPqIndex.build(s, 20, 8, 64)
+    assert np.mean([recall(s.search(x[i], 10), pq.search(x[i], 10, n_probe=10, rerank=True)) for i in range(0, 1500, 150)]) >= 0.9
+
+
+def test_last_of_repeated_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0], 2), (1, [0.0, 1.0, 0.0, 0.0], 3), (1, [0.0, 0.0, 1.0, 0.0], 1)], "node_id long, vector array<float>, at int")
+    assert store(spark, BASIC).insert(rows, "at").get(1).first()["vector"] == [0.0, 1.0, 0.0, 0.0]
+    index = ann.VectorIndex(store(spark, BASIC)).build()
+    assert len(index) == 3 and index.get(2).count() == 1 and not index.stats().first()["indexed"] and len(index.clear()) == 0
+    assert [r["found"] for r in index.has(spark.createDataFrame([(1,), (9,)], "node_id long")).orderBy("node_id").collect()] == [True, False]
+
+
+def test_replay_of_positions_of_any_size(spark):
+    from test_graph import make
+
+    g = make(spark, [(1, "knows", 2, 1.0, 1)])
+    rows = [(1 << 20, 1 << 40, 1, 0, "set_node_prop", 1, None, None, None, None, "age", "5"), (1 << 20, (1 << 40) + 1, 2, 1 << 25, "set_node_prop", 1, None, None, None, None, "age", "6"), (3, 9, 3, 0, "set_node_prop", 1, None, None, None, None, "age", "7")]
+    log = spark.createDataFrame(rows, changelog.LOG)
+    assert changelog.replay(g, log).nodes.where("id = 1").first()["age"] == 6
+    deletes = spark.createDataFrame([(2, 1, 1, 0, "delete_node", 2, None, None, None, None, None, None), (2, 2, 1, 0, "link", None, None, 1, "knows", 2, None, None)], changelog.LOG)
+    again = changelog.replay(g, deletes)
+    assert again.nodes.count() == 1 and again.edges.count() == 1
+    assert changelog.bootstrap(g, log, "0:0").nodes.where("id = 1").first()["age"] == 6
+
+
+def test_any_text_is_a_value(spark):
+    from loomgraph.operators import mutate
+    from test_graph import make
+
+    g = make(spark, [(1, "knows", 2, 1.0, 1)])
+    change = spark.createDataFrame([("user:1", "__unset__")], "key string, name string")
+    assert mutate.upsert_nodes(g, change).nodes.where("id = 1").first()["name"] == "__unset__"
