@@ -183,25 +183,30 @@ def _prefixes(shared, n: int, percent: int):
     return run
 
 
-def _sets(shared, n: int):
-    """Of (id, f, text), sorted by id: once for each id and f the set's size, counts by
-    part and n-grams, rare first. Other texts of the id have other digests than f."""
+def _sets(shared, n: int, names: list[str]):
+    """Of (id, f, text, names...), sorted by id: id, size, counts by part and n-grams, rare
+    first, of each row whose text's set has the digest f, and the named columns. A set is made once
+    for all rows of its text in a row; other texts of the id have other digests."""
 
     def run(batches):
         hold(_words)
-        codes, last, done = np.frombuffer(shared.value, dtype=np.uint8), None, set()
+        codes, last, made = np.frombuffer(shared.value, dtype=np.uint8), None, {}
         for batch in batches:
-            out = []
-            for i, f, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            rows, out = [], []
+            for k, (i, f, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))):
                 if i != last:
-                    last, done = i, set()
-                if f not in done:
-                    s = shingle_set(t.as_py(), n)
-                    if digest_of(s) == f:
-                        done.add(f)
-                        out.append((i, len(s), parts_of(s), ordered(s, codes).astype("<u8").tobytes()))
-            ids, size, parts, body = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(parts, pa.binary()), pa.array(body, pa.binary())], names=["id", "n", "parts", "grams"])
+                    last, made = i, {}
+                t = t.as_py()
+                if t not in made:
+                    s = shingle_set(t, n)
+                    made[t] = digest_of(s), len(s), parts_of(s), ordered(s, codes).astype("<u8").tobytes()
+                if made[t][0] == f:
+                    rows.append(k)
+                    out.append(made[t][1:])
+            take = pa.array(rows, pa.int64())
+            size, parts, body = zip(*out) if out else ((), (), ())
+            columns = [batch.column(0).take(take), pa.array(size, pa.int32()), pa.array(parts, pa.binary()), pa.array(body, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(3 + j).take(take) for j in range(len(names)))], names=["id", "n", "parts", "grams", *names])
         let_go()
 
     return run
@@ -411,27 +416,31 @@ def _verify(percent: int):
     return lambda batches: _batches(found(batches), ["a", "b"])
 
 
-def _blocked(members: DataFrame, extra: DataFrame, n_parts: int) -> DataFrame:
-    """members (family, id, n) once for each pair of blocks of the family that they are in,
-    with the columns of extra (by id), sorted by block pair in each partition. Only ids
-    travel until each row knows its block pairs."""
+def _blocked(members: DataFrame) -> DataFrame:
+    """members (family, id, n) once for each pair (x, y) of blocks of the family that they
+    are in: family, id, block, x, y."""
     sizes = members.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("grams_")).where("members > 1")
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("grams_") / BLOCK_GRAMS)).cast("int")
     rows = members.drop("n").join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     rows = rows.select("family", "id", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = rows.select("family", "id", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    return rows.join(extra, "id").repartition(n_parts, "family", "x", "y").sortWithinPartitions("family", "x", "y")
+    return rows.select("family", "id", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+
+def _together(rows: DataFrame, n_parts: int) -> DataFrame:
+    return rows.repartition(n_parts, "family", "x", "y").sortWithinPartitions("family", "x", "y")
 
 
-def _starred(pairs: DataFrame, extra: DataFrame, n_parts: int) -> DataFrame:
-    """Pairs (a, b) as rows (pivot, block, id) with the columns of extra (by id), for
-    _stars: each b meets its a once, and a goes to each group of at most STAR (on average)
-    of its pairs."""
+def _starred(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) as rows pivot, block, id: each b meets its a once, and a goes to each
+    group of at most STAR (on average) of its pairs."""
     pairs = pairs.toDF("pivot", "id")
     sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / STAR).cast("int").alias("blocks"))
     others = pairs.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id")
     pivots = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("id"))
-    rows = others.unionByName(pivots).join(extra.hint("merge"), "id")
+    return others.unionByName(pivots)
+
+
+def _around(rows: DataFrame, n_parts: int) -> DataFrame:
     return rows.repartition(n_parts, "pivot", "block").sortWithinPartitions("pivot", "block", F.col("id") != F.col("pivot"))
 
 
@@ -482,34 +491,34 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     members = written(members, "shingle-families")
     release(met)
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        names = ids.distinct().join(classes, "id")
-        texts = source.join(names.hint("merge"), "id").select("id", "f", "text")
-        return written(texts.mapInArrow(_sets(shared, n), "id long, n int, parts binary, grams binary"), "shingle-members")
+    def with_sets(rows: DataFrame) -> DataFrame:
+        """rows (id and others) with n, parts and grams: texts move once, to their ids."""
+        names = [c for c in rows.columns if c != "id"]
+        texts = source.join(rows.join(classes, "id").hint("merge"), "id").select("id", "f", "text", *names)
+        kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "id")
+        return texts.mapInArrow(_sets(shared, n, names), f"id long, n int, parts binary, grams binary, {kinds}")
 
     info = prefixes.select("id", "n", "parts")
-    pairs = _starred(members.where("fits").select("family", "id"), info, tasks)
+    pairs = _around(_starred(members.where("fits").select("family", "id")).join(info.hint("merge"), "id"), tasks)
     pairs = written(pairs.mapInArrow(_by_parts(percent), "a long, b long"), "shingle-pairs")
-    grams = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
-    ones = _starred(pairs, grams.select("id", "parts", "grams"), tasks)
+    ones = _around(with_sets(_starred(pairs)), tasks)
     ones = written(ones.mapInArrow(_by_sets(percent), "a long, b long").unionByName(edges), "shingle-links")
-    release(pairs, grams)
+    release(pairs)
 
     roots = components(ones)
     rest = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("family", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed = rest.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("family")
     rest = written(rest.join(mixed, "family", "left_semi"), "shingle-rest")
     by_id = rest.select("id", "component").distinct()
-    light = _blocked(rest.select("family", "id", "n"), info.join(by_id, "id").hint("merge"), tasks)
+    light = _together(_blocked(rest.select("family", "id", "n")).join(info.join(by_id, "id").hint("merge"), "id"), tasks)
     left = light.mapInArrow(_filter(percent), "family long, id long").distinct()
     left = written(left.join(rest.select("family", "id", "n"), ["family", "id"]), "shingle-candidates")
-    grams = sets_of(left.select("id"))
     families = members.join(left.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set("family").alias("families"))
-    heavy = _blocked(left, grams.join(by_id, "id").join(families, "id").hint("merge"), tasks)
+    heavy = _together(with_sets(_blocked(left).join(by_id, "id").join(families, "id")), tasks)
     twos = written(heavy.mapInArrow(_verify(percent), "a long, b long"), "shingle-links")
     if not twos.isEmpty():
         roots = components(twos.unionByName(ones))
-    release(prefixes, members, ones, twos, rest, left, grams, edges)
+    release(prefixes, members, ones, twos, rest, left, edges)
 
     near = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("f", F.coalesce("component", "id").alias("component"))
     return sets.join(near, "f", "left").select(
