@@ -111,13 +111,15 @@ class LineRuns:
         return whole
 
 
-def drop_common_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, batches: int = 4) -> DataFrame:
+def drop_common_lines(
+    docs: DataFrame, text: str = "text", min_docs: int = 10, batches: int = 4, made: tuple[str, str, str] = ("n_lines", "n_dropped", "kept_text")
+) -> DataFrame:
     """Drop the lines that min_docs or more documents hold.
 
     A row is a document; its lines are the parts of the text between \\n (null or
     empty: one empty line). Lines are alike if their keys are (see line_key); lines
-    with an empty key always stay. Returns the columns of docs and n_lines,
-    n_dropped and kept_text (the other lines joined by \\n); input columns of these
+    with an empty key always stay. Returns the columns of docs and (named by `made`)
+    n_lines, n_dropped and kept_text (the other lines joined by \\n); input columns of these
     names give way, any others may be there. Repeated rows count as documents each and
     get the same result, rows with a null id like any other; lines that differ in nothing
     but their key's white space and case are ties and go or stay together; an empty table
@@ -169,13 +171,12 @@ def drop_common_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, b
     rows = docs.select("*", k1.alias(a), k2.alias(b)).join(marks, [a, b])
     all_lines = text_lines(quoted(text))
     kept = F.filter(all_lines, lambda line, i: ~F.element_at(F.col(marks_), i + 1)["drop"])
-    made = ["n_lines", "n_dropped", "kept_text"]
     return (
         rows.withColumn(kept_, kept)
         .select(
             *[quoted(c) for c in carried(docs, made)],
-            F.size(all_lines).cast("long").alias("n_lines"),
-            (F.size(all_lines) - F.size(kept_)).cast("long").alias("n_dropped"),
-            F.array_join(kept_, "\n").alias("kept_text"),
+            F.size(all_lines).cast("long").alias(made[0]),
+            (F.size(all_lines) - F.size(kept_)).cast("long").alias(made[1]),
+            F.array_join(kept_, "\n").alias(made[2]),
         )
     )
