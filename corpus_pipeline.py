@@ -32,9 +32,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Each row is a document, so repeated rows count as often as they are there. Null and
     empty texts have nothing left, so they go; an empty table gives an empty one."""
-    rows = drop_common_lines(docs, min_docs=10)
-    rows = rows.where(F.regexp_like("kept_text", F.lit("[^\\x20\\x09-\\x0D]")))
-    kept = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    made = spare(docs.columns, "n_lines", "n_dropped", "kept_text")
+    rows = drop_common_lines(docs, min_docs=10, made=tuple(made))
+    rows = rows.where(F.regexp_like(made[2], F.lit("[^\\x20\\x09-\\x0D]")))
+    kept = {"text": F.col(made[2]), "n_chars": F.length(made[2]).cast("long")}
     return rows.select(*[kept[c].alias(c) if c in kept else column for c, column in zip(docs.columns, _columns(docs))])
 
 
