@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, SPACE, UPPER, carried, fresh_dir, prepare, quoted, release, remove, row_key, spare, written
 
 KEYS = ["h1", "h2"]
+#: Rows of a run's bucket, on average (about 24 MB); Spark's own bound on buckets.
+ROWS_BUCKET, MOST_BUCKETS = 1 << 20, 100_000
 
 
 def line_key(line):
@@ -147,7 +149,8 @@ def drop_common_lines(
         .agg(F.count("*").alias("n"))
     )
     counts = written(counts, "line-counts", "batch")  # each batch reads its own files only
-    runs = LineRuns(spark, min_docs)
+    # As many buckets as the rows need: a file for each of many small ones costs more than its rows.
+    runs = LineRuns(spark, min_docs, buckets=min(MOST_BUCKETS, 1 + counts.count() // ROWS_BUCKET))
     for n in range(batches):
         runs.add(counts.where(F.col("batch") == n))
     heavy = written(runs.heavy(), "line-heavy").withColumn("heavy", F.lit(True))
