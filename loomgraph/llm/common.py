@@ -118,7 +118,7 @@ def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     lineage, survives lost executors. release() removes it before the driver ends."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path, compression="zstd")
     out = spark.read.schema(df.schema).parquet(path)
     out._loomgraph_path = path
     return out
