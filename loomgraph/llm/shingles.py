@@ -45,7 +45,7 @@ PARTS = 64
 #: What a part's count can say; a set with a larger one says so in every part.
 PART_MOST = 0xFFFF
 #: Members, and n-grams on average, of a family's block. A task holds two blocks.
-BLOCK, BLOCK_GRAMS = 128, 1 << 20
+BLOCK, BLOCK_GRAMS = 512, 1 << 20
 #: Members that are compared with one class in one group.
 STAR = 128
 MEMORY, WORD_MOST = 200_000, 60
