@@ -9,6 +9,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,12 +114,26 @@ def _clean() -> None:
             continue
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What is executed within gives its shuffle files back when it is through. Else they stay
+    until the driver's JVM collects its own garbage, which comes no sooner for larger files."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     """df as a table in the shared folder (in folders by the columns `by`): cuts the
     lineage, survives lost executors. release() removes it before the driver ends."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    (df.write.partitionBy(*by) if by else df.write).parquet(path, compression="zstd")
+    with tidy(spark):
+        (df.write.partitionBy(*by) if by else df.write).parquet(path, compression="zstd")
     out = spark.read.schema(df.schema).parquet(path)
     out._loomgraph_path = path
     return out
