@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import prepare, release, written
 
+#: So many edges are a single task's work: two longs each, and no rounds.
+FEW = 1 << 18
+
 
 def _stated(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """edges as a table, and its number of rows and sum of hashes, told by the job that writes it."""
@@ -36,14 +39,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: columns a and b (long, no nulls; repeated ones and loops are fine). Each task
     first hangs the nodes of its share of the edges under the least one they are connected
-    with there: a few edges are one share, and done. Then large-star and small-star steps
-    alternate: each node links its larger neighbours, then its smaller ones, to the least
+    with there. If at most FEW edges are left, one task does so with all of them, and that is
+    it. More of them go through large-star and small-star steps in turn: each node links its larger neighbours, then its smaller ones, to the least
     node it knows, until every node hangs from its component's least node. Each round
     is one table in the shared folder; joins are plain equi-joins against one row a
     node, so a hub's edges can be split. Empty edges give an empty result."""
     prepare(edges.sparkSession)
     ends = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, state = _stated(ends.mapInArrow(_hung, "a long, b long"))
+    if state[0] <= FEW:
+        whole, _ = _stated(now.coalesce(1).mapInArrow(_hung, "a long, b long"))
+        release(now)
+        now, state = whole, (0, None)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
