@@ -23,13 +23,17 @@ only drops pairs that can't reach the threshold.
 6. Members of a family that are in different components are compared in block pairs: by
    length and counts by part, then what is left by sets, once for each pair and not
    within a component. Only a spanning forest of the links leaves a task, never the pairs.
+
+So that little lies on disk at a time, what is dealt out most (prefix n-grams, sets) goes in
+rounds, each a share of the input's n-grams, and only texts that are in question move.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +52,11 @@ PART_MOST = 0xFFFF
 BLOCK, BLOCK_GRAMS = 512, 1 << 20
 #: Members that are compared with one class in one group.
 STAR = 128
+#: A round deals out at most a ROUND_SHARE-th of the input's n-grams, or ROUND_GRAMS if that is
+#: more. Prefixes go in at most PREFIX_ROUNDS, for each reads all of them.
+ROUND_GRAMS, ROUND_SHARE, PREFIX_ROUNDS = 1 << 25, 4, 4
+#: Bits of the mask of ids, in rows of 2**MASK_ROW bits (those that bitmap_construct_agg makes).
+MASK_BITS, MASK_ROW = 25, 15
 MEMORY, WORD_MOST = 200_000, 60
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -163,7 +172,8 @@ def _add_chunks(batches):
             part = np.frombuffer(zlib.decompress(body), dtype=np.uint8).astype(np.int64)
             sums[chunk] = sums[chunk] + part if chunk in sums else part
     for chunk, part in sums.items():
-        codes = np.floor(2 * np.log2(1 + part)).astype(np.uint8)
+        # Steps of 9 %: where unique n-grams fill the counters, what is a little above them counts.
+        codes = np.minimum(np.floor(8 * np.log2(1 + part)), 255).astype(np.uint8)
         yield pa.RecordBatch.from_pylist([{"chunk": chunk, "codes": zlib.compress(codes.tobytes())}], schema=pa.schema([("chunk", pa.int32()), ("codes", pa.binary())]))
 
 
@@ -352,12 +362,31 @@ def _batches(rows, names):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
 
 
+def _own(names, families, i, j, family):
+    """Which of the pairs (i, j) are this family's. A pair that meets in several families is
+    left to the least of them; one of which one is the first class of the other's family
+    has been compared."""
+    # If the family is the least one of either's, it is the least that both have.
+    first = np.array([min(f) == family for f in families], dtype=bool)
+    heads = set().union(*families).intersection(names)
+    head = np.array([n in heads for n in names], dtype=bool)
+    keep, sets = np.ones(len(i), dtype=bool), {}
+    for k in np.flatnonzero(~(first[i] | first[j]) | head[i] | head[j]).tolist():
+        a, b = int(i[k]), int(j[k])
+        for e in (a, b):
+            if e not in sets:
+                sets[e] = set(families[e])
+        keep[k] = names[a] not in sets[b] and names[b] not in sets[a] and min(sets[a] & sets[b]) == family
+    return keep
+
+
 def _filter(percent: int):
     def left(batches):
-        for (family, x, _), rows in _runs(batches, ["id", "block", "n", "parts", "component"]):
+        for (family, x, _), rows in _runs(batches, ["id", "block", "n", "parts", "component", "families"]):
             if len(rows) > 1:
                 i, j = _pairs(*_block(rows, x, (1, 2, 3, 4)), percent)
-                for k in {*i.tolist(), *j.tolist()}:
+                own = _own([r[0] for r in rows], [r[5] for r in rows], i, j, family)
+                for k in {*i[own].tolist(), *j[own].tolist()}:
                     yield family, rows[k][0]
 
     return lambda batches: _batches(left(batches), ["family", "id"])
@@ -392,15 +421,9 @@ def _verify(percent: int):
                 continue
             sizes, parts, component, sides = _block(rows, x, (1, 2, 3, 4))
             i, j = _pairs(sizes, parts, component, sides, percent)
-            # A pair that meets in several families is left to the least of them; one of
-            # which one is the first class of the other's family has been compared.
-            names, families = [r[0] for r in rows], [set(r[5]) for r in rows]
-            alone = [
-                k
-                for k, (a, b) in enumerate(zip(i.tolist(), j.tolist()))
-                if names[a] not in families[b] and names[b] not in families[a] and min(families[a] & families[b]) == family
-            ]
-            i, j = i[alone], j[alone]
+            names = [r[0] for r in rows]
+            own = _own(names, [r[5] for r in rows], i, j, family)
+            i, j = i[own], j[own]
             sets = {k: _Set(rows[k][3], rows[k][6], percent) for k in {*i.tolist(), *j.tolist()}}
             keep = np.array([may_link(sets[a], sets[b], percent) for a, b in zip(i.tolist(), j.tolist())], dtype=bool)
             i, j = i[keep], j[keep]
@@ -444,6 +467,27 @@ def _around(rows: DataFrame, n_parts: int) -> DataFrame:
     return rows.repartition(n_parts, "pivot", "block").sortWithinPartitions("pivot", "block", F.col("id") != F.col("pivot"))
 
 
+def _wanted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows without most of those whose id isn't among the ids, told by a mask of 2**MASK_BITS
+    bits that goes to all tasks. No wanted row is lost; a join tells the rest."""
+    place = F.pmod(F.xxhash64(F.lit(31), F.col("id")), F.lit(1 << MASK_BITS))
+    row, bit = F.shiftright(place, MASK_ROW).cast("int"), place.bitwiseAND(F.lit((1 << MASK_ROW) - 1))
+    mask = ids.where("id is not null").select(row.alias("row_"), bit.alias("bit_")).groupBy("row_").agg(F.bitmap_construct_agg("bit_").alias("mask_"))
+    rows_ = rows.select("*", row.alias("row_"), bit.alias("bit_")).join(F.broadcast(mask), "row_")
+    byte = F.conv(F.hex(F.substring(F.col("mask_"), (F.shiftright("bit_", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows_.where(F.getbit(byte, F.col("bit_").bitwiseAND(F.lit(7)).cast("int")) == 1).select(*rows.columns)
+
+
+def _rounds(rows: DataFrame, n: int, *by) -> list[DataFrame]:
+    """rows dealt to n tables by a hash of the columns."""
+    deal = F.pmod(F.xxhash64(F.lit(17), *by), F.lit(n))
+    return [rows.where(deal == k) for k in range(n)] if n > 1 else [rows]
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """doc id, n_shingles and component_id of every row of docs.
 
@@ -479,9 +523,12 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     prefixes = source.where("id is not null").mapInArrow(_prefixes(shared, n, percent), "id long, f long, n int, prefix array<long>, parts binary")
     prefixes = prefixes.join(classes.hint("merge"), ["f", "id"]).dropDuplicates(["f", "id"])
     prefixes = written(prefixes.select("id", "n", "prefix", "parts"), "shingle-prefixes")
-    postings = prefixes.select("id", "n", F.posexplode("prefix").alias("p", "h"))
-    least = postings.groupBy("h").agg(F.min("id").alias("family"), F.max("id").alias("z")).where("family != z").drop("z")
-    met = written(postings.join(least, "h"), "shingle-met")
+    grams = int(prefixes.agg(F.sum("n")).first()[0] or 0)
+    mets = []
+    for postings in _rounds(prefixes.select("id", "n", F.posexplode("prefix").alias("p", "h")), min(PREFIX_ROUNDS, 1 + grams // ROUND_GRAMS), "h"):
+        least = postings.groupBy("h").agg(F.min("id").alias("family"), F.max("id").alias("z")).where("family != z").drop("z")
+        mets.append(written(postings.join(least, "h"), "shingle-met"))
+    met = _union(mets)
     first_ = met.where("id = family").select("h", F.col("n").alias("n1"), F.col("p").alias("p1"))
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n1")) / F.lit(100 + percent))
     # The n-gram needn't be the first that both have, so what comes before it counts, too.
@@ -489,36 +536,43 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     fits = (100 * F.least("n", "n1") >= percent * F.greatest("n", "n1")) & (most >= need)
     members = met.where("id != family").join(first_, "h").groupBy("family", "id").agg(F.max("n").alias("n"), F.max(fits).alias("fits"))
     members = written(members, "shingle-families")
-    release(met)
+    release(*mets)
 
     def with_sets(rows: DataFrame) -> DataFrame:
         """rows (id and others) with n, parts and grams: texts move once, to their ids."""
         names = [c for c in rows.columns if c != "id"]
-        texts = source.join(rows.join(classes, "id").hint("merge"), "id").select("id", "f", "text", *names)
+        texts = _wanted(source, rows.select("id")).join(rows.join(classes, "id").hint("merge"), "id").select("id", "f", "text", *names)
         kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "id")
         return texts.mapInArrow(_sets(shared, n, names), f"id long, n int, parts binary, grams binary, {kinds}")
 
     info = prefixes.select("id", "n", "parts")
+
+    def linked(rows: DataFrame, by: tuple[str, ...], deal: Callable, more: Callable, match: Callable) -> list[DataFrame]:
+        """Links (a, b) that match finds among rows with sets, in rounds by the columns `by`."""
+        dealt = rows.join(info.select("id", "n"), "id").agg(F.sum("n")).first()[0] or 0
+        parts = _rounds(rows, max(1, -(-int(dealt) // max(ROUND_GRAMS, grams // ROUND_SHARE))), *by)
+        return [written(deal(with_sets(more(part)), tasks).mapInArrow(match, "a long, b long"), "shingle-links") for part in parts]
+
     pairs = _around(_starred(members.where("fits").select("family", "id")).join(info.hint("merge"), "id"), tasks)
     pairs = written(pairs.mapInArrow(_by_parts(percent), "a long, b long"), "shingle-pairs")
-    ones = _around(with_sets(_starred(pairs)), tasks)
-    ones = written(ones.mapInArrow(_by_sets(percent), "a long, b long").unionByName(edges), "shingle-links")
+    ones = linked(_starred(pairs), ("pivot", "block"), _around, lambda rows: rows, _by_sets(percent))
+    ones.append(edges)
     release(pairs)
 
-    roots = components(ones)
+    roots = components(_union(ones))
     rest = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("family", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed = rest.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("family")
     rest = written(rest.join(mixed, "family", "left_semi"), "shingle-rest")
     by_id = rest.select("id", "component").distinct()
-    light = _together(_blocked(rest.select("family", "id", "n")).join(info.join(by_id, "id").hint("merge"), "id"), tasks)
+    families = members.join(by_id, "id", "left_semi").groupBy("id").agg(F.collect_set("family").alias("families"))
+    told = by_id.join(families, "id")
+    light = _together(_blocked(rest.select("family", "id", "n")).join(info.join(told, "id").hint("merge"), "id"), tasks)
     left = light.mapInArrow(_filter(percent), "family long, id long").distinct()
     left = written(left.join(rest.select("family", "id", "n"), ["family", "id"]), "shingle-candidates")
-    families = members.join(left.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set("family").alias("families"))
-    heavy = _together(with_sets(_blocked(left).join(by_id, "id").join(families, "id")), tasks)
-    twos = written(heavy.mapInArrow(_verify(percent), "a long, b long"), "shingle-links")
-    if not twos.isEmpty():
-        roots = components(twos.unionByName(ones))
-    release(prefixes, members, ones, twos, rest, left, edges)
+    twos = linked(_blocked(left), ("family", "x", "y"), _together, lambda rows: rows.join(told, "id"), _verify(percent))
+    if not _union(twos).isEmpty():
+        roots = components(_union([*twos, *ones]))
+    release(prefixes, members, *ones, *twos, rest, left)
 
     near = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("f", F.coalesce("component", "id").alias("component"))
     return sets.join(near, "f", "left").select(
